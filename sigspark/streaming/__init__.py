@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming layer: its only Spark read is a batch CSV
+read, and every stage works on finished tables.  Nothing is built here; the
+operators in ``sigspark.operators`` are batch DataFrame jobs.  Stateless
+ones (``trees.score_models``, ``signatures.sig_weighted_mean`` with fixed
+gene statistics) can be applied to a streaming DataFrame as they are.
+"""
