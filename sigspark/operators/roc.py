@@ -220,7 +220,7 @@ def auprc(pred: DataFrame, keys: Sequence[str] = KEYS, positive: int = 1, bucket
     s = ordered_scan(c, keys, ["nscore"], sums=["tpn", "fpn"], buckets=buckets)
     tpb, fpb = F.col("tpn_cum").cast("double"), F.col("fpn_cum").cast("double")
     tpa, fpa = tpb - F.col("tpn"), fpb - F.col("fpn")
-    h = F.col("fpn") / F.col("tpn")
+    h = F.try_divide(F.col("fpn"), F.col("tpn"))
     a = F.lit(1.0) + h
     b = fpa - h * tpa
     seg = (tpb - tpa) / a - F.when(b == 0, F.lit(0.0)).otherwise((b / (a * a)) * (F.log(a * tpb + b) - F.log(a * tpa + b)))

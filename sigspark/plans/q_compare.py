@@ -1,3 +1,38 @@
-"""Query keys (filled in as operators land)."""
+"""Query keys for model comparison (bands, spreads, bootstrap, CV, logistic baseline)."""
 
 from __future__ import annotations
+
+from ..operators import compare, roc
+from .q_roc import _AUC, _INTERP
+from .registry import query
+from .views import v_pred, with_views
+
+
+@query(
+    "curve_band",
+    with_views(
+        """SELECT study, j, specificity, m AS sensitivity, round(least(m + sd, 1.0), 9) AS sens_upper,
+       round(greatest(m - sd, 0.0), 9) AS sens_lower, n_models
+FROM (SELECT study, j, any_value(specificity) AS specificity, round(avg(sensitivity), 9) AS m,
+             round(stddev_samp(sensitivity), 9) AS sd, count(sensitivity) AS n_models
+      FROM ri GROUP BY study, j)""",
+        "v_pred",
+        extra=_INTERP,
+    ),
+)
+def q_curve_band(spark, sf):
+    return compare.curve_band(roc.roc_interp(roc.roc_curve(v_pred(spark, sf))))
+
+
+@query(
+    "auc_spread",
+    with_views(
+        """SELECT study, count(auc) AS n_models, round(avg(auc), 6) AS auc_mean,
+       round(quantile_cont(auc, 0.025), 6) AS auc_q025, round(quantile_cont(auc, 0.975), 6) AS auc_q975
+FROM a GROUP BY study""",
+        "v_pred",
+        extra=_AUC,
+    ),
+)
+def q_auc_spread(spark, sf):
+    return compare.auc_spread(roc.auc(v_pred(spark, sf)))

@@ -43,6 +43,38 @@ bt AS (SELECT study, model, round(arg_max(t_sum / n_tied, youden), 6) AS thresho
               arg_max(n_tied, youden) AS n_tied FROM jt GROUP BY study, model)"""
 )
 
+_INTERP = (
+    _ROC
+    + """,
+pts AS (SELECT study, model, specificity AS spec, min(sensitivity) AS smin, max(sensitivity) AS smax
+        FROM r WHERE sensitivity IS NOT NULL AND specificity IS NOT NULL GROUP BY study, model, specificity),
+u AS (SELECT study, model, spec, 0 AS kind, CAST(NULL AS INTEGER) AS j, spec AS pspec, smin, smax FROM pts
+      UNION ALL
+      SELECT g.study, g.model, CAST(t.j AS DOUBLE) / 149, 1, CAST(t.j AS INTEGER), NULL, NULL, NULL
+      FROM (SELECT DISTINCT study, model FROM pts) g CROSS JOIN range(0, 150) t(j)),
+ri AS (
+SELECT study, model, j, round(spec, 6) AS specificity,
+       round(CASE WHEN p_spec IS NOT NULL AND p_spec = spec THEN p_smax
+                  WHEN p_spec IS NULL THEN n_smax
+                  WHEN n_spec IS NULL THEN p_smin
+                  ELSE p_smin + (spec - p_spec) * (n_smax - p_smin) / (n_spec - p_spec) END, 6) AS sensitivity
+FROM (SELECT *, last_value(pspec IGNORE NULLS) OVER wf AS p_spec, last_value(smin IGNORE NULLS) OVER wf AS p_smin,
+             last_value(smax IGNORE NULLS) OVER wf AS p_smax,
+             first_value(pspec IGNORE NULLS) OVER wb AS n_spec, first_value(smax IGNORE NULLS) OVER wb AS n_smax
+      FROM u
+      WINDOW wf AS (PARTITION BY study, model ORDER BY spec, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+             wb AS (PARTITION BY study, model ORDER BY spec, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+WHERE kind = 1)"""
+)
+
+_AUC = (
+    _C
+    + f""",
+a AS (SELECT study, model, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+       round(sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5)) / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auc
+FROM (SELECT c.*, sum(neg) OVER ({_W}) AS neg_cum FROM c) GROUP BY study, model)"""
+)
+
 _CONF = (
     _BEST
     + """,
@@ -56,16 +88,7 @@ cm AS (SELECT p.study, p.model, bt.threshold,
 )
 
 
-@query(
-    "auc",
-    with_views(
-        f"""SELECT study, model, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
-       round(sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5)) / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auc
-FROM (SELECT c.*, sum(neg) OVER ({_W}) AS neg_cum FROM c) GROUP BY study, model""",
-        "v_pred",
-        extra=_C,
-    ),
-)
+@query("auc", with_views("SELECT * FROM a", "v_pred", extra=_AUC))
 def q_auc(spark, sf):
     return roc.auc(v_pred(spark, sf))
 
@@ -151,31 +174,6 @@ def q_auprc(spark, sf):
     return roc.auprc(v_pred(spark, sf))
 
 
-@query(
-    "roc_interp",
-    with_views(
-        """SELECT study, model, j, round(spec, 6) AS specificity,
-       round(CASE WHEN p_spec IS NOT NULL AND p_spec = spec THEN p_smax
-                  WHEN p_spec IS NULL THEN n_smax
-                  WHEN n_spec IS NULL THEN p_smin
-                  ELSE p_smin + (spec - p_spec) * (n_smax - p_smin) / (n_spec - p_spec) END, 6) AS sensitivity
-FROM (SELECT *, last_value(pspec IGNORE NULLS) OVER wf AS p_spec, last_value(smin IGNORE NULLS) OVER wf AS p_smin,
-             last_value(smax IGNORE NULLS) OVER wf AS p_smax,
-             first_value(pspec IGNORE NULLS) OVER wb AS n_spec, first_value(smax IGNORE NULLS) OVER wb AS n_smax
-      FROM u
-      WINDOW wf AS (PARTITION BY study, model ORDER BY spec, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-             wb AS (PARTITION BY study, model ORDER BY spec, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-WHERE kind = 1""",
-        "v_pred",
-        extra=_ROC
-        + """,
-pts AS (SELECT study, model, specificity AS spec, min(sensitivity) AS smin, max(sensitivity) AS smax
-        FROM r WHERE sensitivity IS NOT NULL AND specificity IS NOT NULL GROUP BY study, model, specificity),
-u AS (SELECT study, model, spec, 0 AS kind, CAST(NULL AS INTEGER) AS j, spec AS pspec, smin, smax FROM pts
-      UNION ALL
-      SELECT g.study, g.model, CAST(t.j AS DOUBLE) / 149, 1, CAST(t.j AS INTEGER), NULL, NULL, NULL
-      FROM (SELECT DISTINCT study, model FROM pts) g CROSS JOIN range(0, 150) t(j))""",
-    ),
-)
+@query("roc_interp", with_views("SELECT * FROM ri", "v_pred", extra=_INTERP))
 def q_roc_interp(spark, sf):
     return roc.roc_interp(roc.roc_curve(v_pred(spark, sf)))

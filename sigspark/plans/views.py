@@ -126,7 +126,46 @@ def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("study", F.col("m.model").alias("model"), "rid", "label", F.col("m.score").alias("score"))
 
 
+MIN_EVENTS = 10  # v_scores_sup: a score needs at least this many events, else NULL
+
+
+def v_uclin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clinical table keyed like ``v_scores``: study = custkey % 7, patientid = custkey."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    bal = F.col("c_acctbal")
+    return cust.select(
+        (F.col("c_custkey") % SCORE_STUDIES).alias("study"),
+        F.col("c_custkey").alias("patientid"),
+        F.when(bal >= RESPONSE_CUT, F.lit("R")).when(bal >= 0, F.lit("NR")).alias("response"),
+    )
+
+
+def v_sclin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clinical table keyed like ``v_expr``: study = region of the supplier, patientid = suppkey."""
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    bal = F.col("s_acctbal")
+    return supp.join(nation, supp.s_nationkey == nation.n_nationkey).select(
+        F.col("n_regionkey").alias("study"),
+        F.col("s_suppkey").alias("patientid"),
+        F.when(bal >= RESPONSE_CUT, F.lit("R")).when(bal >= 0, F.lit("NR")).alias("response"),
+    )
+
+
+def v_scores_sup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_scores`` with a support rule: fewer than MIN_EVENTS events -> NULL score."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    return ev.groupBy(
+        (F.col("user_id") % SCORE_STUDIES).alias("study"),
+        F.col("user_id").alias("patientid"),
+        F.col("event_type").alias("signature"),
+    ).agg(F.when(F.count(F.lit(1)) >= MIN_EVENTS, F.avg("value")).alias("score"))
+
+
 VIEWS = {
+    "v_uclin": v_uclin,
+    "v_sclin": v_sclin,
+    "v_scores_sup": v_scores_sup,
     "v_clin": v_clin,
     "v_expr": v_expr,
     "v_sig": v_sig,
@@ -137,6 +176,18 @@ VIEWS = {
 
 # DuckDB text of the same views, used as CTEs by the oracles.
 SQL_V = {
+    "v_uclin": """v_uclin AS (
+  SELECT c_custkey % 7 AS study, c_custkey AS patientid,
+         CASE WHEN c_acctbal >= 5000 THEN 'R' WHEN c_acctbal >= 0 THEN 'NR' END AS response
+  FROM customer)""",
+    "v_sclin": """v_sclin AS (
+  SELECT n.n_regionkey AS study, s.s_suppkey AS patientid,
+         CASE WHEN s.s_acctbal >= 5000 THEN 'R' WHEN s.s_acctbal >= 0 THEN 'NR' END AS response
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey)""",
+    "v_scores_sup": """v_scores_sup AS (
+  SELECT user_id % 7 AS study, user_id AS patientid, event_type AS signature,
+         CASE WHEN count(*) >= 10 THEN avg(value) END AS score
+  FROM events GROUP BY user_id % 7, user_id, event_type)""",
     "v_clin": """v_clin AS (
   SELECT n.n_name AS study, c.c_custkey AS patientid,
          CASE WHEN c.c_acctbal >= 5000 THEN 'R' WHEN c.c_acctbal >= 0 THEN 'NR' END AS response
