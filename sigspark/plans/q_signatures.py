@@ -1,3 +1,225 @@
-"""Query keys (filled in as operators land)."""
+"""Query keys for signature scoring on ``v_expr`` (expression) and ``v_sig`` (signatures)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import signatures as S
+from .q_cohort import _GF, MISSING_PERC, N_CUTOFF, SIG_PERC, VALUE_FLOOR
+from .registry import query
+from .views import v_expr, v_sig, with_views
+
+# The signature catalogue of the stand-in (method per signature)
+# and the composite / contrast definitions over those signatures.
+METHOD_OF = {
+    "ECONOMY": "Weighted Mean",
+    "LARGE": "Weighted Mean",
+    "MEDIUM": "ssGSEA",
+    "PROMO": "ssGSEA",
+    "SMALL": "GSVA",
+    "STANDARD": "GSVA",
+}
+COMPOSITE_PARTS = [
+    ("ECONOMY_LARGE_MEDIUM", "ECONOMY", "add", 1.0),
+    ("ECONOMY_LARGE_MEDIUM", "LARGE", "add", 0.5),
+    ("ECONOMY_LARGE_MEDIUM", "MEDIUM", "add", -1.0),
+]
+CONTRAST_PARTS = [
+    ("PROMO_minus_MEDIUM", "PROMO", "add", 1.0),
+    ("PROMO_minus_MEDIUM", "MEDIUM", "add", -1.0),
+    ("SMALL_over_STANDARD", "SMALL", "num", 1.0),
+    ("SMALL_over_STANDARD", "STANDARD", "den", 1.0),
+]
+KW = dict(n_cutoff=N_CUTOFF, sig_perc=SIG_PERC, missing_perc=MISSING_PERC, floor=VALUE_FLOOR)
+PARTS_SCHEMA = "signature string, component string, op string, coef double"
+
+
+def v_info(spark, sf):
+    m = F.create_map(*[x for k, v in METHOD_OF.items() for x in (F.lit(k), F.lit(v))])
+    return v_sig(spark, sf).select("signature").distinct().select("signature", m[F.col("signature")].alias("method"))
+
+
+_INFO = "v_info AS (SELECT DISTINCT signature, CASE signature " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in METHOD_OF.items()
+) + " END AS method FROM v_sig)"
+
+
+def _values(parts):
+    rows = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in parts)
+    return f"(SELECT * FROM (VALUES {rows}) t(signature, component, op, coef))"
+
+
+# ---- SQL text builders (one CTE chain per method; ``sig`` names the signature CTE) ----
+
+def sql_gate(sig: str, out: str) -> str:
+    return f"""{out}_sg AS (SELECT DISTINCT signature, gene FROM {sig}),
+{out}_ns AS (SELECT signature, count(*) AS n_genes FROM {out}_sg GROUP BY signature),
+{out}_g AS (SELECT pr.study, pr.signature, (sm.n_samples >= {N_CUTOFF} AND pr.n_present / ns.n_genes > {SIG_PERC}) AS pass
+  FROM (SELECT g.study, sg.signature, count(*) AS n_present FROM (SELECT DISTINCT study, gene FROM gf) g
+        JOIN {out}_sg sg USING (gene) GROUP BY g.study, sg.signature) pr
+  JOIN {out}_ns ns USING (signature)
+  JOIN (SELECT study, count(DISTINCT patientid) AS n_samples FROM gf GROUP BY study) sm USING (study)),
+{out} AS (SELECT r.study, r.patientid, r.signature, round(CASE WHEN g.pass THEN r.score END, 6) AS score
+  FROM {out}_raw r LEFT JOIN {out}_g g USING (study, signature))"""
+
+
+def sql_wmean(sig: str, out: str) -> str:
+    return f"""{out}_st AS (SELECT study, gene, avg(value) AS mu, stddev_samp(value) AS sd FROM gf GROUP BY study, gene),
+{out}_raw AS (SELECT e.study, e.patientid, s.signature, sum(s.weight * ((e.value - st.mu) / st.sd)) / count(*) AS score
+  FROM gf e JOIN {out}_st st USING (study, gene) JOIN {sig} s USING (gene) WHERE st.sd > 0
+  GROUP BY e.study, e.patientid, s.signature),
+""" + sql_gate(sig, out)
+
+
+def sql_ssgsea(sig: str, out: str, alpha: float = 0.25) -> str:
+    return f"""{out}_rk AS (SELECT study, patientid, gene,
+    row_number() OVER (PARTITION BY study, patientid ORDER BY value, gene) AS r,
+    count(*) OVER (PARTITION BY study, patientid) AS n FROM gf),
+{out}_es AS (SELECT study, patientid, signature,
+    sum(pow(r, {alpha} + 1)) / sum(pow(r, {alpha}))
+    - (CAST(any_value(n) AS DOUBLE) * (any_value(n) + 1) / 2 - sum(r)) / NULLIF(any_value(n) - count(*), 0) AS score
+  FROM {out}_rk JOIN {sig} USING (gene) GROUP BY study, patientid, signature),
+{out}_raw AS (SELECT e.study, e.patientid, e.signature, e.score / NULLIF(rg.rng, 0) AS score FROM {out}_es e
+  JOIN (SELECT study, signature, max(score) - min(score) AS rng FROM {out}_es GROUP BY study, signature) rg
+  USING (study, signature)),
+""" + sql_gate(sig, out)
+
+
+def sql_ks(dens: str, sig: str, out: str) -> str:
+    """GSVA steps (b)+(c) on ``dens(study, patientid, gene, cdf)`` -> ``{out}_raw``."""
+    return f"""{out}_p AS (SELECT study, patientid, gene,
+    row_number() OVER (PARTITION BY study, patientid ORDER BY cdf DESC, gene) AS p,
+    count(*) OVER (PARTITION BY study, patientid) AS n FROM {dens}),
+{out}_x AS (SELECT p.*, s.signature, abs(n - p + 1 - n / 2) AS wt FROM {out}_p p JOIN {sig} s USING (gene)),
+{out}_y AS (SELECT *,
+    sum(wt) OVER (PARTITION BY study, patientid, signature ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw,
+    row_number() OVER (PARTITION BY study, patientid, signature ORDER BY p) AS m,
+    sum(wt) OVER (PARTITION BY study, patientid, signature) AS tw,
+    count(*) OVER (PARTITION BY study, patientid, signature) AS k FROM {out}_x),
+{out}_raw AS (SELECT study, patientid, signature,
+    greatest(max(cw / NULLIF(tw, 0) - (p - m) / NULLIF(n - k, 0)), 0)
+    + least(min((cw - wt) / NULLIF(tw, 0) - (p - m) / NULLIF(n - k, 0)), 0) AS score
+  FROM {out}_y GROUP BY study, patientid, signature)"""
+
+
+def sql_gsva(sig: str, out: str) -> str:
+    return f"""{out}_c AS (SELECT study, gene, value, count(*) AS cnt FROM gf GROUP BY study, gene, value),
+{out}_cdf AS (SELECT study, gene, value,
+    sum(cnt) OVER (PARTITION BY study, gene ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    / sum(cnt) OVER (PARTITION BY study, gene) AS cdf FROM {out}_c),
+{out}_d AS (SELECT e.study, e.patientid, e.gene, c.cdf FROM gf e JOIN {out}_cdf c USING (study, gene, value)),
+""" + sql_ks(f"{out}_d", sig, out) + ",\n" + sql_gate(sig, out)
+
+
+def _sig_of(method: str, name: str) -> str:
+    return f"{name} AS (SELECT s.* FROM v_sig s JOIN v_info i USING (signature) WHERE i.method = '{method}')"
+
+
+_SS = ",\n".join(
+    [
+        _GF,
+        _INFO,
+        _sig_of("Weighted Mean", "s_wm"),
+        _sig_of("ssGSEA", "s_sg"),
+        _sig_of("GSVA", "s_gv"),
+        sql_wmean("s_wm", "o_wm"),
+        sql_ssgsea("s_sg", "o_sg"),
+        sql_gsva("s_gv", "o_gv"),
+        """ss_all AS (SELECT * FROM o_wm UNION ALL SELECT * FROM o_sg UNION ALL SELECT * FROM o_gv),
+ss_ok AS (SELECT study, signature FROM ss_all GROUP BY study, signature HAVING bool_and(score IS NOT NULL)),
+ss AS (SELECT a.* FROM ss_all a JOIN ss_ok USING (study, signature))""",
+    ]
+)
+
+
+def sql_composite(scores: str, parts: str, out: str) -> str:
+    return f"""{out}_p AS {parts},
+{out}_np AS (SELECT signature AS composite, count(*) AS n_parts FROM {out}_p GROUP BY signature),
+{out} AS (SELECT x.study, x.patientid, x.composite AS signature,
+    round(CASE WHEN count(x.score) = any_value(np.n_parts) THEN
+      CASE WHEN count_if(x.op IN ('num', 'den')) > 0
+           THEN avg(CASE WHEN x.op = 'num' THEN x.score END) / NULLIF(avg(CASE WHEN x.op = 'den' THEN x.score END), 0)
+           ELSE sum(CASE WHEN x.op = 'add' THEN x.coef * x.score END) END END, 6) AS score
+  FROM (SELECT s.study, s.patientid, p.signature AS composite, p.op, p.coef, s.score
+        FROM {scores} s JOIN {out}_p p ON s.signature = p.component) x
+  JOIN {out}_np np USING (composite)
+  GROUP BY x.study, x.patientid, x.composite)"""
+
+
+def _parts(spark, rows):
+    return spark.createDataFrame(rows, PARTS_SCHEMA)
+
+
+@query("method_dispatch", with_views("SELECT s.signature, s.gene, s.weight, i.method FROM v_sig s JOIN v_info i USING (signature)", "v_sig", extra=_INFO))
+def q_method_dispatch(spark, sf):
+    return S.method_dispatch(v_sig(spark, sf), v_info(spark, sf))
+
+
+@query(
+    "signature_expand",
+    with_views(
+        "SELECT e.study, e.patientid, s.signature, e.gene, e.value, s.weight FROM v_expr e JOIN v_sig s USING (gene)",
+        "v_expr",
+        "v_sig",
+    ),
+)
+def q_signature_expand(spark, sf):
+    return S.signature_expand(v_expr(spark, sf), v_sig(spark, sf))
+
+
+@query("sig_weighted_mean", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_wmean("v_sig", "o")))
+def q_sig_weighted_mean(spark, sf):
+    return S.sig_weighted_mean(v_expr(spark, sf), v_sig(spark, sf), **KW)
+
+
+@query("sig_ssgsea", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_ssgsea("v_sig", "o")))
+def q_sig_ssgsea(spark, sf):
+    return S.sig_ssgsea(v_expr(spark, sf), v_sig(spark, sf), **KW)
+
+
+@query("sig_gsva_ecdf", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_gsva("v_sig", "o")))
+def q_sig_gsva_ecdf(spark, sf):
+    return S.sig_gsva(v_expr(spark, sf), v_sig(spark, sf), kcdf="none", **KW)
+
+
+@query("score_signatures", with_views("SELECT * FROM ss", "v_expr", "v_sig", extra=_SS))
+def q_score_signatures(spark, sf):
+    return S.score_signatures(v_expr(spark, sf), v_sig(spark, sf), v_info(spark, sf), **KW)
+
+
+@query(
+    "sig_composite",
+    with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_SS + ",\n" + sql_composite("ss", _values(COMPOSITE_PARTS), "o")),
+)
+def q_sig_composite(spark, sf):
+    ss = S.score_signatures(v_expr(spark, sf), v_sig(spark, sf), v_info(spark, sf), **KW)
+    return S.sig_composite(ss, _parts(spark, COMPOSITE_PARTS))
+
+
+@query(
+    "sig_contrast",
+    with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_SS + ",\n" + sql_composite("ss", _values(CONTRAST_PARTS), "o")),
+)
+def q_sig_contrast(spark, sf):
+    ss = S.score_signatures(v_expr(spark, sf), v_sig(spark, sf), v_info(spark, sf), **KW)
+    return S.sig_composite(ss, _parts(spark, CONTRAST_PARTS))
+
+
+_HALVES = """halves AS (SELECT signature || CASE WHEN weight > 0 THEN '+' ELSE '-' END AS signature, gene, 1.0 AS weight
+  FROM v_sig WHERE weight <> 0)"""
+_PIO_PARTS = """(SELECT signature, signature || '+' AS component, 'add' AS op, 1.0 AS coef FROM (SELECT DISTINCT signature FROM v_sig)
+  UNION ALL
+  SELECT signature, signature || '-', 'add', -1.0 FROM (SELECT DISTINCT signature FROM v_sig))"""
+
+
+@query(
+    "sig_predictio",
+    with_views(
+        "SELECT * FROM o",
+        "v_expr",
+        "v_sig",
+        extra=",\n".join([_GF, _HALVES, sql_gsva("halves", "h"), sql_composite("h", _PIO_PARTS, "o")]),
+    ),
+)
+def q_sig_predictio(spark, sf):
+    return S.sig_predictio(v_expr(spark, sf), v_sig(spark, sf), **KW)
