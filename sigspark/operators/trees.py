@@ -275,12 +275,26 @@ def parse_models(docs: DataFrame, text_col: str = "json", model_col: str = "mode
     )
 
 
+def write_models(docs: DataFrame, path: str) -> None:
+    """One folder per model (``model=<name>``), one document per line."""
+    docs.select("model", "json").write.mode("overwrite").partitionBy("model").text(path)
+
+
 def read_models(spark, path: str, wholetext: bool = False) -> DataFrame:
     """Read model documents: one per line (default) or one per file (``wholetext``).
 
-    The model name is the file name without extension.
+    The model name is taken from a ``model=<name>`` folder when there is one
+    (partition values are %-escaped on write; ``+`` is kept), else from the
+    file name without extension.  Partition discovery is not used, so names
+    are never re-typed.
     """
-    df = spark.read.text(path, wholetext=wholetext).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("model"), "value"
+    fp = F.col("_metadata.file_path")
+    part = F.regexp_extract(fp, r"model=([^/]+)/", 1)
+    # the path is a URI (so %-escaped once more than the folder name), and the
+    # folder name is Spark's %-escaped partition value: decode twice, keep '+'
+    dec = lambda c: F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    name = F.when(part != "", dec(dec(part))).otherwise(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     )
-    return parse_models(df, "value")
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=wholetext)
+    return parse_models(files.select(name.alias("model"), "value"), "value")

@@ -142,14 +142,16 @@ def q_fit_boosted(spark, sf):
 
 
 _AUC_OF_PREDS = """pr AS (SELECT p.study, (f.fit_no - 1) * {nr} + list_position({rounds}, p.nrounds) AS grid_id, p.nrounds,
-    CAST(p.y AS INTEGER) AS label, round(p.margin, 9) AS score
+    CAST(p.y AS INTEGER) AS label, round(p.margin, 9) AS score, p.margin
   FROM preds p JOIN fits f USING (fit_id, study)),
-c AS (SELECT study, grid_id, score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+ca AS (SELECT study, grid_id, score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
              CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM pr GROUP BY ALL),
 au AS (SELECT study, grid_id, round(sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
          / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auc
-  FROM (SELECT c.*, sum(neg) OVER (PARTITION BY study, grid_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM c)
-  GROUP BY study, grid_id)"""
+  FROM (SELECT ca.*, sum(neg) OVER (PARTITION BY study, grid_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM ca)
+  GROUP BY study, grid_id),
+best AS (SELECT study, grid_id, auc FROM (
+  SELECT *, row_number() OVER (PARTITION BY study ORDER BY auc DESC NULLS LAST, grid_id) AS rk FROM au) WHERE rk = 1)"""
 
 
 def grid_aucs(preds, fits, grid):
@@ -167,13 +169,12 @@ def grid_aucs(preds, fits, grid):
 
 @query(
     "select_best",
-    _fit_sql(
-        TEST_GRID,
-        """SELECT study, grid_id, auc FROM (
-  SELECT *, row_number() OVER (PARTITION BY study ORDER BY auc DESC NULLS LAST, grid_id) AS rk FROM au) WHERE rk = 1""",
-    ).replace("preds AS (", "preds AS (", 1).replace(
-        "\nSELECT study, grid_id, auc FROM (",
-        ",\n" + _AUC_OF_PREDS.format(nr=len(TEST_GRID["nrounds"]), rounds=TEST_GRID["nrounds"]) + "\nSELECT study, grid_id, auc FROM (",
+    with_views(
+        "SELECT * FROM best",
+        "v_wide",
+        extra=",\n".join(BS.fit_ctes(TEST_GRID, MAX_BINS))
+        + ",\n"
+        + _AUC_OF_PREDS.format(nr=len(TEST_GRID["nrounds"]), rounds=TEST_GRID["nrounds"]),
     ),
 )
 def q_select_best(spark, sf):

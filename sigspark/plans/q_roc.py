@@ -75,6 +75,25 @@ a AS (SELECT study, model, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS B
 FROM (SELECT c.*, sum(neg) OVER ({_W}) AS neg_cum FROM c) GROUP BY study, model)"""
 )
 
+_AUPRC = (
+    _C
+    + """,
+ap AS ("""
+    + """SELECT study, model, CAST(sum(tpn) AS BIGINT) AS n_pos,
+       round(sum(CASE WHEN tpn > 0 THEN (tpb - tpa) / (1 + h)
+                      - CASE WHEN fpa - h * tpa = 0 THEN 0
+                             ELSE ((fpa - h * tpa) / ((1 + h) * (1 + h)))
+                                  * (ln((1 + h) * tpb + fpa - h * tpa) - ln((1 + h) * tpa + fpa - h * tpa)) END
+                 ELSE 0 END) / NULLIF(sum(tpn), 0), 6) AS auprc
+FROM (SELECT study, model, tpn, CAST(tpb AS DOUBLE) AS tpb, CAST(tpb - tpn AS DOUBLE) AS tpa,
+             CAST(fpb - fpn AS DOUBLE) AS fpa, CAST(fpn AS DOUBLE) / NULLIF(tpn, 0) AS h
+      FROM (SELECT study, model, pos AS tpn, neg AS fpn,
+                   sum(pos) OVER w AS tpb, sum(neg) OVER w AS fpb
+            FROM c WINDOW w AS (PARTITION BY study, model ORDER BY -score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
+GROUP BY study, model"""
+    + """)"""
+)
+
 _CONF = (
     _BEST
     + """,
@@ -151,25 +170,7 @@ def q_threshold_metrics(spark, sf):
     return roc.threshold_metrics(roc.confusion(p, roc.best_threshold(roc.roc_curve(p))))
 
 
-@query(
-    "auprc",
-    with_views(
-        """SELECT study, model, CAST(sum(tpn) AS BIGINT) AS n_pos,
-       round(sum(CASE WHEN tpn > 0 THEN (tpb - tpa) / (1 + h)
-                      - CASE WHEN fpa - h * tpa = 0 THEN 0
-                             ELSE ((fpa - h * tpa) / ((1 + h) * (1 + h)))
-                                  * (ln((1 + h) * tpb + fpa - h * tpa) - ln((1 + h) * tpa + fpa - h * tpa)) END
-                 ELSE 0 END) / NULLIF(sum(tpn), 0), 6) AS auprc
-FROM (SELECT study, model, tpn, CAST(tpb AS DOUBLE) AS tpb, CAST(tpb - tpn AS DOUBLE) AS tpa,
-             CAST(fpb - fpn AS DOUBLE) AS fpa, CAST(fpn AS DOUBLE) / NULLIF(tpn, 0) AS h
-      FROM (SELECT study, model, pos AS tpn, neg AS fpn,
-                   sum(pos) OVER w AS tpb, sum(neg) OVER w AS fpb
-            FROM c WINDOW w AS (PARTITION BY study, model ORDER BY -score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
-GROUP BY study, model""",
-        "v_pred",
-        extra=_C,
-    ),
-)
+@query("auprc", with_views("SELECT * FROM ap", "v_pred", extra=_AUPRC))
 def q_auprc(spark, sf):
     return roc.auprc(v_pred(spark, sf))
 
