@@ -312,3 +312,56 @@ def select_best(aucs: DataFrame, key: str = "study") -> DataFrame:
     """Best grid row per study by training AUC; the first grid_id wins ties (strict >)."""
     w = Window.partitionBy(key).orderBy(F.col("auc").desc_nulls_last(), F.col("grid_id"))
     return aucs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int = 32, seed: int = 135):
+    """k-fold CV of the grid on pooled rows (the centralised model).
+
+    Folds are stratified by class (:func:`compare.stratified_folds`).  The
+    training set of fold f is every row of another fold: each row is
+    exploded into the k - 1 training sets it belongs to and the fold takes
+    the place of the study in the fit key, so all k x grid fits train
+    together.  Held-out rows are scored only by their own fold's models and
+    the margin after each requested round count is read off the per-tree
+    leaves.  Returns ``aucs(fold, grid_id, auc)`` and the mean per grid row
+    ``(grid_id, n_folds, mean_auc)``.
+    """
+    from . import roc, trees as TR
+    from .compare import stratified_folds
+
+    fo = stratified_folds(rows, k, seed=seed)
+    train = fo.select(
+        F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))).alias("study"),
+        "row_id", "features", "y",
+    )
+    trees, _, fits = fit_boosted(train, grid_values, max_bins)
+    per_fold = fits.groupBy("study").agg(F.collect_list("fit_id").alias("models"))
+    held = fo.select(F.col("fold").alias("study"), "row_id", "features", "y").join(per_fold, "study")
+    leaves = TR.score_models(trees, held, ids=["study", "row_id", "y"], per_tree=True)
+    nr = sorted(int(n) for n in grid_values["nrounds"])
+    marg = leaves.groupBy("study", "row_id", "y", "model").agg(
+        *[F.sum(F.when(F.col("tree") < n, F.col("leaf"))).alias(f"m{n}") for n in nr]
+    )
+    long = marg.select(
+        "study", "row_id", "y", "model",
+        F.explode(F.array(*[F.struct(F.lit(n).alias("nrounds"), F.col(f"m{n}").alias("margin")) for n in nr])).alias("x"),
+    )
+    order = [int(n) for n in grid_values["nrounds"]]
+    pos = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("x.nrounds"))
+    p = long.join(fits.select(F.col("fit_id").alias("model"), "fit_no"), "model").select(
+        F.col("study").alias("fold"),
+        ((F.col("fit_no") - 1) * len(order) + pos).cast("int").alias("grid_id"),
+        F.col("y").cast("int").alias("label"),
+        F.round("x.margin", 9).alias("score"),
+    )
+    aucs = roc.auc(p, keys=["fold", "grid_id"]).select("fold", "grid_id", "auc")
+    mean = aucs.groupBy("grid_id").agg(
+        F.count("auc").alias("n_folds"), F.round(F.avg("auc"), 6).alias("mean_auc")
+    )
+    return aucs, mean
+
+
+def cv_select(mean: DataFrame) -> DataFrame:
+    """Grid row with the highest mean CV AUC; the first grid_id wins ties."""
+    w = Window.orderBy(F.col("mean_auc").desc_nulls_last(), F.col("grid_id"))
+    return mean.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -48,3 +48,130 @@ def auc_spread(aucs: DataFrame, keys: Sequence[str] = ("study",)) -> DataFrame:
         F.round(F.percentile("auc", F.lit(0.025)), 6).alias("auc_q025"),
         F.round(F.percentile("auc", F.lit(0.975)), 6).alias("auc_q975"),
     )
+
+
+def index_within(df: DataFrame, keys: Sequence[str], order, buckets: int = 16) -> DataFrame:
+    """0-based position of each row inside its group by ``order`` (a column or list), skew-safe.
+
+    Rows equal on every order column get distinct but arbitrary positions,
+    so ``order`` should identify a row or rows equal on it must be
+    interchangeable."""
+    from .scan import ordered_scan
+
+    order = [order] if isinstance(order, str) else list(order)
+    s = ordered_scan(df.withColumn("_one", F.lit(1)), list(keys), order, sums=["_one"], buckets=buckets)
+    return s.withColumn("idx", F.col("_one_cum") - 1).drop("_one", "_one_cum")
+
+
+def auc_bootstrap(
+    pred: DataFrame, keys: Sequence[str] = ("study", "model"), reps: int = 200, seed: int = 42,
+    id_col: str = "rid", buckets: int = 16,
+) -> DataFrame:
+    """Stratified bootstrap of the AUC: 2.5 / 50 / 97.5 % percentiles over ``reps`` resamples.
+
+    Each class of each group is resampled with replacement to its own size.
+    Row k of a class draws, for every replicate r, the index
+    floor(u(group, class, r, k) * n) (md5 draw, ``seed`` in the key); draws
+    are counted into weights per (group, class, r, index) and joined back to
+    the indexed rows, so every replicate is a weighted table of at most n
+    rows and the draws are made where the rows are - no group is generated
+    from one task.  The weighted AUC per (group, r) uses the same scan as
+    :func:`sigspark.operators.roc.auc`.  Output: keys, n_reps, auc_lo, auc_med, auc_hi.
+    """
+    from ..functions import md5_uniform
+    from .scan import ordered_scan
+
+    keys = list(keys)
+    p = pred.where(F.col("label").isNotNull() & F.col("score").isNotNull()).select(
+        *keys, id_col, "label", F.col("score").cast("double").alias("score")
+    )
+    # (id, score) orders the rows; rows equal on both are interchangeable for resampling
+    ix = index_within(p, [*keys, "label"], [id_col, "score"], buckets)
+    n = p.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    ix = ix.join(n, [*keys, "label"])
+    draws = ix.select(*keys, "label", "idx", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    u = md5_uniform(*[F.col(k) for k in keys], F.col("label"), F.lit(seed), F.col("rep"), F.col("idx"))
+    w = draws.select(*keys, "label", "rep", F.floor(u * F.col("n")).alias("idx")).groupBy(
+        *keys, "label", "rep", "idx"
+    ).agg(F.count(F.lit(1)).alias("w"))
+    wt = w.join(ix.select(*keys, "label", "idx", "score"), [*keys, "label", "idx"])
+    c = wt.groupBy(*keys, "rep", "score").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0)).alias("neg"),
+    )
+    s = ordered_scan(c, [*keys, "rep"], ["score"], sums=["neg"], buckets=buckets)
+    a = s.groupBy(*keys, "rep").agg(
+        F.try_divide(
+            F.sum(F.col("pos") * ((F.col("neg_cum") - F.col("neg")) + F.col("neg") * 0.5)),
+            F.sum("pos").cast("double") * F.sum("neg"),
+        ).alias("auc")
+    )
+    return a.groupBy(*keys).agg(
+        F.count("auc").alias("n_reps"),
+        F.round(F.percentile("auc", F.lit(0.025)), 6).alias("auc_lo"),
+        F.round(F.percentile("auc", F.lit(0.5)), 6).alias("auc_med"),
+        F.round(F.percentile("auc", F.lit(0.975)), 6).alias("auc_hi"),
+    )
+
+
+def compare_models(aucs: DataFrame, ci: DataFrame, spread: DataFrame, keys: Sequence[str] = ("study",)) -> DataFrame:
+    """One row per (study, family): AUC, CI and the label text ``"<name> AUC: x.xx [lo-hi]"``.
+
+    ``aucs``/``ci`` give one family per model (AUC and bootstrap CI); ``spread``
+    adds the "Local mean" family (mean AUC over models and its 2.5/97.5 %
+    quantiles).  Numbers in labels are rounded to 2 digits first.
+    """
+    keys = list(keys)
+    per = aucs.join(ci, [*keys, "model"]).select(
+        *keys, F.col("model").alias("family"), "auc", F.col("auc_lo").alias("ci_lo"), F.col("auc_hi").alias("ci_hi")
+    )
+    loc = spread.select(
+        *keys, F.lit("Local mean").alias("family"), F.col("auc_mean").alias("auc"),
+        F.col("auc_q025").alias("ci_lo"), F.col("auc_q975").alias("ci_hi"),
+    )
+    out = per.unionByName(loc)
+    lab = F.format_string(
+        "%s AUC: %.2f [%.2f-%.2f]", F.col("family"), F.round("auc", 2), F.round("ci_lo", 2), F.round("ci_hi", 2)
+    )
+    return out.withColumn("label", lab)
+
+
+def stratified_folds(rows: DataFrame, k: int = 5, label: str = "y", id_col: str = "row_id", seed: int = 135) -> DataFrame:
+    """Fold = (position within class by an md5 draw) mod k, so folds are balanced within class.
+
+    The position comes from the skew-safe scan: a class is split into
+    buckets, never gathered into one task.
+    """
+    from ..functions import md5_uniform
+
+    r = rows.withColumn("_u", md5_uniform(F.lit(seed), F.col(id_col)))
+    ix = index_within(r.select(id_col, label, "_u"), [label], "_u")
+    return rows.join(ix.select(id_col, (F.col("idx") % k).cast("int").alias("fold")), id_col)
+
+
+def logit_irls(rows: DataFrame, x: str = "x", y: str = "y", key: str = "study", steps: int = 3) -> DataFrame:
+    """Univariate logistic regression y ~ x per group by ``steps`` Newton (IRLS) steps from 0.
+
+    Each step is one grouped aggregate of five moments
+    (sum w, sum w x, sum w x^2, sum (y-p), sum (y-p) x) joined back on the
+    group key; the 2x2 system is solved in closed form.
+    Output: key, n, b0, b1.
+    """
+    d = rows.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    coef = d.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key, "n", F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"))
+    for _ in range(steps):
+        j = d.join(coef, key)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
+        j = j.withColumn("p", p).withColumn("w", F.col("p") * (F.lit(1.0) - F.col("p")))
+        m = j.groupBy(key, "n", "b0", "b1").agg(
+            F.sum("w").alias("a"), F.sum(F.col("w") * F.col("x")).alias("b"),
+            F.sum(F.col("w") * F.col("x") * F.col("x")).alias("c"),
+            F.sum(F.col("y") - F.col("p")).alias("g0"), F.sum((F.col("y") - F.col("p")) * F.col("x")).alias("g1"),
+        )
+        det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
+        coef = m.select(
+            key, "n",
+            (F.col("b0") + F.try_divide(F.col("c") * F.col("g0") - F.col("b") * F.col("g1"), det)).alias("b0"),
+            (F.col("b1") + F.try_divide(F.col("a") * F.col("g1") - F.col("b") * F.col("g0"), det)).alias("b1"),
+        )
+    return coef.select(key, "n", F.round("b0", 6).alias("b0"), F.round("b1", 6).alias("b1"))

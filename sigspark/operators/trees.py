@@ -29,6 +29,7 @@ def score_models(
     rows: DataFrame,
     ids: Sequence[str] = ("study", "row_id"),
     models: Sequence[str] | None = None,
+    per_tree: bool = False,
 ) -> DataFrame:
     """Margin and probability of every model on every row.
 
@@ -37,16 +38,23 @@ def score_models(
     level is an equi-join on (model, tree, node) against the node table:
     ``x[feature] < threshold`` goes left, a missing value follows
     ``default_left``.  Output: ids, model, margin, prob.
+
+    When ``rows`` has a ``models`` array column, each row is scored only by
+    the models it lists (e.g. the models of its own CV fold).  ``per_tree``
+    returns one row per (ids, model, tree) with the tree's ``leaf``.
     """
     ids = list(ids)
-    if models is None:
+    if "models" in rows.columns:
+        models = []
+    elif models is None:
         names = [r[0] for r in trees.select("model").distinct().limit(MAX_MODELS + 1).collect()]
         if len(names) > MAX_MODELS:
             raise ValueError(f"more than {MAX_MODELS} models; score them in groups")
         models = sorted(names)
     depth = tree_depth(trees)
     nodes = trees.select("model", "tree", "node", "feature", "threshold", "default_left", "left", "right", "leaf_value")
-    pairs = rows.select(*ids, "features", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    mlist = F.col("models") if "models" in rows.columns else F.array(*[F.lit(m) for m in models])
+    pairs = rows.select(*ids, "features", F.explode(mlist).alias("model"))
     st = pairs.join(nodes.where(F.col("node") == 0).select("model", "tree"), "model").withColumn(
         "node", F.lit(0).cast("bigint")
     ).withColumn("leaf", F.lit(None).cast("double"))
@@ -60,6 +68,8 @@ def score_models(
             F.when(F.col("leaf").isNull(), nxt).alias("node"),
             F.coalesce(F.col("leaf"), F.when(F.col("feature").isNull(), F.col("leaf_value"))).alias("leaf"),
         )
+    if per_tree:
+        return st.select(*ids, "model", "tree", "leaf")
     g = st.groupBy(*ids, "model").agg(F.sum("leaf").alias("margin"))
     return g.select(*ids, "model", F.round("margin", 6).alias("margin"), F.round(sigmoid("margin"), 6).alias("prob"))
 

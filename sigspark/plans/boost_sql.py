@@ -40,10 +40,10 @@ def u_of(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
-def base(grid: dict, max_bins: int = 32) -> list[str]:
+def base(grid: dict, max_bins: int = 32, src: str = "v_wide") -> list[str]:
     return [
         f"""lf AS (SELECT study, row_id, CAST(unnest(range(len(features))) AS INTEGER) AS feature, unnest(features) AS value
-  FROM v_wide)""",
+  FROM {src})""",
         f"""bd AS (SELECT study, feature, value, row_number() OVER (PARTITION BY study, feature ORDER BY value) AS rk,
     count(*) OVER (PARTITION BY study, feature) AS m FROM (SELECT DISTINCT study, feature, value FROM lf WHERE value IS NOT NULL))""",
         f"""bper AS (SELECT study, feature,
@@ -53,9 +53,9 @@ def base(grid: dict, max_bins: int = 32) -> list[str]:
         """br AS (SELECT l.study, l.row_id, l.feature, b.bin FROM lf l JOIN bins b
   ON l.study = b.study AND l.feature = b.feature AND l.value >= b.lo AND l.value <= b.hi)""",
         f"""fits AS (SELECT s.study, CAST(s.study AS VARCHAR) || ':' || CAST(g.fit_no AS VARCHAR) AS fit_id, g.*
-  FROM (SELECT DISTINCT study FROM v_wide) s CROSS JOIN {fits_values(grid)})""",
-        """st_r0 AS (SELECT f.fit_id, f.study, w.row_id, CAST(w.y AS DOUBLE) AS y, 0.0::DOUBLE AS margin
-  FROM v_wide w JOIN fits f USING (study))""",
+  FROM (SELECT DISTINCT study FROM {src}) s CROSS JOIN {fits_values(grid)})""",
+        f"""st_r0 AS (SELECT f.fit_id, f.study, w.row_id, CAST(w.y AS DOUBLE) AS y, 0.0::DOUBLE AS margin
+  FROM {src} w JOIN fits f USING (study))""",
     ]
 
 
@@ -118,11 +118,11 @@ def round_ctes(r: int, max_depth: int, lam: float = 1.0, mcw: float = 1.0) -> li
     return out
 
 
-def fit_ctes(grid: dict, max_bins: int = 32) -> list[str]:
+def fit_ctes(grid: dict, max_bins: int = 32, src: str = "v_wide") -> list[str]:
     """All CTEs of a fit; defines ``trees`` and ``preds``."""
     n_rounds = max(grid["nrounds"])
     depth = max(grid["max_depth"])
-    ctes = base(grid, max_bins)
+    ctes = base(grid, max_bins, src)
     for r in range(1, n_rounds + 1):
         ctes += round_ctes(r, depth)
     nodes = " UNION ALL ".join(f"SELECT * FROM nodes_r{r}" for r in range(1, n_rounds + 1))

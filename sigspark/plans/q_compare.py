@@ -36,3 +36,161 @@ FROM a GROUP BY study""",
 )
 def q_auc_spread(spark, sf):
     return compare.auc_spread(roc.auc(v_pred(spark, sf)))
+
+
+# ---- bootstrap CI, comparison table, CV and the logistic baseline ----
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import boost as B  # noqa: E402
+from . import boost_sql as BS  # noqa: E402
+from .q_boost import MAX_BINS, TEST_GRID  # noqa: E402
+from .q_roc import _AUC  # noqa: E402,F811
+from .views import v_wide  # noqa: E402
+
+BOOT_REPS = 50  # replicates in the checked query (the reference draws 1000)
+BOOT_SEED = 42
+CV_K = 5
+CV_SEED = 135
+
+
+def _boot_sql(src: str, reps: int = BOOT_REPS, seed: int = BOOT_SEED) -> str:
+    u = BS.u_of("i.study", "i.model", "i.label", str(seed), "r.rep", "i.idx")
+    return f"""ix AS (SELECT study, model, rid, label, CAST(score AS DOUBLE) AS score,
+    row_number() OVER (PARTITION BY study, model, label ORDER BY rid, score) - 1 AS idx,
+    count(*) OVER (PARTITION BY study, model, label) AS n
+  FROM {src} WHERE label IS NOT NULL AND score IS NOT NULL),
+dr AS (SELECT study, model, label, rep, tgt, count(*) AS w FROM (
+    SELECT i.study, i.model, i.label, r.rep, CAST(floor({u} * i.n) AS BIGINT) AS tgt
+    FROM ix i CROSS JOIN range(1, {reps + 1}) r(rep)) GROUP BY ALL),
+bc AS (SELECT i.study, i.model, d.rep, i.score, sum(CASE WHEN i.label = 1 THEN d.w ELSE 0 END) AS pos,
+          sum(CASE WHEN i.label = 0 THEN d.w ELSE 0 END) AS neg
+  FROM ix i JOIN dr d ON d.study = i.study AND d.model = i.model AND d.label = i.label AND d.tgt = i.idx GROUP BY ALL),
+ba AS (SELECT study, model, rep, sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
+          / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
+  FROM (SELECT bc.*, sum(neg) OVER (PARTITION BY study, model, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM bc)
+  GROUP BY study, model, rep),
+boot AS (SELECT study, model, count(auc) AS n_reps, round(quantile_cont(auc, 0.025), 6) AS auc_lo,
+    round(quantile_cont(auc, 0.5), 6) AS auc_med, round(quantile_cont(auc, 0.975), 6) AS auc_hi FROM ba GROUP BY study, model)"""
+
+
+@query("auc_bootstrap", with_views("SELECT * FROM boot", "v_pred", extra=_boot_sql("v_pred")))
+def q_auc_bootstrap(spark, sf):
+    return compare.auc_bootstrap(v_pred(spark, sf), reps=BOOT_REPS, seed=BOOT_SEED)
+
+
+@query(
+    "compare_models",
+    with_views(
+        """SELECT study, family, auc, ci_lo, ci_hi,
+       printf('%s AUC: %.2f [%.2f-%.2f]', family, round(auc, 2), round(ci_lo, 2), round(ci_hi, 2)) AS label
+FROM (SELECT a.study, a.model AS family, a.auc, b.auc_lo AS ci_lo, b.auc_hi AS ci_hi FROM a JOIN boot b USING (study, model)
+      UNION ALL
+      SELECT study, 'Local mean', round(avg(auc), 6), round(quantile_cont(auc, 0.025), 6), round(quantile_cont(auc, 0.975), 6)
+      FROM a GROUP BY study)""",
+        "v_pred",
+        extra=_AUC + ",\n" + _boot_sql("v_pred"),
+    ),
+)
+def q_compare_models(spark, sf):
+    p = v_pred(spark, sf)
+    a = roc.auc(p)
+    return compare.compare_models(
+        a.select("study", "model", "auc"), compare.auc_bootstrap(p, reps=BOOT_REPS, seed=BOOT_SEED), compare.auc_spread(a)
+    )
+
+
+_FOLDS = f"""fo AS (SELECT w.*, CAST((row_number() OVER (PARTITION BY y ORDER BY {BS.u_of(str(CV_SEED), 'w.row_id')}, w.row_id) - 1) % {CV_K} AS INTEGER) AS fold
+  FROM v_wide w)"""
+
+
+@query("stratified_folds", with_views("SELECT study, row_id, features, y, response, fold FROM fo", "v_wide", extra=_FOLDS))
+def q_stratified_folds(spark, sf):
+    return compare.stratified_folds(v_wide(spark, sf), CV_K, seed=CV_SEED).select(
+        "study", "row_id", "features", "y", "response", "fold"
+    )
+
+
+def _cv_sql() -> str:
+    depth = max(TEST_GRID["max_depth"])
+    nr = sorted(TEST_GRID["nrounds"])
+    parts = [
+        _FOLDS,
+        f"""cvw AS (SELECT CAST(t.cv AS INTEGER) AS study, fo.row_id, fo.features, fo.y FROM fo CROSS JOIN range(0, {CV_K}) t(cv)
+  WHERE t.cv <> fo.fold)""",
+        *BS.fit_ctes(TEST_GRID, MAX_BINS, src="cvw"),
+        """cs0 AS (SELECT t.model, t.tree, fo.fold AS study, fo.row_id, fo.y, fo.features, CAST(0 AS BIGINT) AS node, CAST(NULL AS DOUBLE) AS leaf
+  FROM fo JOIN fits f ON f.study = fo.fold JOIN (SELECT DISTINCT model, tree FROM trees) t ON t.model = f.fit_id)""",
+    ]
+    for k in range(depth + 1):
+        parts.append(
+            f"""cs{k + 1} AS (SELECT s.model, s.tree, s.study, s.row_id, s.y, s.features,
+    CASE WHEN s.leaf IS NULL AND n.feature IS NOT NULL THEN
+      CASE WHEN (CASE WHEN s.features[n.feature + 1] IS NULL THEN n.default_left ELSE s.features[n.feature + 1] < n.threshold END)
+           THEN n."left" ELSE n."right" END END AS node,
+    coalesce(s.leaf, CASE WHEN n.feature IS NULL THEN n.leaf_value END) AS leaf
+  FROM cs{k} s LEFT JOIN trees n ON n.model = s.model AND n.tree = s.tree AND n.node = s.node)"""
+        )
+    rounds = ", ".join(str(n) for n in TEST_GRID["nrounds"])
+    margins = " UNION ALL ".join(
+        f"SELECT study, row_id, y, model, {n} AS nrounds, sum(CASE WHEN tree < {n} THEN leaf END) AS margin FROM cs{depth + 1} GROUP BY study, row_id, y, model"
+        for n in nr
+    )
+    parts += [
+        f"cm_ AS ({margins})",
+        f"""cp AS (SELECT m.study AS fold, CAST((f.fit_no - 1) * {len(nr)} + list_position([{rounds}], m.nrounds) AS INTEGER) AS grid_id,
+    CAST(m.y AS INTEGER) AS label, round(m.margin, 9) AS score FROM cm_ m JOIN fits f ON f.fit_id = m.model)""",
+        """cc AS (SELECT fold, grid_id, score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+    CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM cp GROUP BY ALL)""",
+        """cva AS (SELECT fold, grid_id, round(sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
+    / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auc
+  FROM (SELECT cc.*, sum(neg) OVER (PARTITION BY fold, grid_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM cc)
+  GROUP BY fold, grid_id)""",
+        "cvm AS (SELECT grid_id, count(auc) AS n_folds, round(avg(auc), 6) AS mean_auc FROM cva GROUP BY grid_id)",
+    ]
+    return ",\n".join(parts)
+
+
+@query("cv_mean_auc", with_views("SELECT * FROM cvm", "v_wide", extra=_cv_sql()))
+def q_cv_mean_auc(spark, sf):
+    _, mean = B.cross_validate(v_wide(spark, sf), TEST_GRID, CV_K, MAX_BINS, CV_SEED)
+    return mean
+
+
+@query(
+    "cv_select",
+    with_views(
+        "SELECT grid_id, n_folds, mean_auc FROM (SELECT *, row_number() OVER (ORDER BY mean_auc DESC NULLS LAST, grid_id) AS r FROM cvm) WHERE r = 1",
+        "v_wide",
+        extra=_cv_sql(),
+    ),
+)
+def q_cv_select(spark, sf):
+    _, mean = B.cross_validate(v_wide(spark, sf), TEST_GRID, CV_K, MAX_BINS, CV_SEED)
+    return B.cv_select(mean)
+
+
+def _logit_sql(steps: int = 3) -> str:
+    parts = [
+        "ld AS (SELECT study, CAST(features[1] AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM v_wide)",
+        "lc0 AS (SELECT study, count(*) AS n, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM ld GROUP BY study)",
+    ]
+    for s in range(steps):
+        parts.append(
+            f"""lm{s} AS (SELECT study, n, b0, b1, sum(w) AS a, sum(w * x) AS b, sum(w * x * x) AS c, sum(y - p) AS g0, sum((y - p) * x) AS g1
+  FROM (SELECT d.*, c.n, c.b0, c.b1, 1.0 / (1.0 + exp(-(c.b0 + c.b1 * d.x))) AS p,
+               (1.0 / (1.0 + exp(-(c.b0 + c.b1 * d.x)))) * (1.0 - 1.0 / (1.0 + exp(-(c.b0 + c.b1 * d.x)))) AS w
+        FROM ld d JOIN lc{s} c USING (study))
+  GROUP BY study, n, b0, b1)"""
+        )
+        parts.append(
+            f"""lc{s + 1} AS (SELECT study, n, b0 + (c * g0 - b * g1) / NULLIF(a * c - b * b, 0) AS b0,
+    b1 + (a * g1 - b * g0) / NULLIF(a * c - b * b, 0) AS b1 FROM lm{s})"""
+        )
+    return ",\n".join(parts)
+
+
+@query("logit_irls", with_views("SELECT study, n, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM lc3", "v_wide", extra=_logit_sql(3)))
+def q_logit_irls(spark, sf):
+    w = v_wide(spark, sf).select("study", F.col("features")[0].alias("x"), "y")
+    return compare.logit_irls(w, "x", "y", "study", 3)
