@@ -37,7 +37,8 @@ def _prepare(expr, sigs, n_cutoff, sig_perc, missing_perc, floor):
 def _gate(scores: DataFrame, gate: DataFrame) -> DataFrame:
     """Scores of (study, signature) pairs failing the coverage gate become NULL."""
     return scores.join(gate, ["study", "signature"], "left").select(
-        "study", "patientid", "signature", F.round(F.when(F.col("pass"), F.col("score")), 6).alias("score")
+        "study", "patientid", "signature",
+        (F.round(F.when(F.col("pass"), F.col("score")), 6) + F.lit(0.0)).alias("score"),  # -0.0 -> 0.0
     )
 
 

@@ -59,7 +59,7 @@ def sql_gate(sig: str, out: str) -> str:
         JOIN {out}_sg sg USING (gene) GROUP BY g.study, sg.signature) pr
   JOIN {out}_ns ns USING (signature)
   JOIN (SELECT study, count(DISTINCT patientid) AS n_samples FROM gf GROUP BY study) sm USING (study)),
-{out} AS (SELECT r.study, r.patientid, r.signature, round(CASE WHEN g.pass THEN r.score END, 6) AS score
+{out} AS (SELECT r.study, r.patientid, r.signature, round(CASE WHEN g.pass THEN r.score END, 6) + 0.0 AS score
   FROM {out}_raw r LEFT JOIN {out}_g g USING (study, signature))"""
 
 
@@ -223,3 +223,30 @@ _PIO_PARTS = """(SELECT signature, signature || '+' AS component, 'add' AS op, 1
 )
 def q_sig_predictio(spark, sf):
     return S.sig_predictio(v_expr(spark, sf), v_sig(spark, sf), **KW)
+
+
+def sql_phi(z: str) -> str:
+    """Standard normal CDF in DuckDB by the same series and term order as ``functions.normal_cdf``."""
+    series = (
+        f"list_reduce(list_transform(range(1, 121), lambda n: {{'t': {z} * {z}, 'd': CAST(2 * n + 1 AS DOUBLE)}}), "
+        f"lambda acc, e: {{'t': acc.t * e.t / e.d, 'd': acc.d + acc.t * e.t / e.d}}, "
+        f"{{'t': CAST({z} AS DOUBLE), 'd': CAST({z} AS DOUBLE)}}).d"
+    )
+    return (
+        f"(CASE WHEN {z} <= -9 THEN 0.0 WHEN {z} >= 9 THEN 1.0 "
+        f"ELSE 0.5 + exp(-({z} * {z}) / 2.0) / 2.5066282746310002 * {series} END)"
+    )
+
+
+def sql_gsva_kernel(sig: str, out: str) -> str:
+    """Brute force over all sample pairs of a (study, gene) - fine for the oracle's small data."""
+    return f"""{out}_st AS (SELECT study, gene, stddev_samp(value) / 4 AS h FROM gf GROUP BY study, gene HAVING stddev_samp(value) > 0),
+{out}_z AS (SELECT a.study, a.patientid, a.gene, (a.value - b.value) / s.h AS z
+  FROM gf a JOIN gf b ON a.study = b.study AND a.gene = b.gene JOIN {out}_st s ON s.study = a.study AND s.gene = a.gene),
+{out}_d AS (SELECT study, patientid, gene, avg({sql_phi('z')}) AS cdf FROM {out}_z GROUP BY study, patientid, gene),
+""" + sql_ks(f"{out}_d", sig, out) + ",\n" + sql_gate(sig, out)
+
+
+@query("sig_gsva_kernel", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_gsva_kernel("v_sig", "o")))
+def q_sig_gsva_kernel(spark, sf):
+    return S.sig_gsva(v_expr(spark, sf), v_sig(spark, sf), kcdf="gaussian", **KW)
