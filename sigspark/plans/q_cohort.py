@@ -343,3 +343,25 @@ def q_src_expression(spark, sf):
     io.write_table(v_expr(spark, sf), os.path.join(root, "expression"))
     e = io.read_cohort(spark, root)["expression"]
     return e.select(F.col("study").cast("int").alias("study"), "patientid", "gene", "value")
+
+
+@query(
+    "src_name_list",
+    with_views(
+        """SELECT signature AS value, row_number() OVER (ORDER BY signature) AS ord FROM (
+  SELECT signature FROM (SELECT DISTINCT study, signature FROM cs WHERE score IS NOT NULL)
+  GROUP BY signature HAVING count(*) = (SELECT count(DISTINCT study) FROM cs))""",
+        "v_scores_sup",
+        extra=_CS,
+    ),
+)
+def q_src_name_list(spark, sf):
+    """The common-feature list written as a text file and read back in line order."""
+    from pyspark.sql import Window
+
+    names = cohort.common_features(cohort.complete_signatures(v_scores_sup(spark, sf)))
+    path = scratch_path(spark, f"name_list_{os.path.basename(sf.rstrip('/'))}")
+    io.write_list(names, path, "signature")
+    back = io.read_list(spark, path)
+    # the list is a small dimension; numbering it in one window is bounded by its length
+    return back.select("value", F.row_number().over(Window.orderBy("pos")).alias("ord"))

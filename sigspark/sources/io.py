@@ -74,3 +74,12 @@ def read_cohort(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         if os.path.exists(p) or "://" in root:
             out[name] = spark.read.parquet(p)
     return out
+
+
+def write_list(df: DataFrame, path: str, col: str = "value") -> None:
+    """Write a name list, one per line, in ``col`` order.
+
+    A name list is a small dimension (feature or signature names), so it is
+    written as one file to keep the line order.
+    """
+    df.select(F.col(col).cast("string")).orderBy(col).coalesce(1).write.mode("overwrite").text(path)
