@@ -88,27 +88,23 @@ def study_parts(study_col) -> Column:
     )
 
 
-def normal_cdf(col, terms: int = 120) -> Column:
-    """Standard normal CDF to double precision, as a column expression.
-
-    Marsaglia's series Phi(x) = 1/2 + phi(x) * sum_{n>=0} x^(2n+1)/(1*3*...*(2n+1)),
-    evaluated by a higher-order ``aggregate`` (all terms share the sign of x,
-    so there is no cancellation).  |x| > 9 is clamped to 0/1 (error < 1e-18).
+def normal_cdf(col, terms: int = 110) -> Column:
+    """Standard normal CDF to double precision, as a plain column expression.
+
+    Marsaglia's series Phi(x) = 1/2 + phi(x) * x * sum_{n>=0} x^(2n) / (1*3*...*(2n+1)),
+    evaluated in Horner form, t = 1 + x^2/(2n+1) * t for n = terms..1, so the
+    whole expression is ordinary arithmetic inside whole-stage codegen (no
+    lambda).  All terms share one sign, so there is no cancellation; with
+    110 terms the error on [-9, 9] is below 1e-15, and |x| >= 9 is 0 / 1
+    (error < 1e-18).
     """
     x = _c(col)
     xc = F.least(F.greatest(x, F.lit(-9.0)), F.lit(9.0))
     x2 = xc * xc
-    acc0 = F.struct(xc.alias("t"), xc.alias("s"))
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
-        acc0,
-        lambda acc, n: F.struct(
-            (acc["t"] * x2 / (F.lit(2.0) * n + F.lit(1.0))).alias("t"),
-            (acc["s"] + acc["t"] * x2 / (F.lit(2.0) * n + F.lit(1.0))).alias("s"),
-        ),
-        lambda acc: acc["s"],
-    )
+    t = F.lit(1.0)
+    for n in range(terms, 0, -1):
+        t = F.lit(1.0) + x2 / F.lit(float(2 * n + 1)) * t
     pdf = F.exp(-x2 / F.lit(2.0)) / F.lit(2.5066282746310002)
     return F.when(x <= F.lit(-9.0), F.lit(0.0)).when(x >= F.lit(9.0), F.lit(1.0)).otherwise(
-        F.lit(0.5) + pdf * series
+        F.lit(0.5) + pdf * xc * t
     )

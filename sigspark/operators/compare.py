@@ -86,9 +86,12 @@ def auc_bootstrap(
         *keys, id_col, "label", F.col("score").cast("double").alias("score")
     )
     # (id, score) orders the rows; rows equal on both are interchangeable for resampling
+    from ..session import reuse
+
+    p = reuse(p)
     ix = index_within(p, [*keys, "label"], [id_col, "score"], buckets)
     n = p.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-    ix = ix.join(n, [*keys, "label"])
+    ix = reuse(ix.join(n, [*keys, "label"]))
     draws = ix.select(*keys, "label", "idx", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     u = md5_uniform(*[F.col(k) for k in keys], F.col("label"), F.lit(seed), F.col("rep"), F.col("idx"))
     w = draws.select(*keys, "label", "rep", F.floor(u * F.col("n")).alias("idx")).groupBy(

@@ -35,28 +35,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normal_cdf
+from ..session import reuse
 from .scan import ordered_scan
 
 KEYS = ["study", "gene"]
 
 
-def _expansion(a: str, u, terms: int):
-    """sum_m A[m] Phi^(m)(u) for the moment array column ``a``."""
+def _with_expansion(df: DataFrame, terms: int) -> DataFrame:
+    """Add ``contrib`` = sum_m a_m Phi^(m)(u) for the moment columns a0..a{terms-1}.
+
+    Phi^(m)(u) = (-1)^(m-1) He_{m-1}(u) phi(u) for m >= 1; the Hermite values
+    He_0..He_{terms-2} are added as columns by their recurrence
+    He_{k+1} = u He_k - k He_{k-1}, so every expression stays small and runs
+    in generated code.
+    """
+    u = F.col("u")
+    df = df.withColumn("he0", F.lit(1.0)).withColumn("he1", u)
+    for k in range(1, terms - 2):
+        df = df.withColumn(f"he{k + 1}", u * F.col(f"he{k}") - F.lit(float(k)) * F.col(f"he{k - 1}"))
+    tail = F.lit(0.0)
+    for m in range(1, terms):
+        tail = tail + F.col(f"a{m}") * F.lit(1.0 if m % 2 == 1 else -1.0) * F.col(f"he{m - 1}")
     pdf = F.exp(-u * u / F.lit(2.0)) / F.lit(math.sqrt(2.0 * math.pi))
-    tail = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms - 1)),
-        F.struct(F.lit(0.0).alias("p"), F.lit(1.0).alias("c"), F.lit(0.0).alias("s")),
-        lambda acc, m: F.struct(
-            acc["c"].alias("p"),
-            (u * acc["c"] - (m - F.lit(1)).cast("double") * acc["p"]).alias("c"),
-            (
-                acc["s"]
-                + F.element_at(F.col(a), m + 1) * F.when(m % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)) * acc["c"]
-            ).alias("s"),
-        ),
-        lambda acc: acc["s"],
-    )
-    return F.element_at(F.col(a), 1) * normal_cdf(u) + pdf * tail
+    return df.withColumn("contrib", F.col("a0") * normal_cdf(u) + pdf * tail)
 
 
 def kernel_cdf(expr: DataFrame, terms: int = 16, reach: float = 9.25, buckets: int = 16) -> DataFrame:
@@ -70,20 +71,21 @@ def kernel_cdf(expr: DataFrame, terms: int = 16, reach: float = 9.25, buckets: i
     )
     x = expr.join(st, KEYS).withColumn("b", F.floor((F.col("value") - F.col("lo")) / (F.col("h") / 2)))
     centre = lambda b: F.col("lo") + (b + F.lit(0.5)) * (F.col("h") / 2)
-    x = x.withColumn("t", (F.col("value") - centre(F.col("b"))) / F.col("h"))
+    x = reuse(x.withColumn("t", (F.col("value") - centre(F.col("b"))) / F.col("h")))
     moments = [
         (F.sum(F.pow(-F.col("t"), F.lit(float(m)))) / F.lit(float(math.factorial(m)))) if m else F.count(F.lit(1)).cast("double")
         for m in range(terms)
     ]
-    bins = x.groupBy(*KEYS, "b").agg(F.array(*moments).alias("a"), F.count(F.lit(1)).alias("cnt"))
+    bins = reuse(x.groupBy(*KEYS, "b").agg(*[m.alias(f"a{i}") for i, m in enumerate(moments)], F.count(F.lit(1)).alias("cnt")))
 
     # near bins: expand each sample over its 2R+1 neighbouring bins (equi-join on the bin id)
     near = x.select(
         *KEYS, "patientid", "value", "lo", "h",
         F.explode(F.sequence(F.col("b") - radius, F.col("b") + radius)).alias("b"),
-    ).join(bins.select(*KEYS, "b", "a"), [*KEYS, "b"])
+    ).join(bins.select(*KEYS, "b", *[f"a{i}" for i in range(terms)]), [*KEYS, "b"])
     u = (F.col("value") - centre(F.col("b"))) / F.col("h")
-    near_sum = near.groupBy(*KEYS, "patientid").agg(F.sum(_expansion("a", u, terms)).alias("near"))
+    near = _with_expansion(near.withColumn("u", u), terms)
+    near_sum = near.groupBy(*KEYS, "patientid").agg(F.sum("contrib").alias("near"))
 
     # far below: samples in bins < b_j - R, as a prefix count over a stream of bins and queries
     pid_type = expr.schema["patientid"].dataType

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reuse
 from .scan import ordered_scan
 
 KEYS = ("study", "model")
@@ -25,7 +26,7 @@ KEYS = ("study", "model")
 def collapse(pred: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", score: str = "score") -> DataFrame:
     """One row per (group, distinct score) with ``pos`` (label 1) and ``neg`` (label 0) counts."""
     lab = F.col(label)
-    return (
+    return reuse(
         pred.where(lab.isNotNull() & F.col(score).isNotNull())
         .groupBy(*keys, F.col(score).cast("double").alias("score"))
         .agg(

@@ -50,8 +50,11 @@ def ordered_scan(
     ``order`` columns must give a total order within a group (callers collapse
     ties first); the first one must be numeric (it drives the bucketing).
     """
+    from ..session import reuse
+
     keys, order = list(keys), list(order)
     o0 = order[0]
+    df = reuse(df)  # read by the cut-point sketch, the bucket totals and the row pass
     if buckets > 1:
         qs = [i / buckets for i in range(1, buckets)]
         bounds = df.groupBy(*keys).agg(

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reuse
 from .cohort import coverage, gene_filter
 from .scan import ordered_scan
 
@@ -29,7 +30,7 @@ SCORE_COLS = ["study", "patientid", "signature", "score"]
 
 
 def _prepare(expr, sigs, n_cutoff, sig_perc, missing_perc, floor):
-    ef = gene_filter(expr, missing_perc, floor) if floor is not None else expr
+    ef = reuse(gene_filter(expr, missing_perc, floor) if floor is not None else expr)
     gate = coverage(ef, sigs, n_cutoff, sig_perc).select("study", "signature", "pass")
     return ef, gate
 
@@ -274,7 +275,8 @@ def score_signatures(expr: DataFrame, sigs: DataFrame, info: DataFrame, **kw) ->
     """
     from .cohort import complete_signatures
 
-    md = method_dispatch(sigs, info)
+    expr = reuse(expr)
+    md = reuse(method_dispatch(sigs, info))
     branch = {
         "Weighted Mean": lambda s: sig_weighted_mean(expr, s, **kw),
         "ssGSEA": lambda s: sig_ssgsea(expr, s, **kw),

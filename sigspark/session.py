@@ -53,6 +53,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", name)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that several branches of one plan read.
+
+    Spark does not share a subtree between branches of a plan (column pruning
+    makes the copies differ), so without this every branch recomputes it from
+    the sources.  MEMORY_AND_DISK spills instead of failing; partitions lost
+    with an executor are recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

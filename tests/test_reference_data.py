@@ -1,0 +1,57 @@
+"""Goldens from the reference's data files (read only)."""
+
+import glob
+import os
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from sigspark.functions import encode_label
+from sigspark.operators import roc
+from sigspark.operators.reshape import to_long
+from sigspark.sources import io
+
+from conftest import REF
+
+
+def _names(spark, f):
+    return [r.value for r in io.read_list(spark, os.path.join(REF, f)).orderBy("pos").collect()]
+
+
+def test_training_csvs(spark):
+    common = _names(spark, "common_features.txt")
+    assert len(common) == 53
+    df = io.read_train(spark, os.path.join(REF, "Training_set"), common)
+    counts = {r.study: (r.n, r.r) for r in df.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("response") == "R").alias("r")).collect()}
+    assert counts == {
+        "ICB_Hugo__Melanoma__PD-(L)1": (27, 14),
+        "ICB_Jung__Lung__PD-(L)1": (27, 8),
+        "ICB_Kim__Gastric__PD-(L)1": (31, 13),
+        "ICB_Miao1__Kidney__PD-(L)1": (28, 10),
+    }
+    header = open(glob.glob(os.path.join(REF, "Training_set", "*Jung*.csv"))[0]).readline().strip().split(",")
+    assert header[:-1] == common and header[-1] == "response"
+
+
+def test_common_subset_of_selected(spark):
+    common, selected = _names(spark, "common_features.txt"), _names(spark, "selected_signatures.txt")
+    assert len(selected) == 62 and set(common) <= set(selected)
+
+
+def test_importance_files_sum_to_one(spark):
+    for f in glob.glob(os.path.join(REF, "Local_model", "*.csv")):
+        d = pd.read_csv(f)
+        assert d[["Gain", "Cover", "Frequency"]].sum().round(6).tolist() == [1.0, 1.0, 1.0]
+        assert d.Gain.is_monotonic_decreasing
+
+
+def test_signature_separation_auc(spark):
+    """Second slice: training CSVs -> long -> AUC per (study, signature)."""
+    common = _names(spark, "common_features.txt")
+    df = io.read_train(spark, os.path.join(REF, "Training_set"), common).withColumn("patientid", F.monotonically_increasing_id())
+    long = to_long(df, common).join(df.select("study", "patientid", encode_label("response").alias("label")), ["study", "patientid"])
+    a = roc.auc_auto(long.select("study", F.col("signature").alias("model"), "label", "score"))
+    vals = [r.auc for r in a.collect()]
+    assert len(vals) == 4 * 53 and all(0 <= v <= 1 for v in vals if v is not None)
+    assert max(v for v in vals if v is not None) > 0.8  # some signature separates responders well
