@@ -45,6 +45,9 @@ def restrict_samples(expr: DataFrame, clin: DataFrame, keys: Sequence[str] = ("s
 
 def complete_signatures(scores: DataFrame) -> DataFrame:
     """Drop a signature from a study when any of its scores there is NULL."""
+    from ..session import reuse
+
+    scores = reuse(scores)  # read by the completeness aggregate and by the semi join
     ok = (
         scores.groupBy("study", "signature")
         .agg(F.bool_and(F.col("score").isNotNull()).alias("ok"))
