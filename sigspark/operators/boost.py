@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import md5_uniform, sigmoid
-from ..session import cut_lineage
+from ..session import cut_lineage, reuse
 from .scan import ordered_scan
 
 # The reference's hyper-parameter grid (first factor varies fastest).
@@ -203,7 +203,7 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
     do_split = F.col("gain").isNotNull() & (F.col("gain") > F.col("gamma")) & (F.col("gain") > MIN_GAIN) & (
         F.lit(depth) < F.col("max_depth")
     )
-    dec = cand.withColumn("split", do_split)
+    dec = reuse(cand.withColumn("split", do_split))  # small (fit, node) table read by nodes, splits and leaves
     splits = dec.where("split").select("fit_id", "node", "feature", F.col("bin").alias("sbin"))
     leaves = dec.where(~F.col("split")).select("fit_id", "node", _leaf(lam).alias("leaf_value"))
     nodes = dec.select(
@@ -231,7 +231,7 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
 def close_tree(state: DataFrame, fits: DataFrame, depth: int, lam: float):
     """Nodes still open after the last level become leaves."""
     tot = node_totals(state).join(fits.select("fit_id", "eta"), "fit_id")
-    leaves = tot.select("fit_id", "node", _leaf(lam).alias("leaf_value"), F.col("ht").alias("cover"))
+    leaves = reuse(tot.select("fit_id", "node", _leaf(lam).alias("leaf_value"), F.col("ht").alias("cover")))
     nodes = leaves.select(
         "fit_id", "node", F.lit(depth).alias("depth"), F.lit(None).cast("int").alias("feature"),
         F.lit(None).cast("int").alias("bin"), F.lit(None).cast("bigint").alias("left"),
@@ -281,9 +281,9 @@ def fit_boosted(
         for d in range(max_depth):
             st, nodes = grow_level(st, fits, allowed, d, lam, mcw)
             st = cut_lineage(st) if (d + 1) % checkpoint_every == 0 else st
-            tree_parts.append(cut_lineage(nodes.withColumn("tree", F.lit(rnd - 1))))
+            tree_parts.append(nodes.withColumn("tree", F.lit(rnd - 1)))
         st, nodes = close_tree(st, fits, max_depth, lam)
-        tree_parts.append(cut_lineage(nodes.withColumn("tree", F.lit(rnd - 1))))
+        tree_parts.append(nodes.withColumn("tree", F.lit(rnd - 1)))
         state = cut_lineage(
             st.select(
                 "fit_id", "study", "row_id", "y", "bins", "subsample",
@@ -305,7 +305,9 @@ def fit_boosted(
     preds = pred_parts[0]
     for p in pred_parts[1:]:
         preds = preds.unionByName(p)
-    return trees, preds, fits
+    # node tables come from the persisted per-level decisions (lineage back to a
+    # checkpointed state); the tree table itself is read by several consumers
+    return reuse(trees), preds, fits
 
 
 def select_best(aucs: DataFrame, key: str = "study") -> DataFrame:

@@ -67,6 +67,14 @@ def reuse(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The plan is persisted first: an eager checkpoint runs one job to count
+    and another to write the files, and without the persist the second one
+    would compute the whole plan again.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    p = reuse(df)
+    out = p.checkpoint(eager=True)
+    p.unpersist()
+    return out
