@@ -94,13 +94,12 @@ def auc_bootstrap(
     ix = reuse(ix.join(n, [*keys, "label"]))
     draws = ix.select(*keys, "label", "idx", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     u = md5_uniform(*[F.col(k) for k in keys], F.col("label"), F.lit(seed), F.col("rep"), F.col("idx"))
-    w = draws.select(*keys, "label", "rep", F.floor(u * F.col("n")).alias("idx")).groupBy(
-        *keys, "label", "rep", "idx"
-    ).agg(F.count(F.lit(1)).alias("w"))
-    wt = w.join(ix.select(*keys, "label", "idx", "score"), [*keys, "label", "idx"])
+    # each draw is joined straight to the row it picked and counted once, per (group, rep, score)
+    picked = draws.select(*keys, "label", "rep", F.floor(u * F.col("n")).alias("idx"))
+    wt = picked.join(ix.select(*keys, "label", "idx", "score"), [*keys, "label", "idx"])
     c = wt.groupBy(*keys, "rep", "score").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0)).alias("neg"),
+        F.count_if(F.col("label") == 1).alias("pos"),
+        F.count_if(F.col("label") == 0).alias("neg"),
     )
     s = ordered_scan(c, [*keys, "rep"], ["score"], sums=["neg"], buckets=buckets)
     a = s.groupBy(*keys, "rep").agg(

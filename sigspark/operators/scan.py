@@ -60,12 +60,15 @@ def ordered_scan(
         bounds = df.groupBy(*keys).agg(
             F.percentile_approx(F.col(o0).cast("double"), F.array(*[F.lit(q) for q in qs]), 10000).alias("_sb")
         )
-        x = df.join(bounds, keys, "inner").withColumn(
-            "_sk", F.size(F.filter(F.col("_sb"), lambda b: b < F.col(o0).cast("double")))
-        ).drop("_sb")
+        # bucket = number of cut points strictly below the value, unrolled over the
+        # fixed number of cut points so it stays plain generated code (no lambda)
+        v = F.col(o0).cast("double")
+        sk = sum((F.when(F.element_at(F.col("_sb"), i) < v, 1).otherwise(0) for i in range(1, buckets)), F.lit(0))
+        x = df.join(bounds, keys, "inner").withColumn("_sk", sk).drop("_sb")
     else:
         x = df.withColumn("_sk", F.lit(0))
 
+    x = reuse(x)  # read by the bucket totals and by the row pass
     ordkey = [F.col(o) for o in order]
     aggs = []
     for c in sums:
