@@ -38,10 +38,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's setting if present, else a temp dir (tests)."""
+    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests, benches) without the setting gets a
+    fresh temporary folder; on a cluster a machine-local folder would not be
+    visible to other executors, so a missing setting is an error there.
+    """
     conf = spark.sparkContext.getConf()
     path = conf.get(_CKPT_KEY, None) or spark.conf.get(_CKPT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="sigspark-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
