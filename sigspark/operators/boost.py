@@ -156,17 +156,36 @@ def row_keep(rnd: int):
     return md5_uniform(F.col("fit_id"), F.lit(rnd), F.col("row_id")) < F.col("subsample")
 
 
-def split_histogram(state: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(fit, node, feature, bin) -> sum g, sum h, n over in-sample active rows and allowed features."""
-    x = state.where(F.col("keep") & F.col("node").isNotNull()).select(
-        "fit_id", "node", "g", "h", F.posexplode("bins").alias("feature", "bin")
+def _histogram(state: DataFrame, allowed: DataFrame) -> DataFrame:
+    """One aggregate over the state: (fit, node, feature, bin) sums plus node totals as feature -1.
+
+    Each in-sample active row explodes its bins over the fit's sampled
+    features and one extra element (feature -1, bin -1) that carries the node
+    totals, so histograms and totals come from a single pass over the state.
+    ``allowed`` becomes one array per fit (at most F entries) joined on fit_id.
+    """
+    arr = allowed.where("keep").groupBy("fit_id").agg(F.collect_list("feature").alias("allowed"))
+    x = state.where(F.col("keep") & F.col("node").isNotNull()).join(arr, "fit_id").select(
+        "fit_id", "node", "g", "h", "allowed",
+        F.posexplode(F.concat(F.col("bins"), F.array(F.lit(-1)))).alias("pos", "bin"),
+        F.size("bins").alias("nf"),
+    )
+    feat = F.when(F.col("pos") == F.col("nf"), F.lit(-1)).otherwise(F.col("pos")).cast("int")
+    x = x.withColumn("feature", feat).where(
+        (F.col("feature") == -1) | (F.col("bin").isNotNull() & F.array_contains("allowed", F.col("feature")))
     )
-    x = x.join(allowed.where("keep").select("fit_id", "feature"), ["fit_id", "feature"], "left_semi")
-    return x.where(F.col("bin").isNotNull()).groupBy("fit_id", "node", "feature", "bin").agg(
-        F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count(F.lit(1)).alias("n")
+    return reuse(
+        x.groupBy("fit_id", "node", "feature", "bin").agg(
+            F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count(F.lit(1)).alias("n")
+        )
     )
 
 
+def split_histogram(state: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(fit, node, feature, bin) -> sum g, sum h, n over in-sample active rows and allowed features."""
+    return _histogram(state, allowed).where(F.col("feature") >= 0)
+
+
 def node_totals(state: DataFrame) -> DataFrame:
     return (
         state.where(F.col("keep") & F.col("node").isNotNull())
@@ -175,6 +194,10 @@ def node_totals(state: DataFrame) -> DataFrame:
     )
 
 
+def _totals_of(hist: DataFrame) -> DataFrame:
+    return hist.where(F.col("feature") == -1).select("fit_id", "node", F.col("sg").alias("gt"), F.col("sh").alias("ht"))
+
+
 def best_split(hist: DataFrame, totals: DataFrame, lam: float = LAMBDA, mcw: float = MIN_CHILD_WEIGHT) -> DataFrame:
     """Best valid split per (fit, node) (no gamma test here; see :func:`decide`)."""
     w = Window.partitionBy("fit_id", "node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -195,8 +218,9 @@ def _leaf(lam: float):
 
 def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int, lam: float, mcw: float):
     """One level for all fits: returns (new state, tree rows of this level)."""
-    tot = node_totals(state)
-    best = best_split(split_histogram(state, allowed), tot, lam, mcw)
+    hist = _histogram(state, allowed)
+    tot = _totals_of(hist)
+    best = best_split(hist.where(F.col("feature") >= 0), tot, lam, mcw)
     cand = tot.join(best.drop("gt", "ht"), ["fit_id", "node"], "left").join(
         fits.select("fit_id", "eta", "max_depth", "gamma"), "fit_id"
     )
