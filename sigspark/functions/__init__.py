@@ -108,3 +108,34 @@ def normal_cdf(col, terms: int = 110) -> Column:
     return F.when(x <= F.lit(-9.0), F.lit(0.0)).when(x >= F.lit(9.0), F.lit(1.0)).otherwise(
         F.lit(0.5) + pdf * xc * t
     )
+
+
+# Multipliers of the 32-bit integer mixing hash below.
+_GOLD = 2654435761  # 0x9E3779B1, step per first counter
+_STEP = 2246822519  # 0x85EBCA77, step per second counter
+_MIX = 73244475  # 0x45D9F3B
+_M32 = 0xFFFFFFFF
+
+
+def int_uniform(base, a, b) -> Column:
+    """Cheap deterministic U[0,1) draw for many draws of one key.
+
+    ``base`` is a 32-bit key (e.g. from :func:`md5_uniform` * 2^32, computed once
+    per row), ``a`` and ``b`` small non-negative integer counters (replicate,
+    draw).  x = (base + a*0x9E3779B1 + b*0x85EBCA77) mod 2^32, then two rounds
+    of x = ((x >> 16) xor x) * 0x45D9F3B mod 2^32 and a final x = (x >> 16) xor x.
+    Every product stays below 2^63, so the arithmetic is exact bigint in Spark
+    and in DuckDB, and it runs in generated code (no string hashing per draw).
+    """
+    m = F.lit(_M32)
+    x = (_c(base).cast("bigint") + _c(a).cast("bigint") * F.lit(_GOLD) + _c(b).cast("bigint") * F.lit(_STEP)).bitwiseAND(m)
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(_MIX)).bitwiseAND(m)
+    x = F.shiftright(x, 16).bitwiseXOR(x)
+    return x.cast("double") / F.lit(4294967296.0)
+
+
+def md5_base(*cols) -> Column:
+    """32-bit integer key from the first 8 hex digits of md5 (see :func:`md5_uniform`)."""
+    key = F.concat_ws("|", *[_c(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")

@@ -70,50 +70,60 @@ def auc_bootstrap(
     """Stratified bootstrap of the AUC: 2.5 / 50 / 97.5 % percentiles over ``reps`` resamples.
 
     Each class of each group is resampled with replacement to its own size.
-    Row k of a class draws, for every replicate r, the index
-    floor(u(group, class, r, k) * n) (md5 draw, ``seed`` in the key); draws
-    are counted into weights per (group, class, r, index) and joined back to
-    the indexed rows, so every replicate is a weighted table of at most n
-    rows and the draws are made where the rows are - no group is generated
-    from one task.  The weighted AUC per (group, r) uses the same scan as
-    :func:`sigspark.operators.roc.auc`.  Output: keys, n_reps, auc_lo, auc_med, auc_hi.
+    Row k of a class draws, for every replicate r, the index floor(u * n) with
+    u = int_uniform(md5 key of (group, class, seed), r, k).  The draws are made
+    where the rows are (``explode`` of the replicate counter on each row, so no
+    group is generated from one task), joined straight to the row they picked
+    and counted per (group, r, score); the weighted AUC per (group, r) uses the
+    same scan as :func:`sigspark.operators.roc.auc`.
+
+    The R x n draw rows are the inherent volume of a bootstrap; they are keyed
+    by a dense integer group id (a table of one row per group), because
+    hashing and moving string keys dominated that shuffle.
+    Output: keys, n_reps, auc_lo, auc_med, auc_hi.
     """
-    from ..functions import md5_uniform
+    from pyspark.sql import Window
+
+    from ..functions import int_uniform, md5_base
+    from ..session import reuse
     from .scan import ordered_scan
 
     keys = list(keys)
     p = pred.where(F.col("label").isNotNull() & F.col("score").isNotNull()).select(
         *keys, id_col, "label", F.col("score").cast("double").alias("score")
     )
+    # one row per group: numbering it in a single window is bounded by the number of groups
+    groups = reuse(p.select(*keys).distinct().withColumn("gk", F.row_number().over(Window.orderBy(*keys))))
+    p = reuse(p.join(groups, keys).select("gk", *keys, id_col, "label", "score"))
     # (id, score) orders the rows; rows equal on both are interchangeable for resampling
-    from ..session import reuse
-
-    p = reuse(p)
-    ix = index_within(p, [*keys, "label"], [id_col, "score"], buckets)
-    n = p.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-    ix = reuse(ix.join(n, [*keys, "label"]))
-    draws = ix.select(*keys, "label", "idx", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    u = md5_uniform(*[F.col(k) for k in keys], F.col("label"), F.lit(seed), F.col("rep"), F.col("idx"))
-    # each draw is joined straight to the row it picked and counted once, per (group, rep, score)
-    picked = draws.select(*keys, "label", "rep", F.floor(u * F.col("n")).alias("idx"))
-    wt = picked.join(ix.select(*keys, "label", "idx", "score"), [*keys, "label", "idx"])
-    c = wt.groupBy(*keys, "rep", "score").agg(
+    ix = index_within(p, ["gk", "label"], [id_col, "score"], buckets)
+    n = p.groupBy("gk", "label").agg(F.count(F.lit(1)).alias("n"))
+    ix = reuse(
+        ix.join(n, ["gk", "label"]).select(
+            "gk", "label", "idx", "n", "score", md5_base(*[F.col(k) for k in keys], F.col("label"), F.lit(seed)).alias("base")
+        )
+    )
+    draws = ix.select("gk", "label", "n", "base", "idx", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    picked = draws.select("gk", "label", "rep", F.floor(int_uniform(F.col("base"), F.col("rep"), F.col("idx")) * F.col("n")).alias("idx"))
+    wt = picked.join(ix.select("gk", "label", "idx", "score"), ["gk", "label", "idx"])
+    c = wt.groupBy("gk", "rep", "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"),
         F.count_if(F.col("label") == 0).alias("neg"),
     )
-    s = ordered_scan(c, [*keys, "rep"], ["score"], sums=["neg"], buckets=buckets)
-    a = s.groupBy(*keys, "rep").agg(
+    s = ordered_scan(c, ["gk", "rep"], ["score"], sums=["neg"], buckets=buckets)
+    a = s.groupBy("gk", "rep").agg(
         F.try_divide(
             F.sum(F.col("pos") * ((F.col("neg_cum") - F.col("neg")) + F.col("neg") * 0.5)),
             F.sum("pos").cast("double") * F.sum("neg"),
         ).alias("auc")
     )
-    return a.groupBy(*keys).agg(
+    out = a.groupBy("gk").agg(
         F.count("auc").alias("n_reps"),
         F.round(F.percentile("auc", F.lit(0.025)), 6).alias("auc_lo"),
         F.round(F.percentile("auc", F.lit(0.5)), 6).alias("auc_med"),
         F.round(F.percentile("auc", F.lit(0.975)), 6).alias("auc_hi"),
     )
+    return out.join(groups, "gk").select(*keys, "n_reps", "auc_lo", "auc_med", "auc_hi")
 
 
 def compare_models(aucs: DataFrame, ci: DataFrame, spread: DataFrame, keys: Sequence[str] = ("study",)) -> DataFrame:

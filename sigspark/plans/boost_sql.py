@@ -137,3 +137,18 @@ def fit_ctes(grid: dict, max_bins: int = 32, src: str = "v_wide") -> list[str]:
     )
     ctes.append(f"preds AS ({preds})")
     return ctes
+
+
+def md5_base_sql(*parts: str) -> str:
+    key = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
+
+
+def int_uniform_sql(base: str, a: str, b: str) -> str:
+    """DuckDB text of :func:`sigspark.functions.int_uniform` (same integer operations)."""
+    m = "4294967295"
+    x = f"(({base}) + CAST({a} AS BIGINT) * 2654435761 + CAST({b} AS BIGINT) * 2246822519) & {m}"
+    for _ in range(2):
+        x = f"((xor(({x}) >> 16, ({x})) * 73244475) & {m})"
+    x = f"xor(({x}) >> 16, ({x}))"
+    return f"(CAST({x} AS DOUBLE) / 4294967296.0)"

@@ -55,7 +55,7 @@ CV_SEED = 135
 
 
 def _boot_sql(src: str, reps: int = BOOT_REPS, seed: int = BOOT_SEED) -> str:
-    u = BS.u_of("i.study", "i.model", "i.label", str(seed), "r.rep", "i.idx")
+    u = BS.int_uniform_sql(BS.md5_base_sql("i.study", "i.model", "i.label", str(seed)), "r.rep", "i.idx")
     return f"""ix AS (SELECT study, model, rid, label, CAST(score AS DOUBLE) AS score,
     row_number() OVER (PARTITION BY study, model, label ORDER BY rid, score) - 1 AS idx,
     count(*) OVER (PARTITION BY study, model, label) AS n
