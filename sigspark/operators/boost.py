@@ -53,8 +53,6 @@ REFERENCE_GRID = {
     "colsample_bytree": [0.6, 0.8, 1.0],
     "subsample": [0.6, 0.8, 1.0],
 }
-GRID_COLS = list(REFERENCE_GRID)
-FIT_PARAMS = ["eta", "max_depth", "gamma", "colsample_bytree", "subsample"]
 LAMBDA = 1.0
 MIN_CHILD_WEIGHT = 1.0
 MIN_GAIN = 1e-6

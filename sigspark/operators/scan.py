@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _UNB = Window.unboundedPreceding
-_UNF = Window.unboundedFollowing
 
 
 def ordered_scan(

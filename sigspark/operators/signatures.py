@@ -26,9 +26,6 @@ from ..session import reuse
 from .cohort import coverage, gene_filter
 from .scan import ordered_scan
 
-SCORE_COLS = ["study", "patientid", "signature", "score"]
-
-
 def _prepare(expr, sigs, n_cutoff, sig_perc, missing_perc, floor):
     ef = reuse(gene_filter(expr, missing_perc, floor) if floor is not None else expr)
     gate = coverage(ef, sigs, n_cutoff, sig_perc).select("study", "signature", "pass")
@@ -251,9 +248,6 @@ def sig_predictio(expr: DataFrame, sigs: DataFrame, **kw) -> DataFrame:
     return sig_composite(g, parts)
 
 
-METHODS = ("Weighted Mean", "ssGSEA", "GSVA")
-
-
 def method_dispatch(sigs: DataFrame, info: DataFrame) -> DataFrame:
     """Signature genes joined to their scoring method (catalogue lookup)."""
     return sigs.join(info.select("signature", "method"), "signature")
