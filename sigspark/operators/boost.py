@@ -226,8 +226,13 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
         F.lit(depth) < F.col("max_depth")
     )
     dec = reuse(cand.withColumn("split", do_split))  # small (fit, node) table read by nodes, splits and leaves
-    splits = dec.where("split").select("fit_id", "node", "feature", F.col("bin").alias("sbin"))
-    leaves = dec.where(~F.col("split")).select("fit_id", "node", _leaf(lam).alias("leaf_value"))
+    # one routing table: split nodes carry (feature, bin), leaf nodes their value
+    route = dec.select(
+        "fit_id", "node",
+        F.when(F.col("split"), F.col("feature")).alias("feature"),
+        F.when(F.col("split"), F.col("bin")).alias("sbin"),
+        F.when(~F.col("split"), _leaf(lam)).alias("leaf_value"),
+    )
     nodes = dec.select(
         "fit_id", "node", F.lit(depth).alias("depth"),
         F.when(F.col("split"), F.col("feature")).alias("feature"),
@@ -238,7 +243,7 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
         F.when(F.col("split"), F.col("gain")).alias("gain"),
         F.col("ht").alias("cover"),
     )
-    st = state.join(splits, ["fit_id", "node"], "left").join(leaves, ["fit_id", "node"], "left")
+    st = state.join(route, ["fit_id", "node"], "left")
     b = F.element_at(F.col("bins"), F.col("feature") + 1)
     go_left = b.isNull() | (b <= F.col("sbin"))
     new_node = F.when(F.col("sbin").isNotNull(), F.when(go_left, F.col("node") * 2 + 1).otherwise(F.col("node") * 2 + 2))
