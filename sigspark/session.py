@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,20 +45,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fresh temporary folder; on a cluster a machine-local folder would not be
     visible to other executors, so a missing setting is an error there.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get(_CKPT_KEY, None) or spark.conf.get(_CKPT_KEY, None)
+    path = spark.conf.get(_CKPT_KEY, None)
+    master = spark.conf.get("spark.master", "local")
+    sc = None
+    try:  # classic sessions; a Spark Connect client has no SparkContext
+        sc = spark.sparkContext
+        path = path or sc.getConf().get(_CKPT_KEY, None)
+        master = sc.master
+    except Exception:  # noqa: BLE001
+        sc = None
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not str(master).startswith("local"):
             raise RuntimeError(f"set {_CKPT_KEY} to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="sigspark-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+    """A fresh path under the shared checkpoint folder for a written intermediate table.
+
+    Each call gets its own folder, so concurrent runs never overwrite each other.
+    """
+    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def reuse(df: DataFrame) -> DataFrame:
