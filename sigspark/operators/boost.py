@@ -210,16 +210,48 @@ def best_split(hist: DataFrame, totals: DataFrame, lam: float = LAMBDA, mcw: flo
     return x.withColumn("_r", F.row_number().over(r)).where("_r = 1").drop("_r")
 
 
+def _candidates(hist: DataFrame, lam: float, mcw: float) -> DataFrame:
+    """Best split candidate and totals of every (fit, node) from one exchange.
+
+    The histogram (small: fits x nodes x features x bins) is hash-partitioned
+    once by (fit, node); that partitioning serves the running sums per
+    (fit, node, feature), the node totals (the feature -1 row) and the
+    arg-max per (fit, node), so no further shuffle or join is needed.  Same
+    rule as :func:`best_split`: valid when both children have
+    H >= min_child_weight, highest gain (rounded to 1e-9), then lower
+    feature, then lower bin; a node without a valid split keeps its totals
+    and a NULL gain.
+    """
+    h = hist.repartition("fit_id", "node")
+    wn = Window.partitionBy("fit_id", "node")
+    wf = Window.partitionBy("fit_id", "node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    x = h.select(
+        "fit_id", "node", "feature", "bin",
+        F.sum(F.when(F.col("feature") == -1, F.col("sg"))).over(wn).alias("gt"),
+        F.sum(F.when(F.col("feature") == -1, F.col("sh"))).over(wn).alias("ht"),
+        F.sum("sg").over(wf).alias("gl"),
+        F.sum("sh").over(wf).alias("hl"),
+    )
+    gr, hr, lm = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl"), F.lit(lam)
+    valid = (F.col("feature") >= 0) & (F.col("hl") >= mcw) & (hr >= mcw)
+    gain = F.col("gl") * F.col("gl") / (F.col("hl") + lm) + gr * gr / (hr + lm) - F.col("gt") * F.col("gt") / (F.col("ht") + lm)
+    x = x.withColumn("gain", F.when(valid, F.round(gain, 9)))
+    r = F.row_number().over(wn.orderBy(F.col("gain").desc_nulls_last(), "feature", "bin"))
+    top = x.withColumn("_r", r).where("_r = 1")
+    has = F.col("gain").isNotNull()
+    return top.select(
+        "fit_id", "node", "gt", "ht",
+        F.when(has, F.col("feature")).alias("feature"), F.when(has, F.col("bin")).alias("bin"), "gain",
+    )
+
+
 def _leaf(lam: float):
     return -F.col("eta") * F.col("gt") / (F.col("ht") + F.lit(lam))
 
 
 def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int, lam: float, mcw: float):
     """One level for all fits: returns (new state, tree rows of this level)."""
-    hist = _histogram(state, allowed)
-    tot = _totals_of(hist)
-    best = best_split(hist.where(F.col("feature") >= 0), tot, lam, mcw)
-    cand = tot.join(best.drop("gt", "ht"), ["fit_id", "node"], "left").join(
+    cand = _candidates(_histogram(state, allowed), lam, mcw).join(
         fits.select("fit_id", "eta", "max_depth", "gamma"), "fit_id"
     )
     do_split = F.col("gain").isNotNull() & (F.col("gain") > F.col("gamma")) & (F.col("gain") > MIN_GAIN) & (
