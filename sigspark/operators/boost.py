@@ -364,9 +364,11 @@ def fit_boosted(
     preds = pred_parts[0]
     for p in pred_parts[1:]:
         preds = preds.unionByName(p)
-    # node tables come from the persisted per-level decisions (lineage back to a
-    # checkpointed state); the tree table itself is read by several consumers
-    return reuse(trees), preds, fits
+    # The outputs are written to the shared checkpoint folder: downstream plans
+    # (scoring joins the tree table once per level, CV scans the margins) then
+    # start from two small leaves instead of repeating the whole training
+    # lineage, which also keeps their plan descriptions small.
+    return cut_lineage(trees), cut_lineage(preds), fits
 
 
 def select_best(aucs: DataFrame, key: str = "study") -> DataFrame:
