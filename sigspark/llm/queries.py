@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, tokens
+from . import langid, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+#: A document with this score or more is toxic.
+TOXIC = 0.3
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, model, keep=("doc_id", held_out.alias("held_out")))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
