@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import fresh
 from .text import Words, buffers, mix, row_chunks
 
 #: Bounds on the labelled rows that the machine is fitted on, by label.
@@ -143,12 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return fit(len(sets), row, np.concatenate(sets).astype(np.int64), y, share)
 
 
-def score(docs: DataFrame, model: Model | float, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``score``, the probability of label 1."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+def score(docs: DataFrame, model: Model | float, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",), out_col: str = "score") -> DataFrame:
+    """``keep`` columns with ``out_col``, the probability of label 1."""
+    rows = docs.select(*keep)
     if not isinstance(model, Model):
-        return rows.drop("__text").withColumn("score", F.lit(float(model)))
-    schema = rows.drop("__text").withColumn("score", F.lit(0.0)).schema
+        return rows.withColumn(out_col, F.lit(float(model)))
+    schema = rows.withColumn(out_col, F.lit(0.0)).schema
+    rows = docs.select(*keep, F.col(text).alias(fresh(rows.columns, "__text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
