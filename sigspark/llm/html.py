@@ -7,7 +7,8 @@ consists mostly of links, is boilerplate; what stands in the page's article
 or main element is content; elsewhere, length and stop-word density decide,
 and short blocks or middling ones stay open.  Pass two gives every open block
 the label of its nearest decided neighbour: where both sides agree, theirs,
-else the nearer side's (by words between; boilerplate on a tie).
+else the nearer side's (by words between; boilerplate on a tie), and for a heading
+that of the next decided block.
 
 Inside a block character references are decoded and white space becomes one
 space; blocks of white space alone go.  Nothing else is dropped or cut.
@@ -38,6 +39,7 @@ BLOCK = frozenset(
 )
 BAD = frozenset("aside dialog fieldset footer form head menu nav search title".split())
 GOOD = frozenset(("article", "main"))
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_ITSELF = frozenset("dd dt li option p td th tr".split())
 BAD_ROLE = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BAD_WORD = frozenset(
@@ -91,11 +93,11 @@ def marked(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("bad", "good", "linked", "parts")
+    __slots__ = ("bad", "good", "heading", "linked", "parts")
 
-    def __init__(self, bad: bool, good: bool):
+    def __init__(self, bad: bool, good: bool, heading: bool = False):
         self.parts: list[str] = []
-        self.linked, self.bad, self.good = 0, bad, good
+        self.linked, self.bad, self.good, self.heading = 0, bad, good, heading
 
 
 def blocks(html: str) -> Iterator[Block]:
@@ -149,7 +151,7 @@ def blocks(html: str) -> Iterator[Block]:
         if block or was != (bad, good):
             if not block:
                 yield now
-            now = Block(bad, good)
+            now = Block(bad, good, not end and tag in HEADING)
     yield now
 
 
@@ -159,6 +161,7 @@ def main_text(html: str | None) -> str:
     texts: list[str] = []
     labels: list[bool | None] = []
     sizes: list[int] = []
+    headings: list[bool] = []
     for b in blocks(html):
         if not b.parts:
             continue
@@ -176,10 +179,11 @@ def main_text(html: str | None) -> str:
         texts.append(text)
         labels.append(label)
         sizes.append(len(words))
-    return "\n".join(t for t, good in zip(texts, settle(labels, sizes), strict=True) if good)
+        headings.append(b.heading)
+    return "\n".join(t for t, good in zip(texts, settle(labels, sizes, headings), strict=True) if good)
 
 
-def settle(labels: list[bool | None], sizes: list[int]) -> list[bool]:
+def settle(labels: list[bool | None], sizes: list[int], headings: list[bool]) -> list[bool]:
     """Open blocks get the label of the nearest decided neighbour; on a page without any, they are content."""
     n = len(labels)
     if all(label is None for label in labels):
@@ -194,7 +198,9 @@ def settle(labels: list[bool | None], sizes: list[int]) -> list[bool]:
         label = labels[i]
         if label is None:
             (back, prior), ahead = before[i], (far, last)
-            out[i] = prior if prior == ahead[1] else prior if back < ahead[0] else ahead[1] if ahead[0] < back else False
+            if headings[i] and far < float("inf"):
+                back = float("inf")
+            out[i] = last if back == float("inf") else prior if prior == ahead[1] else prior if back < ahead[0] else ahead[1] if ahead[0] < back else False
             far += sizes[i]
         else:
             out[i] = label
