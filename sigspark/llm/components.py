@@ -10,12 +10,23 @@ are many.  Rounds are cut off with a reliable checkpoint.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.session import cut_lineage
 
 
+def lowest(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Smallest id that each row of one small group reaches, by its matrix of links."""
+    low = ids.copy()
+    while True:
+        new = np.minimum(low, np.where(near, low[None], np.iinfo(np.int64).max).min(1))
+        if (new == low).all():
+            return low
+        low = new
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
