@@ -32,8 +32,10 @@ from .text import Words, buffers, mix, row_chunks
 #: Bounds on the labelled rows that the machine is fitted on, by label.
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
 #: Hash slots (as a power of two), slots that the machine keeps, least sample rows a slot needs, and length of the vectors.
-SLOT_BITS, MAX_SLOTS, LEAST_ROWS, FACTORS = 20, 4096, 4, 8
+SLOT_BITS, MAX_SLOTS, LEAST_ROWS, FACTORS = 20, 512, 3, 8
 SEED = 29
+#: Weight decay, over the number of ones in the sample.
+DECAY = 0.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -108,12 +110,13 @@ def fit(rows: int, row: np.ndarray, slot: np.ndarray, y: np.ndarray, share: floa
     rng = np.random.default_rng(SEED)
     m = Model(float(np.log(n1 / n0)), place, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
     state = [np.zeros_like(m.weight), np.zeros_like(m.weight), np.zeros_like(m.factor), np.zeros_like(m.factor)]
+    decay = DECAY / n1
     for i in range(1, steps + 1):
         z, total = _raw(m, rows, row, at)
         g = (_sigmoid(z) - y) / rows
         gr = g[row]
-        gw = np.bincount(at, gr, len(kept)) + 2e-5 * m.weight
-        gv = _sums(gr[:, None] * (total[row] - m.factor[at]), at, len(kept)) + 2e-4 * m.factor
+        gw = np.bincount(at, gr, len(kept)) + decay * m.weight
+        gv = _sums(gr[:, None] * (total[row] - m.factor[at]), at, len(kept)) + decay * m.factor
         for x, grad, a, b in ((m.weight, gw, state[0], state[1]), (m.factor, gv, state[2], state[3])):
             a += 0.1 * (grad - a)
             b += 0.01 * (grad**2 - b)

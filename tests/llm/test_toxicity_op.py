@@ -36,7 +36,7 @@ def test_pairs_that_single_weights_miss(spark):
     s = np.array([got[r[0]] for r in test])
     assert auc(s, y) > 0.98
     a, b = (model.place[toxicity.terms(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 0, 1)[1][0]] for t in (b"dreadful", b"martians"))
-    assert a >= 0 and b >= 0 and model.factor[a] @ model.factor[b] > 0.3  # what the pair adds
+    assert a >= 0 and b >= 0 and model.factor[a] @ model.factor[b] > 0.1  # what the pair adds
 
 
 def test_scores_follow_the_formula():
@@ -71,11 +71,11 @@ def test_odd_rows(spark, odd_documents):
 
 
 def test_query_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # sf0.01 has 14 toxic rows held out
     got = op7_toxicity(spark, sf)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
     both = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
-    assert auc(both.score.to_numpy(), both.toxic.to_numpy()) > 0.9
+    assert auc(both.score.to_numpy(), both.toxic.to_numpy()) > 0.97
     assert ((both.score >= TOXIC) == (both.predicted == 1)).all()
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     assert got.where(crc != F.col("held_out")).count() == 0
