@@ -64,10 +64,6 @@ def sigmoid(col) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
 
 
-def rnd(col, digits: int = 6) -> Column:
-    return F.round(_c(col), digits)
-
-
 def study_of(path_col) -> Column:
     """Study key from a file path: strip directory, extension and the
     training-set prefix/suffix (``train_set_<study>_filtered.csv``)."""
@@ -88,54 +84,41 @@ def study_parts(study_col) -> Column:
     )
 
 
-def normal_cdf(col, terms: int = 110) -> Column:
-    """Standard normal CDF to double precision, as a plain column expression.
-
-    Marsaglia's series Phi(x) = 1/2 + phi(x) * x * sum_{n>=0} x^(2n) / (1*3*...*(2n+1)),
-    evaluated in Horner form, t = 1 + x^2/(2n+1) * t for n = terms..1, so the
-    whole expression is ordinary arithmetic inside whole-stage codegen (no
-    lambda).  All terms share one sign, so there is no cancellation; with
-    110 terms the error on [-9, 9] is below 1e-15, and |x| >= 9 is 0 / 1
-    (error < 1e-18).
-    """
-    x = _c(col)
-    xc = F.least(F.greatest(x, F.lit(-9.0)), F.lit(9.0))
-    x2 = xc * xc
-    t = F.lit(1.0)
-    for n in range(terms, 0, -1):
-        t = F.lit(1.0) + x2 / F.lit(float(2 * n + 1)) * t
-    pdf = F.exp(-x2 / F.lit(2.0)) / F.lit(2.5066282746310002)
-    return F.when(x <= F.lit(-9.0), F.lit(0.0)).when(x >= F.lit(9.0), F.lit(1.0)).otherwise(
-        F.lit(0.5) + pdf * xc * t
-    )
-
-
 # Multipliers of the 32-bit integer mixing hash below.
-_GOLD = 2654435761  # 0x9E3779B1, step per first counter
-_STEP = 2246822519  # 0x85EBCA77, step per second counter
-_MIX = 73244475  # 0x45D9F3B
+_GOLD = (2654435761, 3266489917)  # steps of the first counter, one for each half of the state
+_STEP = (2246822519, 668265263)  # steps of the second counter
+_MIX = 73244475
 _M32 = 0xFFFFFFFF
 
 
-def int_uniform(base, a, b) -> Column:
-    """Cheap deterministic U[0,1) draw for many draws of one key.
-
-    ``base`` is a 32-bit key (e.g. from :func:`md5_uniform` * 2^32, computed once
-    per row), ``a`` and ``b`` small non-negative integer counters (replicate,
-    draw).  x = (base + a*0x9E3779B1 + b*0x85EBCA77) mod 2^32, then two rounds
-    of x = ((x >> 16) xor x) * 0x45D9F3B mod 2^32 and a final x = (x >> 16) xor x.
-    Every product stays below 2^63, so the arithmetic is exact bigint in Spark
-    and in DuckDB, and it runs in generated code (no string hashing per draw).
-    """
+def _mix32(x: Column) -> Column:
     m = F.lit(_M32)
-    x = (_c(base).cast("bigint") + _c(a).cast("bigint") * F.lit(_GOLD) + _c(b).cast("bigint") * F.lit(_STEP)).bitwiseAND(m)
     for _ in range(2):
         x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(_MIX)).bitwiseAND(m)
-    x = F.shiftright(x, 16).bitwiseXOR(x)
-    return x.cast("double") / F.lit(4294967296.0)
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def int_uniform(base0, base1, a, b) -> Column:
+    """Cheap deterministic U[0,1) draw of 53 bits for many draws of one key.
+
+    ``base0`` and ``base1`` are 32-bit keys (:func:`md5_base`, once per row), ``a`` and
+    ``b`` small non-negative integer counters (replicate, draw).  The state is two
+    halves, x_i = base_i + a GOLD_i + b STEP_i mod 2^32, so two replicates run through
+    the same draws only where both halves are shifted alike; u joins mix(x_0 + x_1)
+    and the upper 21 bits of mix(x_0 xor x_1).  Every product stays below 2^63, so the arithmetic is exact
+    bigint in Spark and in DuckDB, and it runs in generated code.
+    """
+    m = F.lit(_M32)
+    x, y = (
+        (_c(base).cast("bigint") + _c(a).cast("bigint") * F.lit(g) + _c(b).cast("bigint") * F.lit(s)).bitwiseAND(m)
+        for base, g, s in zip((base0, base1), _GOLD, _STEP, strict=True)
+    )
+    x = _mix32(x)
+    high, low = _mix32((x + y).bitwiseAND(m)), _mix32(x.bitwiseXOR(y))
+    return (high * F.lit(1 << 21) + F.shiftright(low, 11)).cast("double") / F.lit(float(1 << 53))
 
 
-def md5_base(*cols) -> Column:
-    """32-bit integer key from the first 8 hex digits of md5 (see :func:`md5_uniform`)."""
+def md5_base(*cols, part: int = 0) -> Column:
+    """32-bit integer key from eight hex digits of md5, the ``part``-th of them (see :func:`md5_uniform`)."""
     key = F.concat_ws("|", *[_c(c).cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(key), 1 + 8 * part, 8), 16, 10).cast("bigint")

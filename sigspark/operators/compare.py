@@ -12,8 +12,6 @@ def curve_band(interp: DataFrame, keys: Sequence[str] = ("study",)) -> DataFrame
     """Mean and sample sd of interpolated sensitivity over models at each grid point.
 
     upper = min(mean + sd, 1), lower = max(mean - sd, 0); NULLs are skipped.
-    Mean and sd are rounded to 9 digits before they are combined, so the
-    band does not depend on the summation order of the sd algorithm.
     Output: keys, j, specificity, sensitivity, sens_upper, sens_lower, n_models.
     """
     keys = list(keys)
@@ -23,14 +21,14 @@ def curve_band(interp: DataFrame, keys: Sequence[str] = ("study",)) -> DataFrame
         F.stddev_samp("sensitivity").alias("sd"),
         F.count("sensitivity").alias("n_models"),
     )
-    m, sd = F.round("m", 9), F.round("sd", 9)
+    m, sd = F.col("m"), F.col("sd")
     return g.select(
         *keys,
         "j",
         "specificity",
         m.alias("sensitivity"),
-        F.round(F.least(m + sd, F.lit(1.0)), 9).alias("sens_upper"),
-        F.round(F.greatest(m - sd, F.lit(0.0)), 9).alias("sens_lower"),
+        F.least(m + sd, F.lit(1.0)).alias("sens_upper"),
+        F.greatest(m - sd, F.lit(0.0)).alias("sens_lower"),
         "n_models",
     )
 
@@ -44,13 +42,13 @@ def auc_spread(aucs: DataFrame, keys: Sequence[str] = ("study",)) -> DataFrame:
     keys = list(keys)
     return aucs.groupBy(*keys).agg(
         F.count("auc").alias("n_models"),
-        F.round(F.avg("auc"), 6).alias("auc_mean"),
-        F.round(F.percentile("auc", F.lit(0.025)), 6).alias("auc_q025"),
-        F.round(F.percentile("auc", F.lit(0.975)), 6).alias("auc_q975"),
+        F.avg("auc").alias("auc_mean"),
+        F.percentile("auc", F.lit(0.025)).alias("auc_q025"),
+        F.percentile("auc", F.lit(0.975)).alias("auc_q975"),
     )
 
 
-def index_within(df: DataFrame, keys: Sequence[str], order, buckets: int = 16) -> DataFrame:
+def index_within(df: DataFrame, keys: Sequence[str], order, buckets: int | None = None) -> DataFrame:
     """0-based position of each row inside its group by ``order`` (a column or list), skew-safe.
 
     Rows equal on every order column get distinct but arbitrary positions,
@@ -65,7 +63,7 @@ def index_within(df: DataFrame, keys: Sequence[str], order, buckets: int = 16) -
 
 def auc_bootstrap(
     pred: DataFrame, keys: Sequence[str] = ("study", "model"), reps: int = 200, seed: int = 42,
-    id_col: str = "rid", buckets: int = 16,
+    id_col: str = "rid", buckets: int | None = None,
 ) -> DataFrame:
     """Stratified bootstrap of the AUC: 2.5 / 50 / 97.5 % percentiles over ``reps`` resamples.
 
@@ -84,9 +82,9 @@ def auc_bootstrap(
     """
     from pyspark.sql import Window
 
-    from ..functions import int_uniform, md5_base
+    from ..functions import int_uniform, md5_base, md5_uniform
     from ..session import reuse
-    from .scan import ordered_scan
+    from .scan import null_safe_join, ordered_scan
 
     keys = list(keys)
     p = pred.where(F.col("label").isNotNull() & F.col("score").isNotNull()).select(
@@ -94,17 +92,20 @@ def auc_bootstrap(
     )
     # one row per group: numbering it in a single window is bounded by the number of groups
     groups = reuse(p.select(*keys).distinct().withColumn("gk", F.row_number().over(Window.orderBy(*keys))))
-    p = reuse(p.join(groups, keys).select("gk", *keys, id_col, "label", "score"))
-    # (id, score) orders the rows; rows equal on both are interchangeable for resampling
-    ix = index_within(p, ["gk", "label"], [id_col, "score"], buckets)
+    p = reuse(null_safe_join(p, groups, keys).select("gk", *keys, id_col, "label", "score"))
+    # (id, score) orders the rows, ids of text by a draw first; rows equal on all are interchangeable for resampling
+    order = [id_col, "score"]
+    if dict(p.dtypes)[id_col] == "string":
+        p, order = p.withColumn("_u", md5_uniform(F.col(id_col))), ["_u", *order]
+    ix = index_within(p, ["gk", "label"], order, buckets)
     n = p.groupBy("gk", "label").agg(F.count(F.lit(1)).alias("n"))
     ix = reuse(
         ix.join(n, ["gk", "label"]).select(
-            "gk", "label", "idx", "n", "score", md5_base(*[F.col(k) for k in keys], F.col("label"), F.lit(seed)).alias("base")
+            "gk", "label", "idx", "n", "score", *[md5_base(*[F.col(k) for k in keys], F.col("label"), F.lit(seed), part=i).alias(f"base{i}") for i in (0, 1)]
         )
     )
-    draws = ix.select("gk", "label", "n", "base", "idx", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    picked = draws.select("gk", "label", "rep", F.floor(int_uniform(F.col("base"), F.col("rep"), F.col("idx")) * F.col("n")).alias("idx"))
+    draws = ix.select("gk", "label", "n", "base0", "base1", "idx", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    picked = draws.select("gk", "label", "rep", F.floor(int_uniform(F.col("base0"), F.col("base1"), F.col("rep"), F.col("idx")) * F.col("n")).alias("idx"))
     wt = picked.join(ix.select("gk", "label", "idx", "score"), ["gk", "label", "idx"])
     c = wt.groupBy("gk", "rep", "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"),
@@ -119,9 +120,9 @@ def auc_bootstrap(
     )
     out = a.groupBy("gk").agg(
         F.count("auc").alias("n_reps"),
-        F.round(F.percentile("auc", F.lit(0.025)), 6).alias("auc_lo"),
-        F.round(F.percentile("auc", F.lit(0.5)), 6).alias("auc_med"),
-        F.round(F.percentile("auc", F.lit(0.975)), 6).alias("auc_hi"),
+        F.percentile("auc", F.lit(0.025)).alias("auc_lo"),
+        F.percentile("auc", F.lit(0.5)).alias("auc_med"),
+        F.percentile("auc", F.lit(0.975)).alias("auc_hi"),
     )
     return out.join(groups, "gk").select(*keys, "n_reps", "auc_lo", "auc_med", "auc_hi")
 
@@ -157,8 +158,10 @@ def stratified_folds(rows: DataFrame, k: int = 5, label: str = "y", id_col: str
     from ..functions import md5_uniform
 
     r = rows.withColumn("_u", md5_uniform(F.lit(seed), F.col(id_col)))
-    ix = index_within(r.select(id_col, label, "_u"), [label], "_u")
-    return rows.join(ix.select(id_col, (F.col("idx") % k).cast("int").alias("fold")), id_col)
+    # the row travels through the scan; rows that share an id (of several studies) are told apart by all their sortable columns
+    rest = [c for c, t in rows.dtypes if c != id_col and not t.startswith("map")]
+    ix = index_within(r, [label], ["_u", id_col, *rest])
+    return ix.withColumn("fold", (F.col("idx") % k).cast("int")).drop("_u", "idx")
 
 
 def logit_irls(rows: DataFrame, x: str = "x", y: str = "y", key: str = "study", steps: int = 3) -> DataFrame:
@@ -186,4 +189,4 @@ def logit_irls(rows: DataFrame, x: str = "x", y: str = "y", key: str = "study",
             (F.col("b0") + F.try_divide(F.col("c") * F.col("g0") - F.col("b") * F.col("g1"), det)).alias("b0"),
             (F.col("b1") + F.try_divide(F.col("a") * F.col("g1") - F.col("b") * F.col("g0"), det)).alias("b1"),
         )
-    return coef.select(key, "n", F.round("b0", 6).alias("b0"), F.round("b1", 6).alias("b1"))
+    return coef.select(key, "n", "b0", "b1")

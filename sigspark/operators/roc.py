@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reuse
-from .scan import ordered_scan
+from .scan import null_safe_join, ordered_scan
 
 KEYS = ("study", "model")
 
@@ -40,7 +40,7 @@ def _totals(c: DataFrame, keys) -> DataFrame:
     return c.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
-def auc(pred: DataFrame, keys: Sequence[str] = KEYS, direction: str = "<", buckets: int = 16) -> DataFrame:
+def auc(pred: DataFrame, keys: Sequence[str] = KEYS, direction: str = "<", buckets: int | None = None) -> DataFrame:
     """Mann-Whitney AUC with ties counted one half.
 
     AUC = sum over cases of (#controls below + 1/2 #controls tied) / (n1 * n0);
@@ -57,7 +57,7 @@ def auc(pred: DataFrame, keys: Sequence[str] = KEYS, direction: str = "<", bucke
     a = F.try_divide(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg"))
     if direction == ">":
         a = F.lit(1.0) - a
-    return g.select(*keys, "n_pos", "n_neg", F.round(a, 6).alias("auc"))
+    return g.select(*keys, "n_pos", "n_neg", a.alias("auc"))
 
 
 def _median_at(cum: str, n: str, score: str = "score"):
@@ -69,7 +69,7 @@ def _median_at(cum: str, n: str, score: str = "score"):
     return (v_lo + v_hi) / 2
 
 
-def auc_auto(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 16) -> DataFrame:
+def auc_auto(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     """AUC with automatic direction: ``">"`` when median(controls) > median(cases).
 
     Medians are read off the same scan (type-7 quantile), so no exact
@@ -77,7 +77,7 @@ def auc_auto(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 16) ->
     """
     keys = list(keys)
     c = collapse(pred, keys)
-    s = ordered_scan(c, keys, ["score"], sums=["neg", "pos"], buckets=buckets).join(_totals(c, keys), keys)
+    s = null_safe_join(ordered_scan(c, keys, ["score"], sums=["neg", "pos"], buckets=buckets), _totals(c, keys), keys)
     g = s.groupBy(*keys).agg(
         F.sum(F.col("pos") * ((F.col("neg_cum") - F.col("neg")) + F.col("neg") * 0.5)).alias("u"),
         F.first("n_pos").alias("n_pos"),
@@ -90,21 +90,22 @@ def auc_auto(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 16) ->
     return g.select(
         *keys,
         F.when(flip, F.lit(">")).otherwise(F.lit("<")).alias("direction"),
-        F.round(F.when(flip, F.lit(1.0) - a).otherwise(a), 6).alias("auc"),
+        F.when(flip, F.lit(1.0) - a).otherwise(a).alias("auc"),
     )
 
 
-def roc_curve(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 16) -> DataFrame:
+def roc_curve(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int | None = None) -> DataFrame:
     """ROC points: thresholds -inf, midpoints of neighbouring distinct scores, +inf.
 
     For threshold t: sensitivity = #cases >= t / n1, specificity = #controls < t / n0.
-    ``ord`` numbers points by increasing threshold (1 = -inf).
-    Output: keys, ord, threshold, sensitivity, specificity.
+    ``ord`` numbers points by increasing threshold (1 = -inf).  ``youden_num`` is
+    the whole number (sensitivity + specificity) n1 n0, on which ties are exact.
+    Output: keys, ord, threshold, sensitivity, specificity, youden_num.
     """
     keys = list(keys)
     c = collapse(pred, keys).withColumn("one", F.lit(1))
     s = ordered_scan(c, keys, ["score"], sums=["pos", "neg", "one"], bwd=["score"], buckets=buckets)
-    s = s.join(_totals(c, keys), keys)
+    s = null_safe_join(s, _totals(c, keys), keys)
     thr = F.when(F.col("score_next").isNull(), F.lit(float("inf"))).otherwise(
         (F.col("score") + F.col("score_next")) / 2
     )
@@ -114,6 +115,7 @@ def roc_curve(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 16) ->
         thr.alias("threshold"),
         F.try_divide(F.col("n_pos") - F.col("pos_cum"), F.col("n_pos")).alias("sensitivity"),
         F.try_divide(F.col("neg_cum"), F.col("n_neg")).alias("specificity"),
+        (_whole(F.col("n_pos") - F.col("pos_cum")) * _whole(F.col("n_neg")) + _whole(F.col("neg_cum")) * _whole(F.col("n_pos"))).alias("youden_num"),
     )
     first = (
         c.groupBy(*keys)
@@ -124,40 +126,33 @@ def roc_curve(pred: DataFrame, keys: Sequence[str] = KEYS, buckets: int = 16) ->
             F.lit(float("-inf")).alias("threshold"),
             F.when(F.col("n_pos") > 0, F.lit(1.0)).alias("sensitivity"),
             F.when(F.col("n_neg") > 0, F.lit(0.0)).alias("specificity"),
+            (_whole(F.col("n_pos")) * _whole(F.col("n_neg"))).alias("youden_num"),
         )
     )
-    out = pts.unionByName(first)
-    return out.select(
-        *keys,
-        "ord",
-        F.round("threshold", 6).alias("threshold"),
-        F.round("sensitivity", 6).alias("sensitivity"),
-        F.round("specificity", 6).alias("specificity"),
-    )
+    return pts.unionByName(first)
+
+
+def _whole(col):
+    """Counts as decimals, so that the product of two is exact."""
+    return col.cast("decimal(18,0)")
 
 
 def best_threshold(roc: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Youden's J: the threshold(s) maximising sensitivity + specificity.
 
-    Ties are averaged (finite thresholds only).  Pre-aggregates by
+    Ties, exact on ``youden_num``, are averaged (finite thresholds only).  Pre-aggregates by
     (group, J) before picking the maximum, so no join back to the curve.
     Output: keys, threshold, youden, n_tied.
     """
     keys = list(keys)
     fin = roc.where(~F.col("threshold").isin(float("inf"), float("-inf")) & F.col("sensitivity").isNotNull())
-    j = F.round(F.col("sensitivity") + F.col("specificity"), 9)
-    per_j = fin.groupBy(*keys, j.alias("youden")).agg(
-        F.sum("threshold").alias("t_sum"), F.count(F.lit(1)).alias("n_tied")
-    )
-    best = per_j.groupBy(*keys).agg(
-        F.max_by(F.struct("t_sum", "n_tied"), "youden").alias("b"), F.max("youden").alias("youden")
-    )
-    return best.select(
-        *keys,
-        F.round(F.col("b.t_sum") / F.col("b.n_tied"), 6).alias("threshold"),
-        F.round("youden", 6).alias("youden"),
-        F.col("b.n_tied").alias("n_tied"),
+    per_j = fin.groupBy(*keys, "youden_num").agg(
+        F.sum("threshold").alias("t_sum"),
+        F.count(F.lit(1)).alias("n_tied"),
+        F.max(F.col("sensitivity") + F.col("specificity")).alias("youden"),
     )
+    best = per_j.groupBy(*keys).agg(F.max_by(F.struct("t_sum", "n_tied", "youden"), "youden_num").alias("b"))
+    return best.select(*keys, (F.col("b.t_sum") / F.col("b.n_tied")).alias("threshold"), F.col("b.youden").alias("youden"), F.col("b.n_tied").alias("n_tied"))
 
 
 def confusion(pred: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -170,7 +165,8 @@ def confusion(pred: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS
     """
     keys = list(keys)
     t = thresholds.select(*keys, "threshold")
-    x = pred.where(F.col("label").isNotNull() & F.col("score").isNotNull()).join(t, keys)
+    x = pred.where(F.col("label").isNotNull() & F.col("score").isNotNull())
+    x = null_safe_join(x, t, keys)
     p = F.when(F.col("score") >= F.col("threshold"), 1).otherwise(0)
     lab = F.col("label")
     return x.groupBy(*keys, "threshold").agg(
@@ -205,7 +201,7 @@ def threshold_metrics(conf: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def auprc(pred: DataFrame, keys: Sequence[str] = KEYS, positive: int = 1, buckets: int = 16) -> DataFrame:
+def auprc(pred: DataFrame, keys: Sequence[str] = KEYS, positive: int = 1, buckets: int | None = None) -> DataFrame:
     """Area under the precision-recall curve, Davis-Goadrich interpolation, exact integral.
 
     Walk distinct scores from high to low.  Between PR points (TPa, FPa) and
@@ -227,10 +223,10 @@ def auprc(pred: DataFrame, keys: Sequence[str] = KEYS, positive: int = 1, bucket
     seg = (tpb - tpa) / a - F.when(b == 0, F.lit(0.0)).otherwise((b / (a * a)) * (F.log(a * tpb + b) - F.log(a * tpa + b)))
     area = F.when(F.col("tpn") > 0, seg).otherwise(F.lit(0.0))
     g = s.groupBy(*keys).agg(F.sum(area).alias("area"), F.sum("tpn").alias("n_pos"))
-    return g.select(*keys, "n_pos", F.round(F.try_divide(F.col("area"), F.col("n_pos")), 6).alias("auprc"))
+    return g.select(*keys, "n_pos", F.try_divide(F.col("area"), F.col("n_pos")).alias("auprc"))
 
 
-def roc_interp(roc: DataFrame, keys: Sequence[str] = KEYS, n: int = 150, buckets: int = 16) -> DataFrame:
+def roc_interp(roc: DataFrame, keys: Sequence[str] = KEYS, n: int = 150, buckets: int | None = None) -> DataFrame:
     """Sensitivity at ``n`` evenly spaced specificities in [0, 1].
 
     Linear interpolation between neighbouring curve points; on an exact hit
@@ -275,4 +271,4 @@ def roc_interp(roc: DataFrame, keys: Sequence[str] = KEYS, n: int = 150, buckets
         .when(nxt.isNull(), prev["smin"])
         .otherwise(interp)
     )
-    return s.select(*keys, "j", F.round("spec", 6).alias("specificity"), F.round(sens, 6).alias("sensitivity"))
+    return s.select(*keys, "j", F.col("spec").alias("specificity"), sens.alias("sensitivity"))

@@ -30,6 +30,18 @@ from pyspark.sql import functions as F
 
 _UNB = Window.unboundedPreceding
 
+#: Rows of a window task, and the most cut points of a group (beyond them a bucket grows; nothing is dropped).
+ROWS_PER_BUCKET, MAX_BUCKETS = 1 << 16, 256
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the keys come from the left side."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(r[f"_r_{k}"])
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
 
 def ordered_scan(
     df: DataFrame,
@@ -38,7 +50,7 @@ def ordered_scan(
     sums: Sequence[str] = (),
     fwd: Sequence[str] = (),
     bwd: Sequence[str] = (),
-    buckets: int = 16,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add scan columns to ``df`` along ``order`` within ``keys``.
 
@@ -48,12 +60,17 @@ def ordered_scan(
 
     ``order`` columns must give a total order within a group (callers collapse
     ties first); the first one must be numeric (it drives the bucketing).
+    Keys are compared null-safe: rows with a NULL key form a group of their own.
+    ``buckets`` defaults to the largest group's rows / ROWS_PER_BUCKET.
     """
     from ..session import reuse
 
     keys, order = list(keys), list(order)
     o0 = order[0]
-    df = reuse(df)  # read by the cut-point sketch, the bucket totals and the row pass
+    df = reuse(df)  # read by the count, the cut-point sketch, the bucket totals and the row pass
+    if buckets is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        buckets = min(MAX_BUCKETS, -(-largest // ROWS_PER_BUCKET))
     if buckets > 1:
         qs = [i / buckets for i in range(1, buckets)]
         bounds = df.groupBy(*keys).agg(
@@ -63,7 +80,7 @@ def ordered_scan(
         # fixed number of cut points so it stays plain generated code (no lambda)
         v = F.col(o0).cast("double")
         sk = sum((F.when(F.element_at(F.col("_sb"), i) < v, 1).otherwise(0) for i in range(1, buckets)), F.lit(0))
-        x = df.join(bounds, keys, "inner").withColumn("_sk", sk).drop("_sb")
+        x = null_safe_join(df, bounds, keys).withColumn("_sk", sk).drop("_sb")
     else:
         x = df.withColumn("_sk", F.lit(0))
 
@@ -88,7 +105,7 @@ def ordered_scan(
         sel.append(F.last(f"_f_{c}", ignorenulls=True).over(wb_rev.rowsBetween(_UNB, -1))["_v"].alias(f"_n_{c}"))
     bt = bt.select(*sel)
 
-    x = x.join(bt, [*keys, "_sk"], "inner")
+    x = null_safe_join(x, bt, [*keys, "_sk"])
     wi = Window.partitionBy(*keys, "_sk").orderBy(*ordkey)
     wi_rev = Window.partitionBy(*keys, "_sk").orderBy(*[F.col(o).desc() for o in order])
     for c in sums:

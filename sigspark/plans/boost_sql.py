@@ -139,16 +139,20 @@ def fit_ctes(grid: dict, max_bins: int = 32, src: str = "v_wide") -> list[str]:
     return ctes
 
 
-def md5_base_sql(*parts: str) -> str:
+def md5_base_sql(*parts: str, part: int = 0) -> str:
     key = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5({key}), {1 + 8 * part}, 8)) AS BIGINT)"
 
 
-def int_uniform_sql(base: str, a: str, b: str) -> str:
-    """DuckDB text of :func:`sigspark.functions.int_uniform` (same integer operations)."""
+def uniform_sql(rows: str, a: str, b: str) -> str:
+    """``rows`` with u, the DuckDB text of :func:`sigspark.functions.int_uniform` of b0, b1, a, b (same integer operations)."""
     m = "4294967295"
-    x = f"(({base}) + CAST({a} AS BIGINT) * 2654435761 + CAST({b} AS BIGINT) * 2246822519) & {m}"
-    for _ in range(2):
-        x = f"((xor(({x}) >> 16, ({x})) * 73244475) & {m})"
-    x = f"xor(({x}) >> 16, ({x}))"
-    return f"(CAST({x} AS DOUBLE) / 4294967296.0)"
+
+    def mixed(inner: str, col: str) -> str:
+        for _ in range(2):
+            inner = f"SELECT * REPLACE ((xor({col} >> 16, {col}) * 73244475) & {m} AS {col}) FROM ({inner})"
+        return f"SELECT * REPLACE (xor({col} >> 16, {col}) AS {col}) FROM ({inner})"
+
+    x = f"SELECT *, (b0 + CAST({a} AS BIGINT) * 2654435761 + CAST({b} AS BIGINT) * 2246822519) & {m} AS x, (b1 + CAST({a} AS BIGINT) * 3266489917 + CAST({b} AS BIGINT) * 668265263) & {m} AS y FROM ({rows})"
+    hl = f"SELECT *, (x + y) & {m} AS h, xor(x, y) AS l FROM ({mixed(x, 'x')})"
+    return f"SELECT *, CAST(h * 2097152 + (l >> 11) AS DOUBLE) / 9007199254740992.0 AS u FROM ({mixed(mixed(hl, 'h'), 'l')})"

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from ..operators import compare, roc
 from .q_roc import _AUC, _INTERP
-from .registry import query
+from .registry import query, rounded
 from .views import v_pred, with_views
 
 
 @query(
     "curve_band",
     with_views(
-        """SELECT study, j, specificity, m AS sensitivity, round(least(m + sd, 1.0), 9) AS sens_upper,
-       round(greatest(m - sd, 0.0), 9) AS sens_lower, n_models
-FROM (SELECT study, j, any_value(specificity) AS specificity, round(avg(sensitivity), 9) AS m,
-             round(stddev_samp(sensitivity), 9) AS sd, count(sensitivity) AS n_models
+        """SELECT study, j, round(specificity, 6) AS specificity, round(m, 6) AS sensitivity, round(least(m + sd, 1.0), 6) AS sens_upper,
+       round(greatest(m - sd, 0.0), 6) AS sens_lower, n_models
+FROM (SELECT study, j, any_value(specificity) AS specificity, avg(sensitivity) AS m,
+             stddev_samp(sensitivity) AS sd, count(sensitivity) AS n_models
       FROM ri GROUP BY study, j)""",
         "v_pred",
         extra=_INTERP,
     ),
 )
 def q_curve_band(spark, sf):
-    return compare.curve_band(roc.roc_interp(roc.roc_curve(v_pred(spark, sf))))
+    band = compare.curve_band(roc.roc_interp(roc.roc_curve(v_pred(spark, sf))))
+    return rounded(band, 6, "specificity", "sensitivity", "sens_upper", "sens_lower")
 
 
 @query(
@@ -35,7 +36,7 @@ FROM a GROUP BY study""",
     ),
 )
 def q_auc_spread(spark, sf):
-    return compare.auc_spread(roc.auc(v_pred(spark, sf)))
+    return rounded(compare.auc_spread(roc.auc(v_pred(spark, sf))), 6, "auc_mean", "auc_q025", "auc_q975")
 
 
 # ---- bootstrap CI, comparison table, CV and the logistic baseline ----
@@ -55,14 +56,15 @@ CV_SEED = 135
 
 
 def _boot_sql(src: str, reps: int = BOOT_REPS, seed: int = BOOT_SEED) -> str:
-    u = BS.int_uniform_sql(BS.md5_base_sql("i.study", "i.model", "i.label", str(seed)), "r.rep", "i.idx")
-    return f"""ix AS (SELECT study, model, rid, label, CAST(score AS DOUBLE) AS score,
+    key = ("i.study", "i.model", "i.label", str(seed))
+    return f"""ix AS (SELECT i.*, {BS.md5_base_sql(*key)} AS b0, {BS.md5_base_sql(*key, part=1)} AS b1
+  FROM (SELECT study, model, rid, label, CAST(score AS DOUBLE) AS score,
     row_number() OVER (PARTITION BY study, model, label ORDER BY rid, score) - 1 AS idx,
     count(*) OVER (PARTITION BY study, model, label) AS n
-  FROM {src} WHERE label IS NOT NULL AND score IS NOT NULL),
+  FROM {src} WHERE label IS NOT NULL AND score IS NOT NULL) i),
 dr AS (SELECT study, model, label, rep, tgt, count(*) AS w FROM (
-    SELECT i.study, i.model, i.label, r.rep, CAST(floor({u} * i.n) AS BIGINT) AS tgt
-    FROM ix i CROSS JOIN range(1, {reps + 1}) r(rep)) GROUP BY ALL),
+    SELECT study, model, label, rep, CAST(floor(u * n) AS BIGINT) AS tgt
+    FROM ({BS.uniform_sql("SELECT i.study, i.model, i.label, r.rep, i.n, i.b0, i.b1, i.idx FROM ix i CROSS JOIN range(1, " + str(reps + 1) + ") r(rep)", "rep", "idx")})) GROUP BY ALL),
 bc AS (SELECT i.study, i.model, d.rep, i.score, sum(CASE WHEN i.label = 1 THEN d.w ELSE 0 END) AS pos,
           sum(CASE WHEN i.label = 0 THEN d.w ELSE 0 END) AS neg
   FROM ix i JOIN dr d ON d.study = i.study AND d.model = i.model AND d.label = i.label AND d.tgt = i.idx GROUP BY ALL),
@@ -70,23 +72,28 @@ ba AS (SELECT study, model, rep, sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE
           / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
   FROM (SELECT bc.*, sum(neg) OVER (PARTITION BY study, model, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM bc)
   GROUP BY study, model, rep),
-boot AS (SELECT study, model, count(auc) AS n_reps, round(quantile_cont(auc, 0.025), 6) AS auc_lo,
-    round(quantile_cont(auc, 0.5), 6) AS auc_med, round(quantile_cont(auc, 0.975), 6) AS auc_hi FROM ba GROUP BY study, model)"""
+boot AS (SELECT study, model, count(auc) AS n_reps, quantile_cont(auc, 0.025) AS auc_lo,
+    quantile_cont(auc, 0.5) AS auc_med, quantile_cont(auc, 0.975) AS auc_hi FROM ba GROUP BY study, model)"""
 
 
-@query("auc_bootstrap", with_views("SELECT * FROM boot", "v_pred", extra=_boot_sql("v_pred")))
+@query(
+    "auc_bootstrap",
+    with_views(
+        "SELECT study, model, n_reps, round(auc_lo, 6) AS auc_lo, round(auc_med, 6) AS auc_med, round(auc_hi, 6) AS auc_hi FROM boot", "v_pred", extra=_boot_sql("v_pred"),
+    ),
+)
 def q_auc_bootstrap(spark, sf):
-    return compare.auc_bootstrap(v_pred(spark, sf), reps=BOOT_REPS, seed=BOOT_SEED)
+    return rounded(compare.auc_bootstrap(v_pred(spark, sf), reps=BOOT_REPS, seed=BOOT_SEED), 6, "auc_lo", "auc_med", "auc_hi")
 
 
 @query(
     "compare_models",
     with_views(
-        """SELECT study, family, auc, ci_lo, ci_hi,
+        """SELECT study, family, round(auc, 6) AS auc, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi,
        printf('%s AUC: %.2f [%.2f-%.2f]', family, round(auc, 2), round(ci_lo, 2), round(ci_hi, 2)) AS label
 FROM (SELECT a.study, a.model AS family, a.auc, b.auc_lo AS ci_lo, b.auc_hi AS ci_hi FROM a JOIN boot b USING (study, model)
       UNION ALL
-      SELECT study, 'Local mean', round(avg(auc), 6), round(quantile_cont(auc, 0.025), 6), round(quantile_cont(auc, 0.975), 6)
+      SELECT study, 'Local mean', avg(auc), quantile_cont(auc, 0.025), quantile_cont(auc, 0.975)
       FROM a GROUP BY study)""",
         "v_pred",
         extra=_AUC + ",\n" + _boot_sql("v_pred"),
@@ -95,9 +102,10 @@ FROM (SELECT a.study, a.model AS family, a.auc, b.auc_lo AS ci_lo, b.auc_hi AS c
 def q_compare_models(spark, sf):
     p = v_pred(spark, sf)
     a = roc.auc(p)
-    return compare.compare_models(
+    table = compare.compare_models(
         a.select("study", "model", "auc"), compare.auc_bootstrap(p, reps=BOOT_REPS, seed=BOOT_SEED), compare.auc_spread(a)
     )
+    return rounded(table, 6, "auc", "ci_lo", "ci_hi")
 
 
 _FOLDS = f"""fo AS (SELECT w.*, CAST((row_number() OVER (PARTITION BY y ORDER BY {BS.u_of(str(CV_SEED), 'w.row_id')}, w.row_id) - 1) % {CV_K} AS INTEGER) AS fold
@@ -193,4 +201,4 @@ def _logit_sql(steps: int = 3) -> str:
 @query("logit_irls", with_views("SELECT study, n, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM lc3", "v_wide", extra=_logit_sql(3)))
 def q_logit_irls(spark, sf):
     w = v_wide(spark, sf).select("study", F.col("features")[0].alias("x"), "y")
-    return compare.logit_irls(w, "x", "y", "study", 3)
+    return rounded(compare.logit_irls(w, "x", "y", "study", 3), 6, "b0", "b1")

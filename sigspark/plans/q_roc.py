@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import roc
-from .registry import query
+from .registry import query, rounded
 from .views import v_pred, with_views
 
 _C = """c AS (
@@ -23,24 +23,26 @@ s AS (SELECT c.*, t.n_pos, t.n_neg, sum(pos) OVER w AS pos_cum, sum(neg) OVER w
       FROM c JOIN t USING (study, model) WINDOW w AS ({_W})),
 r AS (
   SELECT study, model, rn + 1 AS ord,
-         round(CASE WHEN score_next IS NULL THEN 'inf'::DOUBLE ELSE (score + score_next) / 2 END, 6) AS threshold,
-         round((n_pos - pos_cum) / NULLIF(n_pos, 0)::DOUBLE, 6) AS sensitivity,
-         round(neg_cum / NULLIF(n_neg, 0)::DOUBLE, 6) AS specificity
+         CASE WHEN score_next IS NULL THEN 'inf'::DOUBLE ELSE (score + score_next) / 2 END AS threshold,
+         (n_pos - pos_cum) / NULLIF(n_pos, 0)::DOUBLE AS sensitivity,
+         neg_cum / NULLIF(n_neg, 0)::DOUBLE AS specificity,
+         (n_pos - pos_cum)::HUGEINT * n_neg + neg_cum::HUGEINT * n_pos AS ynum
   FROM s
   UNION ALL
   SELECT study, model, 1, '-inf'::DOUBLE,
-         CASE WHEN n_pos > 0 THEN 1.0::DOUBLE END, CASE WHEN n_neg > 0 THEN 0.0::DOUBLE END
+         CASE WHEN n_pos > 0 THEN 1.0::DOUBLE END, CASE WHEN n_neg > 0 THEN 0.0::DOUBLE END,
+         n_pos::HUGEINT * n_neg
   FROM t)"""
 )
 
 _BEST = (
     _ROC
     + """,
-jt AS (SELECT study, model, round(sensitivity + specificity, 9) AS youden, sum(threshold) AS t_sum, count(*) AS n_tied
+jt AS (SELECT study, model, ynum, max(sensitivity + specificity) AS youden, sum(threshold) AS t_sum, count(*) AS n_tied
        FROM r WHERE threshold NOT IN ('inf'::DOUBLE, '-inf'::DOUBLE) AND sensitivity IS NOT NULL
-       GROUP BY study, model, round(sensitivity + specificity, 9)),
-bt AS (SELECT study, model, round(arg_max(t_sum / n_tied, youden), 6) AS threshold, round(max(youden), 6) AS youden,
-              arg_max(n_tied, youden) AS n_tied FROM jt GROUP BY study, model)"""
+       GROUP BY study, model, ynum),
+bt AS (SELECT study, model, arg_max(t_sum / n_tied, ynum) AS threshold, arg_max(youden, ynum) AS youden,
+              arg_max(n_tied, ynum) AS n_tied FROM jt GROUP BY study, model)"""
 )
 
 _INTERP = (
@@ -53,11 +55,11 @@ u AS (SELECT study, model, spec, 0 AS kind, CAST(NULL AS INTEGER) AS j, spec AS
       SELECT g.study, g.model, CAST(t.j AS DOUBLE) / 149, 1, CAST(t.j AS INTEGER), NULL, NULL, NULL
       FROM (SELECT DISTINCT study, model FROM pts) g CROSS JOIN range(0, 150) t(j)),
 ri AS (
-SELECT study, model, j, round(spec, 6) AS specificity,
-       round(CASE WHEN p_spec IS NOT NULL AND p_spec = spec THEN p_smax
+SELECT study, model, j, spec AS specificity,
+       CASE WHEN p_spec IS NOT NULL AND p_spec = spec THEN p_smax
                   WHEN p_spec IS NULL THEN n_smax
                   WHEN n_spec IS NULL THEN p_smin
-                  ELSE p_smin + (spec - p_spec) * (n_smax - p_smin) / (n_spec - p_spec) END, 6) AS sensitivity
+                  ELSE p_smin + (spec - p_spec) * (n_smax - p_smin) / (n_spec - p_spec) END AS sensitivity
 FROM (SELECT *, last_value(pspec IGNORE NULLS) OVER wf AS p_spec, last_value(smin IGNORE NULLS) OVER wf AS p_smin,
              last_value(smax IGNORE NULLS) OVER wf AS p_smax,
              first_value(pspec IGNORE NULLS) OVER wb AS n_spec, first_value(smax IGNORE NULLS) OVER wb AS n_smax
@@ -71,7 +73,7 @@ _AUC = (
     _C
     + f""",
 a AS (SELECT study, model, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
-       round(sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5)) / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auc
+       sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5)) / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
 FROM (SELECT c.*, sum(neg) OVER ({_W}) AS neg_cum FROM c) GROUP BY study, model)"""
 )
 
@@ -80,11 +82,11 @@ _AUPRC = (
     + """,
 ap AS ("""
     + """SELECT study, model, CAST(sum(tpn) AS BIGINT) AS n_pos,
-       round(sum(CASE WHEN tpn > 0 THEN (tpb - tpa) / (1 + h)
+       sum(CASE WHEN tpn > 0 THEN (tpb - tpa) / (1 + h)
                       - CASE WHEN fpa - h * tpa = 0 THEN 0
                              ELSE ((fpa - h * tpa) / ((1 + h) * (1 + h)))
                                   * (ln((1 + h) * tpb + fpa - h * tpa) - ln((1 + h) * tpa + fpa - h * tpa)) END
-                 ELSE 0 END) / NULLIF(sum(tpn), 0), 6) AS auprc
+                 ELSE 0 END) / NULLIF(sum(tpn), 0) AS auprc
 FROM (SELECT study, model, tpn, CAST(tpb AS DOUBLE) AS tpb, CAST(tpb - tpn AS DOUBLE) AS tpa,
              CAST(fpb - fpn AS DOUBLE) AS fpa, CAST(fpn AS DOUBLE) / NULLIF(tpn, 0) AS h
       FROM (SELECT study, model, pos AS tpn, neg AS fpn,
@@ -107,9 +109,9 @@ cm AS (SELECT p.study, p.model, bt.threshold,
 )
 
 
-@query("auc", with_views("SELECT * FROM a", "v_pred", extra=_AUC))
+@query("auc", with_views("SELECT study, model, n_pos, n_neg, round(auc, 6) AS auc FROM a", "v_pred", extra=_AUC))
 def q_auc(spark, sf):
-    return roc.auc(v_pred(spark, sf))
+    return rounded(roc.auc(v_pred(spark, sf)), 6, "auc")
 
 
 @query(
@@ -132,29 +134,33 @@ FROM (SELECT study, model, sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.
     ),
 )
 def q_auc_auto(spark, sf):
-    return roc.auc_auto(v_pred(spark, sf))
+    return rounded(roc.auc_auto(v_pred(spark, sf)), 6, "auc")
 
 
-@query("roc_curve", with_views("SELECT * FROM r", "v_pred", extra=_ROC))
+@query("roc_curve", with_views(
+        "SELECT study, model, ord, round(threshold, 6) AS threshold, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM r",
+        "v_pred",
+        extra=_ROC,
+    ))
 def q_roc_curve(spark, sf):
-    return roc.roc_curve(v_pred(spark, sf))
+    return rounded(roc.roc_curve(v_pred(spark, sf)).drop("youden_num"), 6, "threshold", "sensitivity", "specificity")
 
 
-@query("best_threshold", with_views("SELECT * FROM bt", "v_pred", extra=_BEST))
+@query("best_threshold", with_views("SELECT study, model, round(threshold, 6) AS threshold, round(youden, 6) AS youden, n_tied FROM bt", "v_pred", extra=_BEST))
 def q_best_threshold(spark, sf):
-    return roc.best_threshold(roc.roc_curve(v_pred(spark, sf)))
+    return rounded(roc.best_threshold(roc.roc_curve(v_pred(spark, sf))), 6, "threshold", "youden")
 
 
-@query("confusion_matrix", with_views("SELECT * FROM cm", "v_pred", extra=_CONF))
+@query("confusion_matrix", with_views("SELECT * REPLACE (round(threshold, 6) AS threshold) FROM cm", "v_pred", extra=_CONF))
 def q_confusion(spark, sf):
     p = v_pred(spark, sf)
-    return roc.confusion(p, roc.best_threshold(roc.roc_curve(p)))
+    return rounded(roc.confusion(p, roc.best_threshold(roc.roc_curve(p))), 6, "threshold")
 
 
 @query(
     "threshold_metrics",
     with_views(
-        """SELECT study, model, threshold,
+        """SELECT study, model, round(threshold, 6) AS threshold,
        round((tp + tn) / NULLIF(CAST(tp + fp + fn + tn AS DOUBLE), 0), 4) AS accuracy,
        round(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 4) AS precision,
        round(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 4) AS recall,
@@ -167,14 +173,16 @@ FROM cm""",
 )
 def q_threshold_metrics(spark, sf):
     p = v_pred(spark, sf)
-    return roc.threshold_metrics(roc.confusion(p, roc.best_threshold(roc.roc_curve(p))))
+    return rounded(roc.threshold_metrics(roc.confusion(p, roc.best_threshold(roc.roc_curve(p)))), 6, "threshold")
 
 
-@query("auprc", with_views("SELECT * FROM ap", "v_pred", extra=_AUPRC))
+@query("auprc", with_views("SELECT study, model, n_pos, round(auprc, 6) AS auprc FROM ap", "v_pred", extra=_AUPRC))
 def q_auprc(spark, sf):
-    return roc.auprc(v_pred(spark, sf))
+    return rounded(roc.auprc(v_pred(spark, sf)), 6, "auprc")
 
 
-@query("roc_interp", with_views("SELECT * FROM ri", "v_pred", extra=_INTERP))
+@query("roc_interp", with_views(
+        "SELECT study, model, j, round(specificity, 6) AS specificity, round(sensitivity, 6) AS sensitivity FROM ri", "v_pred", extra=_INTERP
+    ))
 def q_roc_interp(spark, sf):
-    return roc.roc_interp(roc.roc_curve(v_pred(spark, sf)))
+    return rounded(roc.roc_interp(roc.roc_curve(v_pred(spark, sf))), 6, "specificity", "sensitivity")

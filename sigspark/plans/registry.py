@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,11 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
+def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """``df`` with ``cols`` rounded: for the comparison only, operators never round."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
 def load_all() -> None:
     """Import every query module so that its keys register."""
     from . import q_roc  # noqa: F401

@@ -106,12 +106,12 @@ def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pred(study, model, rid, label, score): two score columns act as two models.
 
     One scan of lineitem; ``explode`` of a two-element array yields both
-    models (no union, no second scan).  label: 0 = responder (R), 1 = not.
+    models (no union, no second scan).  label: 0 = responder (R), 1 = not (A);
+    rows with flag N have no label, and the operators drop them.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_extendedprice"
     )
-    li = li.where(F.col("l_returnflag").isin("A", "R"))
     m = F.explode(
         F.array(
             F.struct(F.lit("discount").alias("model"), F.col("l_discount").alias("score")),
@@ -121,7 +121,7 @@ def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_linestatus").alias("study"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"),
-        F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.lit(1)).alias("label"),
+        F.when(F.col("l_returnflag") == "R", F.lit(0)).when(F.col("l_returnflag") == "A", F.lit(1)).alias("label"),
         m,
     ).select("study", F.col("m.model").alias("model"), "rid", "label", F.col("m.score").alias("score"))
 
@@ -210,12 +210,12 @@ SQL_V = {
   FROM embeddings)""",
     "v_pred": """v_pred AS (
   SELECT l_linestatus AS study, 'discount' AS model, l_orderkey * 10 + l_linenumber AS rid,
-         CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS label, l_discount AS score
-  FROM lineitem WHERE l_returnflag IN ('A', 'R')
+         CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 END AS label, l_discount AS score
+  FROM lineitem
   UNION ALL
   SELECT l_linestatus AS study, 'price' AS model, l_orderkey * 10 + l_linenumber AS rid,
-         CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS label, l_extendedprice AS score
-  FROM lineitem WHERE l_returnflag IN ('A', 'R'))""",
+         CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 END AS label, l_extendedprice AS score
+  FROM lineitem)""",
 }
 
 
