@@ -11,13 +11,14 @@ current margin and current node.  One boosting level is
 2. ``split_histogram``: explode the bins of in-sample rows over the fit's
    sampled features and aggregate (fit, node, feature, bin) -> (sum g, sum h);
    a partial (map-side) aggregate, so no fit, study or node is gathered;
-3. ``best_split``: running sums over bins inside (fit, node, feature)
-   (at most ``max_bins`` rows per window) give
+3. ``best_split``: running sums over bins inside (fit, node, feature) give, for
+   both directions of the rows with a missing value,
    gain = GL^2/(HL+l) + GR^2/(HR+l) - G^2/(H+l); both children need
    H >= min_child_weight; the best per (fit, node) by (gain rounded to 1e-9
    desc, feature, bin); a node splits when gain > gamma (and > 1e-6);
 4. ``route``: join the (small) split table on (fit, node): bin <= split bin
-   goes left (child 2n+1), else right (2n+2); a missing bin goes left;
+   goes left (child 2n+1), else right (2n+2); a missing bin takes the
+   direction that the search found better (``default_left``);
 5. nodes that do not split become leaves with w = -eta G / (H + l); after the
    last level every row adds its leaf value to its margin.
 
@@ -86,40 +87,46 @@ def long_features(rows: DataFrame, keys: Sequence[str] = ("study", "row_id")) ->
     return rows.select(*keys, F.posexplode("features").alias("feature", "value"))
 
 
-def feature_bins(rows: DataFrame, max_bins: int = 32, buckets: int = 16) -> DataFrame:
-    """Candidate cuts per (study, feature).
+def value_bins(rows: DataFrame, max_bins: int | None = None, buckets: int | None = None) -> DataFrame:
+    """Bin of every distinct known value per (study, feature): study, feature, value, bin.
 
-    Distinct values are ranked (skew-safe ordered scan); with m distinct
-    values, bin = rank - 1 when m <= max_bins, else floor((rank - 1) * max_bins / m).
-    The cut after bin b is the midpoint between the largest value of b and the
-    smallest of b + 1 (NULL after the last bin).
-    Output: study, feature, bin, lo, hi, cut.
+    Values are ranked by the skew-safe ordered scan.  ``max_bins=None`` (exact) gives every
+    value a bin of its own; a number asks for quantile bins, floor((rank - 1) max_bins / m) of m values.
     """
-    lf = long_features(rows).where(F.col("value").isNotNull())
-    d = lf.select("study", "feature", "value").distinct().withColumn("one", F.lit(1))
+    d = long_features(rows).where(F.col("value").isNotNull()).select("study", "feature", "value").distinct().withColumn("one", F.lit(1))
     s = ordered_scan(d, ["study", "feature"], ["value"], sums=["one"], buckets=buckets)
+    if max_bins is None:
+        return s.select("study", "feature", "value", (F.col("one_cum") - 1).cast("int").alias("bin"))
     m = d.groupBy("study", "feature").agg(F.count(F.lit(1)).alias("m"))
-    s = s.join(m, ["study", "feature"])
-    b = F.when(F.col("m") <= max_bins, F.col("one_cum") - 1).otherwise(
-        F.floor((F.col("one_cum") - 1) * max_bins / F.col("m"))
-    )
-    per = s.groupBy("study", "feature", b.cast("int").alias("bin")).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi")
-    )
+    b = F.floor((F.col("one_cum") - 1) * max_bins / F.col("m"))
+    return s.join(m, ["study", "feature"]).select("study", "feature", "value", b.cast("int").alias("bin"))
+
+
+def feature_bins(rows: DataFrame, max_bins: int | None = None, values: DataFrame | None = None) -> DataFrame:
+    """Candidate cuts per (study, feature): study, feature, bin, lo, hi, cut.
+
+    The cut after bin b is the midpoint between the largest value of b and the
+    smallest of the next bin (NULL after the last one).
+    """
+    v = value_bins(rows, max_bins) if values is None else values
+    per = v.groupBy("study", "feature", "bin").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     w = Window.partitionBy("study", "feature").orderBy("bin")
     return per.withColumn("cut", (F.col("hi") + F.lead("lo").over(w)) / 2)
 
 
-def bin_rows(rows: DataFrame, bins: DataFrame) -> DataFrame:
-    """Rows with ``bins array<int>`` (bin of each feature; NULL for a missing value)."""
-    lf = long_features(rows)
-    j = lf.join(bins.select("study", "feature", "bin", "lo", "hi"), ["study", "feature"], "left").where(
-        F.col("bin").isNull() | ((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+def bin_rows(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows with ``bins array<int>``: always one entry a feature, NULL where the value is missing.
+
+    Known values meet their bin by an equi-join on (study, feature, value); rows without any known value stay.
+    """
+    lf = long_features(rows).where(F.col("value").isNotNull())
+    per = lf.join(values, ["study", "feature", "value"]).groupBy("study", "row_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "bin"))).alias("fb")
     )
-    per = j.groupBy("study", "row_id", "feature").agg(F.max("bin").alias("bin"))
-    arr = per.groupBy("study", "row_id").agg(F.sort_array(F.collect_list(F.struct("feature", "bin"))).alias("fb"))
-    return rows.join(arr, ["study", "row_id"]).select(
-        *[c for c in rows.columns if c != "features"], F.transform("fb", lambda x: x["bin"]).alias("bins")
+    known = F.transform(F.sequence(F.lit(0), F.size("features") - 1), lambda i: F.try_element_at(F.col("fb"), i))
+    none = F.array_repeat(F.lit(None).cast("int"), F.size("features"))
+    return rows.join(per, ["study", "row_id"], "left").select(
+        *[c for c in rows.columns if c != "features"], F.when(F.col("fb").isNull(), none).otherwise(known).alias("bins")
     )
 
 
@@ -192,57 +199,43 @@ def node_totals(state: DataFrame) -> DataFrame:
     )
 
 
-def _totals_of(hist: DataFrame) -> DataFrame:
-    return hist.where(F.col("feature") == -1).select("fit_id", "node", F.col("sg").alias("gt"), F.col("sh").alias("ht"))
-
-
-def best_split(hist: DataFrame, totals: DataFrame, lam: float = LAMBDA, mcw: float = MIN_CHILD_WEIGHT) -> DataFrame:
-    """Best valid split per (fit, node) (no gamma test here; see :func:`decide`)."""
-    w = Window.partitionBy("fit_id", "node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    x = hist.select(
-        "fit_id", "node", "feature", "bin", F.sum("sg").over(w).alias("gl"), F.sum("sh").over(w).alias("hl")
-    ).join(totals, ["fit_id", "node"])
-    gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-    lm = F.lit(lam)
-    gain = F.col("gl") * F.col("gl") / (F.col("hl") + lm) + gr * gr / (hr + lm) - F.col("gt") * F.col("gt") / (F.col("ht") + lm)
-    x = x.where((F.col("hl") >= mcw) & (hr >= mcw)).withColumn("gain", F.round(gain, 9))
-    r = Window.partitionBy("fit_id", "node").orderBy(F.col("gain").desc(), "feature", "bin")
-    return x.withColumn("_r", F.row_number().over(r)).where("_r = 1").drop("_r")
+def best_split(hist: DataFrame, lam: float = LAMBDA, mcw: float = MIN_CHILD_WEIGHT) -> DataFrame:
+    """Best split and totals of every (fit, node), from one exchange of :func:`_histogram`'s table.
 
+    The histogram (small: fits x nodes x features x bins) is hash-partitioned once by
+    (fit, node); that partitioning serves the running sums per (fit, node, feature),
+    the node totals (the feature -1 row) and the arg-max, so no further shuffle or join is needed.
 
-def _candidates(hist: DataFrame, lam: float, mcw: float) -> DataFrame:
-    """Best split candidate and totals of every (fit, node) from one exchange.
-
-    The histogram (small: fits x nodes x features x bins) is hash-partitioned
-    once by (fit, node); that partitioning serves the running sums per
-    (fit, node, feature), the node totals (the feature -1 row) and the
-    arg-max per (fit, node), so no further shuffle or join is needed.  Same
-    rule as :func:`best_split`: valid when both children have
-    H >= min_child_weight, highest gain (rounded to 1e-9), then lower
-    feature, then lower bin; a node without a valid split keeps its totals
-    and a NULL gain.
+    After every bin that has a known value on its right, both directions of the rows
+    with a missing value are tried: their sums (node total minus known total) go left or right.
+    A split is valid when both children have H >= min_child_weight; the highest gain
+    (equal to 1e-9) wins, then the lower feature, the lower bin, and the left direction.
+    Output: fit_id, node, gt, ht, gl, hl, feature, bin, default_left, gain (the last six NULL without a valid split).
     """
     h = hist.repartition("fit_id", "node")
     wn = Window.partitionBy("fit_id", "node")
-    wf = Window.partitionBy("fit_id", "node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    wf = Window.partitionBy("fit_id", "node", "feature")
+    run = wf.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(F.when(F.col("feature") == -1, F.col(c))).over(wn)
     x = h.select(
-        "fit_id", "node", "feature", "bin",
-        F.sum(F.when(F.col("feature") == -1, F.col("sg"))).over(wn).alias("gt"),
-        F.sum(F.when(F.col("feature") == -1, F.col("sh"))).over(wn).alias("ht"),
-        F.sum("sg").over(wf).alias("gl"),
-        F.sum("sh").over(wf).alias("hl"),
+        "fit_id", "node", "feature", "bin", total("sg").alias("gt"), total("sh").alias("ht"),
+        F.sum("sg").over(run).alias("gk"), F.sum("sh").over(run).alias("hk"), F.sum("n").over(run).alias("nk"),
+        F.sum("sg").over(wf).alias("gs"), F.sum("sh").over(wf).alias("hs"), F.sum("n").over(wf).alias("ns"),
+    )
+    sides = F.array(
+        F.struct(F.lit(True).alias("default_left"), (F.col("gk") + F.col("gt") - F.col("gs")).alias("gl"), (F.col("hk") + F.col("ht") - F.col("hs")).alias("hl")),
+        F.struct(F.lit(False).alias("default_left"), F.col("gk").alias("gl"), F.col("hk").alias("hl")),
     )
-    gr, hr, lm = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl"), F.lit(lam)
-    valid = (F.col("feature") >= 0) & (F.col("hl") >= mcw) & (hr >= mcw)
-    gain = F.col("gl") * F.col("gl") / (F.col("hl") + lm) + gr * gr / (hr + lm) - F.col("gt") * F.col("gt") / (F.col("ht") + lm)
+    x = x.withColumn("side", F.explode(sides)).select("fit_id", "node", "feature", "bin", "gt", "ht", "nk", "ns", "side.*")
+    gl, hl, lm = F.col("gl"), F.col("hl"), F.lit(lam)
+    gr, hr = F.col("gt") - gl, F.col("ht") - hl
+    valid = (F.col("feature") >= 0) & (F.col("nk") < F.col("ns")) & (hl >= mcw) & (hr >= mcw)
+    gain = gl * gl / (hl + lm) + gr * gr / (hr + lm) - F.col("gt") * F.col("gt") / (F.col("ht") + lm)
     x = x.withColumn("gain", F.when(valid, F.round(gain, 9)))
-    r = F.row_number().over(wn.orderBy(F.col("gain").desc_nulls_last(), "feature", "bin"))
+    r = F.row_number().over(wn.orderBy(F.col("gain").desc_nulls_last(), "feature", "bin", F.col("default_left").desc()))
     top = x.withColumn("_r", r).where("_r = 1")
     has = F.col("gain").isNotNull()
-    return top.select(
-        "fit_id", "node", "gt", "ht",
-        F.when(has, F.col("feature")).alias("feature"), F.when(has, F.col("bin")).alias("bin"), "gain",
-    )
+    return top.select("fit_id", "node", "gt", "ht", *[F.when(has, F.col(c)).alias(c) for c in ("gl", "hl", "feature", "bin", "default_left")], "gain")
 
 
 def _leaf(lam: float):
@@ -251,7 +244,7 @@ def _leaf(lam: float):
 
 def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int, lam: float, mcw: float):
     """One level for all fits: returns (new state, tree rows of this level)."""
-    cand = _candidates(_histogram(state, allowed), lam, mcw).join(
+    cand = best_split(_histogram(state, allowed), lam, mcw).join(
         fits.select("fit_id", "eta", "max_depth", "gamma"), "fit_id"
     )
     do_split = F.col("gain").isNotNull() & (F.col("gain") > F.col("gamma")) & (F.col("gain") > MIN_GAIN) & (
@@ -263,12 +256,14 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
         "fit_id", "node",
         F.when(F.col("split"), F.col("feature")).alias("feature"),
         F.when(F.col("split"), F.col("bin")).alias("sbin"),
+        F.when(F.col("split"), F.col("default_left")).alias("missing_left"),
         F.when(~F.col("split"), _leaf(lam)).alias("leaf_value"),
     )
     nodes = dec.select(
         "fit_id", "node", F.lit(depth).alias("depth"),
         F.when(F.col("split"), F.col("feature")).alias("feature"),
         F.when(F.col("split"), F.col("bin")).alias("bin"),
+        F.when(F.col("split"), F.col("default_left")).alias("default_left"),
         F.when(F.col("split"), F.col("node") * 2 + 1).alias("left"),
         F.when(F.col("split"), F.col("node") * 2 + 2).alias("right"),
         F.when(~F.col("split"), _leaf(lam)).alias("leaf_value"),
@@ -277,7 +272,7 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
     )
     st = state.join(route, ["fit_id", "node"], "left")
     b = F.element_at(F.col("bins"), F.col("feature") + 1)
-    go_left = b.isNull() | (b <= F.col("sbin"))
+    go_left = F.when(b.isNull(), F.col("missing_left")).otherwise(b <= F.col("sbin"))
     new_node = F.when(F.col("sbin").isNotNull(), F.when(go_left, F.col("node") * 2 + 1).otherwise(F.col("node") * 2 + 2))
     st = st.select(
         *[c for c in state.columns if c not in ("node", "leaf")],
@@ -293,7 +288,7 @@ def close_tree(state: DataFrame, fits: DataFrame, depth: int, lam: float):
     leaves = reuse(tot.select("fit_id", "node", _leaf(lam).alias("leaf_value"), F.col("ht").alias("cover")))
     nodes = leaves.select(
         "fit_id", "node", F.lit(depth).alias("depth"), F.lit(None).cast("int").alias("feature"),
-        F.lit(None).cast("int").alias("bin"), F.lit(None).cast("bigint").alias("left"),
+        F.lit(None).cast("int").alias("bin"), F.lit(None).cast("boolean").alias("default_left"), F.lit(None).cast("bigint").alias("left"),
         F.lit(None).cast("bigint").alias("right"), "leaf_value", F.lit(None).cast("double").alias("gain"), "cover",
     )
     st = state.join(leaves.select("fit_id", "node", "leaf_value"), ["fit_id", "node"], "left").select(
@@ -305,7 +300,7 @@ def close_tree(state: DataFrame, fits: DataFrame, depth: int, lam: float):
 def fit_boosted(
     rows: DataFrame,
     grid_values: dict,
-    max_bins: int = 32,
+    max_bins: int | None = None,
     lam: float = LAMBDA,
     mcw: float = MIN_CHILD_WEIGHT,
     use_gamma: bool = True,
@@ -322,8 +317,9 @@ def fit_boosted(
     fits = fits_of(rows, grid_values)
     if not use_gamma:
         fits = fits.withColumn("gamma", F.lit(0.0))
-    bins = feature_bins(rows, max_bins)
-    br = bin_rows(rows, bins)
+    values = reuse(value_bins(rows, max_bins))
+    bins = feature_bins(rows, max_bins, values)
+    br = bin_rows(rows, values)
     state = br.join(fits.select("study", "fit_id", "subsample"), "study").select(
         "fit_id", "study", "row_id", F.col("y").cast("double").alias("y"), "bins", "subsample",
         F.lit(0.0).alias("margin"),
@@ -358,7 +354,7 @@ def fit_boosted(
     cuts = fits.select("fit_id", "study").join(bins.select("study", "feature", "bin", "cut"), "study")
     trees = trees.join(cuts, ["fit_id", "feature", "bin"], "left").select(
         F.col("fit_id").alias("model"), "tree", "node", "depth", "feature", F.col("cut").alias("threshold"),
-        F.when(F.col("feature").isNotNull(), F.lit(True)).alias("default_left"), "left", "right",
+        "default_left", "left", "right",
         "leaf_value", "gain", "cover",
     )
     preds = pred_parts[0]
@@ -377,7 +373,7 @@ def select_best(aucs: DataFrame, key: str = "study") -> DataFrame:
     return aucs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int = 32, seed: int = 135):
+def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int | None = None, seed: int = 135):
     """k-fold CV of the grid on pooled rows (the centralised model).
 
     Folds are stratified by class (:func:`compare.stratified_folds`).  The
@@ -418,13 +414,11 @@ def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int
         F.round("x.margin", 9).alias("score"),
     )
     aucs = roc.auc(p, keys=["fold", "grid_id"]).select("fold", "grid_id", "auc")
-    mean = aucs.groupBy("grid_id").agg(
-        F.count("auc").alias("n_folds"), F.round(F.avg("auc"), 6).alias("mean_auc")
-    )
+    mean = aucs.groupBy("grid_id").agg(F.count("auc").alias("n_folds"), F.avg("auc").alias("mean_auc"))
     return aucs, mean
 
 
 def cv_select(mean: DataFrame) -> DataFrame:
-    """Grid row with the highest mean CV AUC; the first grid_id wins ties."""
-    w = Window.orderBy(F.col("mean_auc").desc_nulls_last(), F.col("grid_id"))
-    return mean.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """Grid row with the highest mean CV AUC; the first grid_id wins ties (means of equal AUCs differ by 1e-16)."""
+    rank = F.struct(F.round(F.coalesce("mean_auc", F.lit(-1.0)), 12), -F.col("grid_id"))
+    return mean.agg(F.max_by(F.struct(*mean.columns), rank).alias("m")).select("m.*")

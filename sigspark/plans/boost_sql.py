@@ -40,14 +40,15 @@ def u_of(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
-def base(grid: dict, max_bins: int = 32, src: str = "v_wide") -> list[str]:
+def base(grid: dict, max_bins: int | None = None, src: str = "v_wide") -> list[str]:
+    bin_of = "rk - 1" if max_bins is None else f"floor((rk - 1) * {max_bins} / m)"
     return [
         f"""lf AS (SELECT study, row_id, CAST(unnest(range(len(features))) AS INTEGER) AS feature, unnest(features) AS value
   FROM {src})""",
         f"""bd AS (SELECT study, feature, value, row_number() OVER (PARTITION BY study, feature ORDER BY value) AS rk,
     count(*) OVER (PARTITION BY study, feature) AS m FROM (SELECT DISTINCT study, feature, value FROM lf WHERE value IS NOT NULL))""",
         f"""bper AS (SELECT study, feature,
-    CAST(CASE WHEN m <= {max_bins} THEN rk - 1 ELSE floor((rk - 1) * {max_bins} / m) END AS INTEGER) AS bin,
+    CAST({bin_of} AS INTEGER) AS bin,
     min(value) AS lo, max(value) AS hi FROM bd GROUP BY ALL)""",
         """bins AS (SELECT *, (hi + lead(lo) OVER (PARTITION BY study, feature ORDER BY bin)) / 2 AS cut FROM bper)""",
         """br AS (SELECT l.study, l.row_id, l.feature, b.bin FROM lf l JOIN bins b
@@ -79,25 +80,26 @@ def round_ctes(r: int, max_depth: int, lam: float = 1.0, mcw: float = 1.0) -> li
             f"""hist_r{r}_l{d} AS (SELECT s.fit_id, s.node, b.feature, b.bin, sum(s.g) AS sg, sum(s.h) AS sh, count(*) AS n
   FROM {s} s JOIN br b USING (study, row_id) JOIN al_r{r} a ON a.fit_id = s.fit_id AND a.feature = b.feature
   WHERE s.keep AND s.node IS NOT NULL AND a.keep GROUP BY ALL)""",
-            f"""cum_r{r}_l{d} AS (SELECT h.fit_id, h.node, h.feature, h.bin,
-    sum(sg) OVER (PARTITION BY h.fit_id, h.node, h.feature ORDER BY h.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gl,
-    sum(sh) OVER (PARTITION BY h.fit_id, h.node, h.feature ORDER BY h.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hl
-  FROM hist_r{r}_l{d} h)""",
-            f"""best_r{r}_l{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fit_id, node ORDER BY gain DESC, feature, bin) AS _r
-  FROM (SELECT c.*, t.gt, t.ht,
-     round(gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / ((ht - hl) + {lam}) - gt * gt / (ht + {lam}), 9) AS gain
-     FROM cum_r{r}_l{d} c JOIN tot_r{r}_l{d} t USING (fit_id, node)
-     WHERE hl >= {mcw} AND (ht - hl) >= {mcw})) WHERE _r = 1)""",
-            f"""dec_r{r}_l{d} AS (SELECT t.fit_id, t.node, t.gt, t.ht, b.feature, b.bin, b.gain, f.eta,
+            f"""cum_r{r}_l{d} AS (SELECT h.fit_id, h.node, h.feature, h.bin, sum(sg) OVER w AS gk, sum(sh) OVER w AS hk, sum(n) OVER w AS nk,
+    sum(sg) OVER p AS gs, sum(sh) OVER p AS hs, sum(n) OVER p AS ns
+  FROM hist_r{r}_l{d} h WINDOW w AS (PARTITION BY h.fit_id, h.node, h.feature ORDER BY h.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    p AS (PARTITION BY h.fit_id, h.node, h.feature))""",
+            f"""side_r{r}_l{d} AS (SELECT c.fit_id, c.node, c.feature, c.bin, t.gt, t.ht, m.default_left,
+    CASE WHEN m.default_left THEN gk + gt - gs ELSE gk END AS gl, CASE WHEN m.default_left THEN hk + ht - hs ELSE hk END AS hl
+  FROM cum_r{r}_l{d} c JOIN tot_r{r}_l{d} t USING (fit_id, node) CROSS JOIN (VALUES (true), (false)) m(default_left) WHERE nk < ns)""",
+            f"""best_r{r}_l{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fit_id, node ORDER BY gain DESC, feature, bin, default_left DESC) AS _r
+  FROM (SELECT *, round(gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / ((ht - hl) + {lam}) - gt * gt / (ht + {lam}), 9) AS gain
+     FROM side_r{r}_l{d} WHERE hl >= {mcw} AND (ht - hl) >= {mcw})) WHERE _r = 1)""",
+            f"""dec_r{r}_l{d} AS (SELECT t.fit_id, t.node, t.gt, t.ht, b.feature, b.bin, b.default_left, b.gain, f.eta,
     (b.gain IS NOT NULL AND b.gain > f.gamma AND b.gain > 1e-6 AND {d} < f.max_depth) AS split
   FROM tot_r{r}_l{d} t LEFT JOIN best_r{r}_l{d} b USING (fit_id, node) JOIN fits f ON f.fit_id = t.fit_id)""",
             f"""nodes_r{r}_l{d} AS (SELECT fit_id, {r - 1} AS tree, node, {d} AS depth,
-    CASE WHEN split THEN feature END AS feature, CASE WHEN split THEN bin END AS bin,
+    CASE WHEN split THEN feature END AS feature, CASE WHEN split THEN bin END AS bin, CASE WHEN split THEN default_left END AS default_left,
     CASE WHEN split THEN node * 2 + 1 END AS "left", CASE WHEN split THEN node * 2 + 2 END AS "right",
     CASE WHEN NOT split THEN -eta * gt / (ht + {lam}) END AS leaf_value,
     CASE WHEN split THEN gain END AS gain, ht AS cover FROM dec_r{r}_l{d})""",
             f"""s_r{r}_l{d + 1} AS (SELECT s.fit_id, s.study, s.row_id, s.y, s.margin, s.g, s.h, s.keep,
-    CASE WHEN s.node IS NOT NULL AND dd.split THEN CASE WHEN rb.bin IS NULL OR rb.bin <= dd.bin THEN s.node * 2 + 1 ELSE s.node * 2 + 2 END END AS node,
+    CASE WHEN s.node IS NOT NULL AND dd.split THEN CASE WHEN CASE WHEN rb.bin IS NULL THEN dd.default_left ELSE rb.bin <= dd.bin END THEN s.node * 2 + 1 ELSE s.node * 2 + 2 END END AS node,
     coalesce(CASE WHEN dd.split = false THEN -dd.eta * dd.gt / (dd.ht + {lam}) END, s.leaf) AS leaf
   FROM {s} s LEFT JOIN dec_r{r}_l{d} dd ON dd.fit_id = s.fit_id AND dd.node = s.node
   LEFT JOIN br rb ON rb.study = s.study AND rb.row_id = s.row_id AND rb.feature = dd.feature)""",
@@ -108,7 +110,7 @@ def round_ctes(r: int, max_depth: int, lam: float = 1.0, mcw: float = 1.0) -> li
         f"""ctot_r{r} AS (SELECT t.*, f.eta FROM (SELECT fit_id, node, sum(g) AS gt, sum(h) AS ht FROM {s}
     WHERE keep AND node IS NOT NULL GROUP BY ALL) t JOIN fits f USING (fit_id))""",
         f"""cnodes_r{r} AS (SELECT fit_id, {r - 1} AS tree, node, {max_depth} AS depth, CAST(NULL AS INTEGER) AS feature,
-    CAST(NULL AS INTEGER) AS bin, CAST(NULL AS BIGINT) AS "left", CAST(NULL AS BIGINT) AS "right",
+    CAST(NULL AS INTEGER) AS bin, CAST(NULL AS BOOLEAN) AS default_left, CAST(NULL AS BIGINT) AS "left", CAST(NULL AS BIGINT) AS "right",
     -eta * gt / (ht + {lam}) AS leaf_value, CAST(NULL AS DOUBLE) AS gain, ht AS cover FROM ctot_r{r})""",
         f"""st_r{r} AS (SELECT s.fit_id, s.study, s.row_id, s.y,
     s.margin + coalesce(coalesce(-c.eta * c.gt / (c.ht + {lam}), s.leaf), 0.0) AS margin
@@ -118,7 +120,7 @@ def round_ctes(r: int, max_depth: int, lam: float = 1.0, mcw: float = 1.0) -> li
     return out
 
 
-def fit_ctes(grid: dict, max_bins: int = 32, src: str = "v_wide") -> list[str]:
+def fit_ctes(grid: dict, max_bins: int | None = None, src: str = "v_wide") -> list[str]:
     """All CTEs of a fit; defines ``trees`` and ``preds``."""
     n_rounds = max(grid["nrounds"])
     depth = max(grid["max_depth"])
@@ -128,7 +130,7 @@ def fit_ctes(grid: dict, max_bins: int = 32, src: str = "v_wide") -> list[str]:
     nodes = " UNION ALL ".join(f"SELECT * FROM nodes_r{r}" for r in range(1, n_rounds + 1))
     ctes.append(
         f"""trees AS (SELECT n.fit_id AS model, CAST(n.tree AS INTEGER) AS tree, n.node, n.depth, n.feature, c.cut AS threshold,
-    CASE WHEN n.feature IS NOT NULL THEN true END AS default_left, n."left", n."right", n.leaf_value, n.gain, n.cover
+    n.default_left, n."left", n."right", n.leaf_value, n.gain, n.cover
   FROM ({nodes}) n JOIN fits f ON f.fit_id = n.fit_id
   LEFT JOIN bins c ON c.study = f.study AND c.feature = n.feature AND c.bin = n.bin)"""
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boost as B
 from ..operators import roc
 from . import boost_sql as BS
-from .registry import query
+from .registry import query, rounded
 from .views import v_wide, with_views
 
 # A small grid for the checked queries (2 rounds, depth 2, 4 fits per study).
@@ -20,7 +20,7 @@ TEST_GRID = {
     "subsample": [0.8, 1.0],
 }
 ONE_ROUND = {**TEST_GRID, "nrounds": [1]}
-MAX_BINS = 32
+MAX_BINS = None  # exact candidates: every distinct value
 
 
 def _fit_sql(grid: dict, body: str) -> str:
@@ -37,7 +37,7 @@ def _base_sql(body: str, rounds: int = 1, depth: int = 2) -> str:
 def _state1(spark, sf):
     rows = v_wide(spark, sf)
     fits = B.fits_of(rows, TEST_GRID)
-    br = B.bin_rows(rows, B.feature_bins(rows, MAX_BINS))
+    br = B.bin_rows(rows, B.value_bins(rows, MAX_BINS))
     st = br.join(fits.select("study", "fit_id", "subsample"), "study").select(
         "fit_id", "study", "row_id", F.col("y").cast("double").alias("y"), "bins", "subsample", F.lit(0.0).alias("margin")
     )
@@ -99,13 +99,13 @@ def q_split_histogram(spark, sf):
     "best_split",
     _base_sql(
         "SELECT fit_id, node, feature, bin, round(gl, 6) AS gl, round(hl, 6) AS hl, round(gt, 6) AS gt, "
-        "round(ht, 6) AS ht, gain FROM best_r1_l0"
+        "round(ht, 6) AS ht, default_left, gain FROM best_r1_l0"
     ),
 )
 def q_best_split(spark, sf):
     st, fits = _state1(spark, sf)
-    b = B.best_split(B.split_histogram(st, B.col_sample(fits, BS.N_FEATURES, 1)), B.node_totals(st))
-    return b.select("fit_id", "node", "feature", "bin", _R6("gl"), _R6("hl"), _R6("gt"), _R6("ht"), "gain")
+    b = B.best_split(B._histogram(st, B.col_sample(fits, BS.N_FEATURES, 1))).where("gain is not null")
+    return b.select("fit_id", "node", "feature", "bin", _R6("gl"), _R6("hl"), _R6("gt"), _R6("ht"), "default_left", "gain")
 
 
 @query("route_rows", _base_sql("SELECT fit_id, row_id, node, round(leaf, 6) AS leaf FROM s_r1_l1"))
@@ -146,8 +146,8 @@ _AUC_OF_PREDS = """pr AS (SELECT p.study, (f.fit_no - 1) * {nr} + list_position(
   FROM preds p JOIN fits f USING (fit_id, study)),
 ca AS (SELECT study, grid_id, score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
              CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM pr GROUP BY ALL),
-au AS (SELECT study, grid_id, round(sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
-         / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auc
+au AS (SELECT study, grid_id, sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
+         / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
   FROM (SELECT ca.*, sum(neg) OVER (PARTITION BY study, grid_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM ca)
   GROUP BY study, grid_id),
 best AS (SELECT study, grid_id, auc FROM (
@@ -170,7 +170,7 @@ def grid_aucs(preds, fits, grid):
 @query(
     "select_best",
     with_views(
-        "SELECT * FROM best",
+        "SELECT study, grid_id, round(auc, 6) AS auc FROM best",
         "v_wide",
         extra=",\n".join(BS.fit_ctes(TEST_GRID, MAX_BINS))
         + ",\n"
@@ -179,4 +179,4 @@ def grid_aucs(preds, fits, grid):
 )
 def q_select_best(spark, sf):
     _, preds, fits = B.fit_boosted(v_wide(spark, sf), TEST_GRID, MAX_BINS)
-    return B.select_best(grid_aucs(preds, fits, TEST_GRID))
+    return rounded(B.select_best(grid_aucs(preds, fits, TEST_GRID)), 6, "auc")

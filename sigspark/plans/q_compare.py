@@ -150,32 +150,32 @@ def _cv_sql() -> str:
     CAST(m.y AS INTEGER) AS label, round(m.margin, 9) AS score FROM cm_ m JOIN fits f ON f.fit_id = m.model)""",
         """cc AS (SELECT fold, grid_id, score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
     CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM cp GROUP BY ALL)""",
-        """cva AS (SELECT fold, grid_id, round(sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
-    / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auc
+        """cva AS (SELECT fold, grid_id, sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
+    / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
   FROM (SELECT cc.*, sum(neg) OVER (PARTITION BY fold, grid_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM cc)
   GROUP BY fold, grid_id)""",
-        "cvm AS (SELECT grid_id, count(auc) AS n_folds, round(avg(auc), 6) AS mean_auc FROM cva GROUP BY grid_id)",
+        "cvm AS (SELECT grid_id, count(auc) AS n_folds, avg(auc) AS mean_auc FROM cva GROUP BY grid_id)",
     ]
     return ",\n".join(parts)
 
 
-@query("cv_mean_auc", with_views("SELECT * FROM cvm", "v_wide", extra=_cv_sql()))
+@query("cv_mean_auc", with_views("SELECT grid_id, n_folds, round(mean_auc, 6) AS mean_auc FROM cvm", "v_wide", extra=_cv_sql()))
 def q_cv_mean_auc(spark, sf):
     _, mean = B.cross_validate(v_wide(spark, sf), TEST_GRID, CV_K, MAX_BINS, CV_SEED)
-    return mean
+    return rounded(mean, 6, "mean_auc")
 
 
 @query(
     "cv_select",
     with_views(
-        "SELECT grid_id, n_folds, mean_auc FROM (SELECT *, row_number() OVER (ORDER BY mean_auc DESC NULLS LAST, grid_id) AS r FROM cvm) WHERE r = 1",
+        "SELECT grid_id, n_folds, round(mean_auc, 6) AS mean_auc FROM (SELECT *, row_number() OVER (ORDER BY round(mean_auc, 12) DESC NULLS LAST, grid_id) AS r FROM cvm) WHERE r = 1",
         "v_wide",
         extra=_cv_sql(),
     ),
 )
 def q_cv_select(spark, sf):
     _, mean = B.cross_validate(v_wide(spark, sf), TEST_GRID, CV_K, MAX_BINS, CV_SEED)
-    return B.cv_select(mean)
+    return rounded(B.cv_select(mean), 6, "mean_auc")
 
 
 def _logit_sql(steps: int = 3) -> str:

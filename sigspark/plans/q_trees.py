@@ -14,7 +14,7 @@ from ..session import scratch_path
 from . import boost_sql as BS
 from .q_boost import _AUC_OF_PREDS, _R6, MAX_BINS, ONE_ROUND, TEST_GRID, grid_aucs
 from .q_roc import _AUPRC, _CONF
-from .registry import query
+from .registry import query, rounded
 from .views import v_wide, with_views
 
 
@@ -165,13 +165,13 @@ _REPORT = (
 @query(
     "training_report",
     with_views(
-        """SELECT b.study, b.grid_id, b.auc AS auroc, cm.threshold,
+        """SELECT b.study, b.grid_id, round(b.auc, 6) AS auroc, round(cm.threshold, 6) AS threshold,
        round((tp + tn) / NULLIF(CAST(tp + fp + fn + tn AS DOUBLE), 0), 4) AS accuracy,
        round(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 4) AS precision,
        round(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 4) AS recall,
        round(2 * (tp / NULLIF(CAST(tp + fp AS DOUBLE), 0)) * (tp / NULLIF(CAST(tp + fn AS DOUBLE), 0))
              / NULLIF(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0) + tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0), 4) AS f1,
-       ap.auprc
+       round(ap.auprc, 6) AS auprc
 FROM best b JOIN cm ON cm.study = b.study AND cm.model = b.grid_id JOIN ap ON ap.study = b.study AND ap.model = b.grid_id""",
         "v_wide",
         extra=_REPORT,
@@ -193,8 +193,9 @@ def q_training_report(spark, sf):
     thr = roc.best_threshold(roc.roc_curve(pb))
     met = roc.threshold_metrics(roc.confusion(pb, thr))
     ap = roc.auprc(pb)
-    return (
+    report = (
         best.join(met.withColumnRenamed("model", "grid_id"), ["study", "grid_id"])
         .join(ap.withColumnRenamed("model", "grid_id").select("study", "grid_id", "auprc"), ["study", "grid_id"])
         .select("study", "grid_id", F.col("auc").alias("auroc"), "threshold", "accuracy", "precision", "recall", "f1", "auprc")
     )
+    return rounded(report, 6, "auroc", "threshold", "auprc")
