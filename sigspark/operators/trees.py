@@ -17,11 +17,36 @@ from pyspark.sql import types as T
 
 from ..functions import sigmoid
 
-MAX_MODELS = 100_000  # size bound for the model list every sample is scored against
+NODE = ["feature", "threshold", "default_left", "left", "right", "leaf_value"]
 
 
-def tree_depth(trees: DataFrame) -> int:
-    return int(trees.select(F.max("depth")).first()[0] or 0)
+def pack(trees: DataFrame) -> DataFrame:
+    """One row per model: ``trees``, an array of (tree, nodes, levels); children are positions in ``nodes``, the root the first.
+
+    Both arrays are bounded by the model's own size.  Levels are the longest way down
+    (from ``depth``, see :func:`with_depth`).
+    """
+    w = Window.partitionBy("model", "tree").orderBy("node")
+    t = trees.withColumn("at", (F.row_number().over(w) - 1).cast("int"))
+    ix = t.select("model", "tree", F.col("node").alias("child"), "at")
+    for side in ("left", "right"):
+        t = t.join(ix.withColumnsRenamed({"child": side, "at": f"{side}_at"}), ["model", "tree", side], "left")
+    t = t.withColumns({"left": F.col("left_at"), "right": F.col("right_at")})
+    per = t.groupBy("model", "tree").agg(F.sort_array(F.collect_list(F.struct("at", *NODE))).alias("nodes"), F.max("depth").alias("levels"))
+    return per.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("tree", "nodes", "levels"))).alias("trees"))
+
+
+def _leaf_of(tree, features):
+    """Value of the leaf that ``features`` reach in a packed tree."""
+
+    def step(at, _):
+        n = F.get(tree["nodes"], at)
+        x = F.get(features, n["feature"])
+        left = F.when(x.isNull(), n["default_left"]).otherwise(x < n["threshold"])
+        return F.when(n["feature"].isNull(), at).when(left, n["left"]).otherwise(n["right"])
+
+    at = F.when(tree["levels"] > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(tree["levels"], F.lit(1))), F.lit(0), step)).otherwise(F.lit(0))
+    return F.get(tree["nodes"], at)["leaf_value"]
 
 
 def score_models(
@@ -33,45 +58,49 @@ def score_models(
 ) -> DataFrame:
     """Margin and probability of every model on every row.
 
-    Each row is paired with the model list by ``explode`` of the (size-checked)
-    model names, then with its trees' roots by an equi-join on ``model``; each
-    level is an equi-join on (model, tree, node) against the node table:
-    ``x[feature] < threshold`` goes left, a missing value follows
-    ``default_left``.  Output: ids, model, margin, prob.
-
-    When ``rows`` has a ``models`` array column, each row is scored only by
-    the models it lists (e.g. the models of its own CV fold).  ``per_tree``
-    returns one row per (ids, model, tree) with the tree's ``leaf``.
+    A row meets its models once, by an equi-join on ``model`` with the packed tree
+    table (Spark broadcasts that side where its measured size allows, else
+    both are partitioned), and walks all trees of the model in place:
+    ``x[feature] < threshold`` goes left, a missing value follows ``default_left``.
+    No join per level, and the features are moved at most once.
+    Output: ids, model, margin, prob.
+
+    The models are those of the tree table (its distinct names, one small row), those given, or,
+    when ``rows`` has a ``models`` array column, those that each row lists (e.g.
+    the models of its own CV fold).  ``per_tree`` returns one row per
+    (ids, model, tree) with the tree's ``leaf``.
     """
     ids = list(ids)
+    packed = pack(trees if "depth" in trees.columns else with_depth(trees))
     if "models" in rows.columns:
-        models = []
+        names = F.col("models")
     elif models is None:
-        names = [r[0] for r in trees.select("model").distinct().limit(MAX_MODELS + 1).collect()]
-        if len(names) > MAX_MODELS:
-            raise ValueError(f"more than {MAX_MODELS} models; score them in groups")
-        models = sorted(names)
-    depth = tree_depth(trees)
-    nodes = trees.select("model", "tree", "node", "feature", "threshold", "default_left", "left", "right", "leaf_value")
-    mlist = F.col("models") if "models" in rows.columns else F.array(*[F.lit(m) for m in models])
-    pairs = rows.select(*ids, "features", F.explode(mlist).alias("model"))
-    st = pairs.join(nodes.where(F.col("node") == 0).select("model", "tree"), "model").withColumn(
-        "node", F.lit(0).cast("bigint")
-    ).withColumn("leaf", F.lit(None).cast("double"))
-    for _ in range(depth + 1):
-        j = st.join(nodes, ["model", "tree", "node"], "left")
-        x = F.element_at(F.col("features"), F.col("feature") + 1)
-        left = F.when(x.isNull(), F.col("default_left")).otherwise(x < F.col("threshold"))
-        nxt = F.when(F.col("feature").isNotNull(), F.when(left, F.col("left")).otherwise(F.col("right")))
-        st = j.select(
-            *ids, "features", "model", "tree",
-            F.when(F.col("leaf").isNull(), nxt).alias("node"),
-            F.coalesce(F.col("leaf"), F.when(F.col("feature").isNull(), F.col("leaf_value"))).alias("leaf"),
-        )
+        names = trees.select(F.sort_array(F.collect_set("model"))).scalar()
+    else:
+        names = F.array(*[F.lit(m) for m in models])
+    pairs = rows.select(*ids, "features", F.explode(names).alias("model")).join(packed, "model")
     if per_tree:
-        return st.select(*ids, "model", "tree", "leaf")
-    g = st.groupBy(*ids, "model").agg(F.sum("leaf").alias("margin"))
-    return g.select(*ids, "model", F.round("margin", 6).alias("margin"), F.round(sigmoid("margin"), 6).alias("prob"))
+        leaves = F.transform("trees", lambda t: F.struct(t["tree"].alias("tree"), _leaf_of(t, F.col("features")).alias("leaf")))
+        return pairs.select(*ids, "model", F.explode(leaves).alias("x")).select(*ids, "model", "x.tree", "x.leaf")
+    margin = F.aggregate("trees", F.lit(0.0), lambda m, t: m + F.coalesce(_leaf_of(t, F.col("features")), F.lit(0.0)))
+    return pairs.select(*ids, "model", margin.alias("margin")).withColumn("prob", sigmoid("margin"))
+
+
+def with_depth(trees: DataFrame) -> DataFrame:
+    """Tree rows with ``depth``, found from the links between parents and children, whatever the node numbers.
+
+    A root is a node that is no node's child.  One small join per level of the deepest tree.
+    """
+    from ..session import reuse
+
+    t = reuse(trees)
+    child = t.where("feature is not null").select("model", "tree", F.col("node").alias("parent"), F.explode(F.array("left", "right")).alias("node"))
+    level = reuse(t.join(child, ["model", "tree", "node"], "left_anti").select("model", "tree", "node", F.lit(0).alias("depth")))
+    found = level
+    while level.take(1):
+        level = reuse(child.join(level.withColumnRenamed("node", "parent"), ["model", "tree", "parent"]).select("model", "tree", "node", (F.col("depth") + 1).alias("depth")))
+        found = found.unionByName(level)
+    return t.join(found, ["model", "tree", "node"])
 
 
 def merge_models(trees: DataFrame, name: str = "global") -> DataFrame:
@@ -132,9 +161,9 @@ def feature_importance(trees: DataFrame) -> DataFrame:
     tot = sp.groupBy("model").agg(F.sum("gain").alias("gt"), F.sum("cover").alias("ct"), F.count(F.lit(1)).alias("ft"))
     return per.join(tot, "model").select(
         "model", "feature",
-        F.round(F.col("g") / F.col("gt"), 6).alias("gain"),
-        F.round(F.col("c") / F.col("ct"), 6).alias("cover"),
-        F.round(F.col("f") / F.col("ft"), 6).alias("frequency"),
+        (F.col("g") / F.col("gt")).alias("gain"),
+        (F.col("c") / F.col("ct")).alias("cover"),
+        (F.col("f") / F.col("ft")).alias("frequency"),
     )
 
 
@@ -255,7 +284,7 @@ def parse_models(docs: DataFrame, text_col: str = "json", model_col: str = "mode
     """Model documents -> tree table (``from_json`` -> explode trees -> zip node arrays -> explode nodes).
 
     Children indices are kept as in the document (0..n-1, -1 for none); depth
-    is not stored in the document and is returned NULL.
+    is not stored there, :func:`with_depth` finds it from the links.
     """
     d = docs.select(model_col, F.from_json(text_col, DOC_SCHEMA).alias("d"))
     t = d.select(model_col, F.explode("d.learner.gradient_booster.model.trees").alias("t"))

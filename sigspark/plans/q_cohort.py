@@ -341,7 +341,7 @@ def q_src_train_csv(spark, sf):
 def q_src_expression(spark, sf):
     root = scratch_path(spark, f"cohort_{os.path.basename(sf.rstrip('/'))}")
     io.write_table(v_expr(spark, sf), os.path.join(root, "expression"))
-    e = io.read_cohort(spark, root)["expression"]
+    e = io.read_cohort(spark, root, ["expression"])["expression"]
     return e.select(F.col("study").cast("int").alias("study"), "patientid", "gene", "value")
 
 

@@ -56,7 +56,16 @@ _DEPTH = max(ONE_ROUND["max_depth"])
 @query("score_models", _sql("SELECT * FROM scored", extra=_score_sql(_DEPTH)))
 def q_score_models(spark, sf):
     trees, _, _ = _trees(spark, sf)
-    return TR.score_models(trees, v_wide(spark, sf))
+    return rounded(TR.score_models(trees, v_wide(spark, sf)), 6, "margin", "prob")
+
+
+@query("score_from_documents", _sql("SELECT * FROM scored", extra=_score_sql(_DEPTH)))
+def q_score_from_documents(spark, sf):
+    """Trained, written as documents, read again and scored: equal to ``score_models``."""
+    trees, _, _ = _trees(spark, sf)
+    path = scratch_path(spark, f"score_json_{os.path.basename(sf.rstrip('/'))}")
+    TR.write_models(TR.model_to_json(trees), path)
+    return rounded(TR.score_models(TR.read_models(spark, path), v_wide(spark, sf)), 6, "margin", "prob")
 
 
 _MERGE = """mm AS (SELECT model, count(DISTINCT tree) AS n_trees FROM trees GROUP BY model),
@@ -106,13 +115,33 @@ USING (model)""",
 )
 def q_feature_importance(spark, sf):
     trees, _, _ = _trees(spark, sf, TEST_GRID)
-    return TR.feature_importance(trees)
+    return rounded(TR.feature_importance(trees), 6, "gain", "cover", "frequency")
 
 
-@query("model_to_json")
+@query(
+    "model_to_json",
+    _sql(
+        """SELECT model, CAST(count(DISTINCT tree) AS INTEGER) AS num_trees, CAST(sum(CASE WHEN feature IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS leaves,
+       round(sum(CASE WHEN feature IS NULL THEN leaf_value ELSE threshold END), 5) AS conditions, round(sum(coalesce(gain, 0)), 5) AS loss_changes,
+       round(sum(cover), 5) AS sum_hessian, CAST(sum(feature) AS BIGINT) AS split_indices, CAST(count_if(default_left) AS BIGINT) AS default_left
+FROM trees GROUP BY model""",
+        grid=TEST_GRID,
+    ),
+)
 def q_model_to_json(spark, sf):
     trees, _, _ = _trees(spark, sf, TEST_GRID)
-    return TR.model_to_json(trees)
+    docs = TR.model_to_json(trees)
+    each = F.from_json("json", TR.DOC_SCHEMA)["learner"]["gradient_booster"]["model"]
+    t = docs.select("model", "num_trees", F.explode(each["trees"]).alias("t"))
+    add = lambda c: F.aggregate(f"t.{c}", F.lit(0.0), lambda a, x: a + x)
+    return t.groupBy("model", "num_trees").agg(
+        F.sum(F.size(F.filter("t.left_children", lambda x: x == -1))).cast("long").alias("leaves"),
+        F.round(F.sum(add("split_conditions")), 5).alias("conditions"),
+        F.round(F.sum(add("loss_changes")), 5).alias("loss_changes"),
+        F.round(F.sum(add("sum_hessian")), 5).alias("sum_hessian"),
+        F.sum(add("split_indices")).cast("long").alias("split_indices"),
+        F.sum(add("default_left")).cast("long").alias("default_left"),
+    )
 
 
 @query(

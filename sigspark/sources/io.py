@@ -14,6 +14,7 @@ Explicit schemas everywhere; schema inference is for tests only.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,40 @@ def train_schema(names: Sequence[str], label: str = "response") -> T.StructType:
 
 def read_train(spark: SparkSession, path: str, names: Sequence[str] | None = None, glob: str = "*.csv") -> DataFrame:
     """Read training CSVs; adds ``study`` from the file name unless the data is
-    partitioned by a ``study=`` folder.  ``names=None`` infers (tests only)."""
-    r = spark.read.option("header", True).option("pathGlobFilter", glob)
-    r = r.schema(train_schema(names)) if names is not None else r.option("inferSchema", True)
-    df = r.csv(path)
-    if "study" not in df.columns:
-        df = df.withColumn("study", study_of(F.col("_metadata.file_name")))
-    return df
+    partitioned by a ``study=`` folder.
+
+    Columns are matched by each file's own header, whatever their order; other columns
+    are left out, and a name that a file lacks is an error.  The driver lists the files (one or a few a study) and reads
+    their header lines; files with the same header are one scan.  ``names=None`` infers (tests only).
+    """
+    reader = spark.read.option("header", True).option("pathGlobFilter", glob)
+    if names is None:
+        df = reader.option("inferSchema", True).csv(path)
+        return df if "study" in df.columns else df.withColumn("study", study_of(F.col("_metadata.file_name")))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(r.path for r in listed.select("path").collect()):
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(_escaped(f)).columns), []).append(f)
+    wanted, out = train_schema(names), None
+    for header, files in by_header.items():
+        missing = [c for c in wanted.names if c not in header]
+        if missing:
+            raise ValueError(f"{files[0]} has no column {', '.join(missing[:5])}")
+        schema = T.StructType([wanted[c] if c in wanted.names else T.StructField(c, T.StringType()) for c in header])
+        part = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv([_escaped(f) for f in files])
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"study=([^/]+)/", 1)
+        name = F.url_decode(F.url_decode(F.regexp_replace(folder, r"\+", "%2B")))
+        study = F.when(folder != "", name).otherwise(study_of(F.col("_metadata.file_name")))
+        part = part.select(*[F.col(bq(c)) for c in wanted.names], study.alias("study"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no file matches {glob} in {path}")
+    return out
+
+
+def _escaped(path: str) -> str:
+    """A listed path as a reader takes it: letters that globs give a meaning are escaped."""
+    return re.sub(r"([{}\[\]*?])", r"\\\1", path)
 
 
 def write_train(df: DataFrame, path: str, names: Sequence[str], label: str = "response") -> None:
@@ -66,14 +94,12 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ("study",)) -> Non
     w.parquet(path)
 
 
-def read_cohort(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The long cohort tables under ``root/<name>``; filters on ``study`` prune partitions."""
-    out = {}
-    for name in COHORT_TABLES:
-        p = os.path.join(root, name)
-        if os.path.exists(p) or "://" in root:
-            out[name] = spark.read.parquet(p)
-    return out
+def read_cohort(spark: SparkSession, root: str, names: Sequence[str] = COHORT_TABLES) -> dict[str, DataFrame]:
+    """The long cohort tables ``names`` under ``root/<name>``; filters on ``study`` prune partitions.
+
+    A table that is not there is an error: name those that a cohort has.
+    """
+    return {name: spark.read.parquet(os.path.join(root, name)) for name in names}
 
 
 def write_list(df: DataFrame, path: str, col: str = "value") -> None:

@@ -1,35 +1,68 @@
 """Sink -> source round trips and reshaping identities."""
 
-import os
-
+import pytest
 from pyspark.sql import functions as F
 
 from sigspark.operators import reshape
 from sigspark.plans.views import v_expr, v_scores
 from sigspark.sources import io
 
-from conftest import REF, SF001
+from conftest import SF001
+
+
+NAMES = ["APM-2", "COX_IS", "CYT (a+b)", "TIS"]
+
+
+def _cohort_files(folder, orders):
+    """One CSV per study, each with its columns in an order of its own."""
+    for k, (study, order) in enumerate(orders.items()):
+        with open(folder / f"train_set_{study}_filtered.csv", "w") as f:
+            f.write(",".join(f'"{c}"' for c in order) + "\n")
+            for i in range(5):
+                value = {c: str(round(100 * k + 10 * i + j / 8, 3)) for j, c in enumerate(NAMES)} | {"response": "R" if i % 2 else "NR", "extra": "x"}
+                f.write(",".join(value[c] for c in order) + "\n")
+
+
+ORDERS = {"ICB_A__Lung__PD-(L)1": [*NAMES, "response"], "ICB_B__Skin__CTLA4": ["response", *reversed(NAMES)], "ICB_C__Lung__IO": [*NAMES[2:], "extra", *NAMES[:2], "response"]}
+
+
+def test_train_csv_matches_columns_by_header(spark, tmp_path):
+    _cohort_files(tmp_path, ORDERS)
+    rows = io.read_train(spark, str(tmp_path), NAMES).collect()
+    assert len(rows) == 15 and {r.study for r in rows} == set(ORDERS)
+    for r in rows:
+        base = r["APM-2"]
+        assert [r[c] - base for c in NAMES] == [0, 0.125, 0.25, 0.375] and r.response == ("R" if base // 10 % 2 else "NR")
+
+
+def test_train_csv_fails_on_a_missing_column(spark, tmp_path):
+    _cohort_files(tmp_path, {**ORDERS, "ICB_D__Lung__IO": [*NAMES[1:], "response"]})
+    with pytest.raises(ValueError, match="APM-2"):
+        io.read_train(spark, str(tmp_path), NAMES)
+    with pytest.raises(ValueError):
+        io.read_train(spark, str(tmp_path), NAMES, glob="*.none")
 
 
 def test_train_csv_round_trip(spark, tmp_path):
-    names = [r.value for r in io.read_list(spark, os.path.join(REF, "common_features.txt")).orderBy("pos").collect()]
-    df = io.read_train(spark, os.path.join(REF, "Training_set"), names)
-    io.write_train(df, str(tmp_path / "train"), names)
-    back = io.read_train(spark, str(tmp_path / "train"), names)
-    cols = ["study", *names[:5], "response"]
-    a = sorted(tuple(r) for r in df.select(*[F.col(f"`{c}`") for c in cols]).collect())
-    b = sorted(tuple(r) for r in back.select(*[F.col(f"`{c}`") for c in cols]).collect())
-    assert a == b and len(a) == 113
+    (tmp_path / "in").mkdir()
+    _cohort_files(tmp_path / "in", ORDERS)
+    df = io.read_train(spark, str(tmp_path / "in"), NAMES)
+    io.write_train(df, str(tmp_path / "train"), NAMES)
+    back = io.read_train(spark, str(tmp_path / "train"), NAMES)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, back.select(*[F.col(f"`{c}`") for c in df.columns]).collect()))
 
 
 def test_cohort_table_round_trip_prunes(spark, tmp_path):
     e = v_expr(spark, SF001)
     io.write_table(e, str(tmp_path / "c" / "expression"))
-    back = io.read_cohort(spark, str(tmp_path / "c"))["expression"]
+    back = io.read_cohort(spark, str(tmp_path / "c"), ["expression"])["expression"]
     assert back.count() == e.count()
     one = back.where(F.col("study") == 1)
+    assert one.count() == e.where("study = 1").count()
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan or one.count() == e.where("study = 1").count()
+    assert "PartitionFilters: [isnotnull(study" in plan
+    with pytest.raises(Exception, match="clinical"):
+        io.read_cohort(spark, str(tmp_path / "c"))
 
 
 def test_wide_long_identity(spark):
