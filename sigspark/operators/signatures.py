@@ -36,7 +36,7 @@ def _gate(scores: DataFrame, gate: DataFrame) -> DataFrame:
     """Scores of (study, signature) pairs failing the coverage gate become NULL."""
     return scores.join(gate, ["study", "signature"], "left").select(
         "study", "patientid", "signature",
-        (F.round(F.when(F.col("pass"), F.col("score")), 6) + F.lit(0.0)).alias("score"),  # -0.0 -> 0.0
+        F.when(F.col("pass"), F.col("score")).alias("score"),
     )
 
 
@@ -213,7 +213,7 @@ def sig_composite(scores: DataFrame, parts: DataFrame) -> DataFrame:
     val = F.when(F.col("n_ratio") > 0, F.try_divide(F.col("s_num"), F.col("s_den"))).otherwise(F.col("s_add"))
     return g.select(
         "study", "patientid", F.col("composite").alias("signature"),
-        F.round(F.when(F.col("n_ok") == F.col("n_parts"), val), 6).alias("score"),
+        F.when(F.col("n_ok") == F.col("n_parts"), val).alias("score"),
     )
 
 
@@ -260,24 +260,79 @@ def signature_expand(expr: DataFrame, sigs: DataFrame) -> DataFrame:
     )
 
 
-def score_signatures(expr: DataFrame, sigs: DataFrame, info: DataFrame, **kw) -> DataFrame:
+def sig_ratio(expr: DataFrame, sigs: DataFrame, n_cutoff: int = 15, sig_perc: float | None = 0.8, missing_perc: float = 0.5, floor: float | None = None) -> DataFrame:
+    """Mean value of the genes of positive weight over that of the genes of negative weight; a zero or missing side gives NULL."""
+    ef, gate = _prepare(expr, sigs, n_cutoff, sig_perc, missing_perc, floor)
+    x = ef.join(sigs.select("signature", "gene", "weight"), "gene")
+    side = lambda cond: F.avg(F.when(cond, F.col("value")))
+    score = F.try_divide(side(F.col("weight") > 0), side(F.col("weight") < 0))
+    return _gate(x.groupBy("study", "patientid", "signature").agg(score.alias("score")), gate)
+
+
+def sig_zmean(expr: DataFrame, sigs: DataFrame, **kw) -> DataFrame:
+    """Mean of the z-scores of the genes, whatever their weights."""
+    return sig_weighted_mean(expr, sigs.withColumn("weight", F.lit(1.0)), **kw)
+
+
+def sig_clipped(expr: DataFrame, sigs: DataFrame, top: float = 3.0, **kw) -> DataFrame:
+    """Weighted mean of z-scores on a scale of whole numbers from 0 (0 or less) to 10 (``top`` or more)."""
+    s = sig_weighted_mean(expr, sigs, **kw)
+    on_scale = F.least(F.greatest(F.round(F.col("score") * 10 / top, 0), F.lit(0.0)), F.lit(10.0))
+    return s.withColumn("score", F.when(F.col("score").isNotNull(), on_scale))
+
+
+def sig_halves(expr: DataFrame, sigs: DataFrame, **kw) -> DataFrame:
+    """ssGSEA of the genes of positive weight minus that of the genes of negative weight; a signature of one sign has one half."""
+    halves = split_by_sign(sigs)
+    sign = F.substring("signature", -1, 1)
+    parts = halves.select("signature").distinct().select(
+        F.expr("substring(signature, 1, length(signature) - 1)").alias("signature"), F.col("signature").alias("component"),
+        F.lit("add").alias("op"), F.when(sign == "+", F.lit(1.0)).otherwise(F.lit(-1.0)).alias("coef"),
+    )
+    return sig_composite(sig_ssgsea(expr, halves, **kw), parts)
+
+
+# The method name of signatures with an algorithm of their own, and the algorithm of each.
+SPECIFIC = "Specific Algorithm"
+SPECIAL = {
+    "COX-IS_Bonavita": sig_ratio,
+    "IPRES_Hugo": sig_zmean,
+    "IPS_Charoentong": sig_clipped,
+    "IPSOV_Shen": sig_halves,
+    "PassON_Du": sig_halves,
+    "PredictIO_Bareche": sig_predictio,
+}
+METHODS = {"Weighted Mean": sig_weighted_mean, "ssGSEA": sig_ssgsea, "GSVA": sig_gsva}
+
+
+def score_signatures(expr: DataFrame, sigs: DataFrame, info: DataFrame, special: dict | None = None, **kw) -> DataFrame:
     """Dispatch every signature to its method, stack the results, drop incomplete ones.
 
-    One branch per method over the signatures of that method (a join with the
-    catalogue), ``unionByName`` of the branches, then a signature with any
-    NULL score in a study is removed for that study.
+    One branch per method (or algorithm of a special signature, looked up by
+    name in ``special``, by default SPECIAL) over the signatures of that method
+    (a join with the catalogue), ``unionByName`` of the branches, then a signature
+    with any NULL score in a study is removed for that study.  A signature whose
+    method is not known is an error, found by a look at the (small) catalogue.
     """
     from .cohort import complete_signatures
 
+    special = SPECIAL if special is None else special
     expr = reuse(expr)
     md = reuse(method_dispatch(sigs, info))
-    branch = {
-        "Weighted Mean": lambda s: sig_weighted_mean(expr, s, **kw),
-        "ssGSEA": lambda s: sig_ssgsea(expr, s, **kw),
-        "GSVA": lambda s: sig_gsva(expr, s, **kw),
-    }
+    own = F.col("method").eqNullSafe(SPECIFIC)
+    known = F.coalesce(F.col("method").isin(*METHODS) | (own & F.col("signature").isin(*special)), F.lit(False))
+    odd = md.where(~known).select("signature", "method").distinct().take(5)
+    if odd:
+        raise ValueError("no such method: " + ", ".join(f"{r.signature} ({r.method})" for r in odd))
     out = None
-    for m, fn in branch.items():
-        part = fn(md.where(F.col("method") == m).select("signature", "gene", "weight"))
-        out = part if out is None else out.unionByName(part)
+    branches = [(F.col("method") == m, fn) for m, fn in METHODS.items()]
+    for fn in dict.fromkeys(special.values()):
+        branches.append((own & F.col("signature").isin(*[k for k, f in special.items() if f is fn]), fn))
+    for cond, fn in branches:
+        part = md.where(cond).select("signature", "gene", "weight")
+        if part.take(1):
+            part = fn(expr, part, **kw)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return expr.select("study", "patientid", F.lit("").alias("signature"), F.lit(None).cast("double").alias("score")).limit(0)
     return complete_signatures(out)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signatures as S
 from .q_cohort import _GF, MISSING_PERC, N_CUTOFF, SIG_PERC, VALUE_FLOOR
-from .registry import query
+from .registry import query, rounded
 from .views import v_expr, v_sig, with_views
 
 # The signature catalogue of the stand-in (method per signature)
@@ -31,6 +31,7 @@ CONTRAST_PARTS = [
     ("SMALL_over_STANDARD", "STANDARD", "den", 1.0),
 ]
 KW = dict(n_cutoff=N_CUTOFF, sig_perc=SIG_PERC, missing_perc=MISSING_PERC, floor=VALUE_FLOOR)
+_OUT = "SELECT study, patientid, signature, round(score, 6) + 0.0 AS score FROM {}"
 PARTS_SCHEMA = "signature string, component string, op string, coef double"
 
 
@@ -59,7 +60,7 @@ def sql_gate(sig: str, out: str) -> str:
         JOIN {out}_sg sg USING (gene) GROUP BY g.study, sg.signature) pr
   JOIN {out}_ns ns USING (signature)
   JOIN (SELECT study, count(DISTINCT patientid) AS n_samples FROM gf GROUP BY study) sm USING (study)),
-{out} AS (SELECT r.study, r.patientid, r.signature, round(CASE WHEN g.pass THEN r.score END, 6) + 0.0 AS score
+{out} AS (SELECT r.study, r.patientid, r.signature, CASE WHEN g.pass THEN r.score END AS score
   FROM {out}_raw r LEFT JOIN {out}_g g USING (study, signature))"""
 
 
@@ -136,10 +137,10 @@ def sql_composite(scores: str, parts: str, out: str) -> str:
     return f"""{out}_p AS {parts},
 {out}_np AS (SELECT signature AS composite, count(*) AS n_parts FROM {out}_p GROUP BY signature),
 {out} AS (SELECT x.study, x.patientid, x.composite AS signature,
-    round(CASE WHEN count(x.score) = any_value(np.n_parts) THEN
+    CASE WHEN count(x.score) = any_value(np.n_parts) THEN
       CASE WHEN count_if(x.op IN ('num', 'den')) > 0
            THEN avg(CASE WHEN x.op = 'num' THEN x.score END) / NULLIF(avg(CASE WHEN x.op = 'den' THEN x.score END), 0)
-           ELSE sum(CASE WHEN x.op = 'add' THEN x.coef * x.score END) END END, 6) AS score
+           ELSE sum(CASE WHEN x.op = 'add' THEN x.coef * x.score END) END END AS score
   FROM (SELECT s.study, s.patientid, p.signature AS composite, p.op, p.coef, s.score
         FROM {scores} s JOIN {out}_p p ON s.signature = p.component) x
   JOIN {out}_np np USING (composite)
@@ -167,42 +168,86 @@ def q_signature_expand(spark, sf):
     return S.signature_expand(v_expr(spark, sf), v_sig(spark, sf))
 
 
-@query("sig_weighted_mean", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_wmean("v_sig", "o")))
+@query("sig_weighted_mean", with_views(_OUT.format("o"), "v_expr", "v_sig", extra=_GF + ",\n" + sql_wmean("v_sig", "o")))
 def q_sig_weighted_mean(spark, sf):
-    return S.sig_weighted_mean(v_expr(spark, sf), v_sig(spark, sf), **KW)
+    return rounded(S.sig_weighted_mean(v_expr(spark, sf), v_sig(spark, sf), **KW), 6, "score")
 
 
-@query("sig_ssgsea", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_ssgsea("v_sig", "o")))
+@query("sig_ssgsea", with_views(_OUT.format("o"), "v_expr", "v_sig", extra=_GF + ",\n" + sql_ssgsea("v_sig", "o")))
 def q_sig_ssgsea(spark, sf):
-    return S.sig_ssgsea(v_expr(spark, sf), v_sig(spark, sf), **KW)
+    return rounded(S.sig_ssgsea(v_expr(spark, sf), v_sig(spark, sf), **KW), 6, "score")
 
 
-@query("sig_gsva_ecdf", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_gsva("v_sig", "o")))
+@query("sig_gsva_ecdf", with_views(_OUT.format("o"), "v_expr", "v_sig", extra=_GF + ",\n" + sql_gsva("v_sig", "o")))
 def q_sig_gsva_ecdf(spark, sf):
-    return S.sig_gsva(v_expr(spark, sf), v_sig(spark, sf), kcdf="none", **KW)
+    return rounded(S.sig_gsva(v_expr(spark, sf), v_sig(spark, sf), kcdf="none", **KW), 6, "score")
 
 
-@query("score_signatures", with_views("SELECT * FROM ss", "v_expr", "v_sig", extra=_SS))
+@query("score_signatures", with_views(_OUT.format("ss"), "v_expr", "v_sig", extra=_SS))
 def q_score_signatures(spark, sf):
-    return S.score_signatures(v_expr(spark, sf), v_sig(spark, sf), v_info(spark, sf), **KW)
+    return rounded(S.score_signatures(v_expr(spark, sf), v_sig(spark, sf), v_info(spark, sf), **KW), 6, "score")
+
+
+# ---- special signatures: the stand-in's catalogue gives each algorithm a signature or two ----
+
+SPECIAL = {"ECONOMY": S.sig_ratio, "LARGE": S.sig_zmean, "MEDIUM": S.sig_clipped, "PROMO": S.sig_halves, "SMALL": S.sig_predictio, "STANDARD": S.sig_zmean}
+_HALVES_OF = "{0} AS (SELECT signature || CASE WHEN weight > 0 THEN '+' ELSE '-' END AS signature, gene, 1.0 AS weight FROM v_sig WHERE weight <> 0 AND signature = '{1}')"
+
+
+def _half_parts(halves: str) -> str:
+    return f"""(SELECT left(signature, -1) AS signature, signature AS component, 'add' AS op, CASE right(signature, 1) WHEN '+' THEN 1.0 ELSE -1.0 END AS coef
+  FROM (SELECT DISTINCT signature FROM {halves}))"""
+
+
+_SPECIAL = ",\n".join(
+    [
+        _GF,
+        "s_ra AS (SELECT * FROM v_sig WHERE signature = 'ECONOMY')",
+        """ra_raw AS (SELECT e.study, e.patientid, s.signature,
+    avg(CASE WHEN s.weight > 0 THEN e.value END) / NULLIF(avg(CASE WHEN s.weight < 0 THEN e.value END), 0) AS score
+  FROM gf e JOIN s_ra s USING (gene) GROUP BY e.study, e.patientid, s.signature)""",
+        sql_gate("s_ra", "ra"),
+        "s_zm AS (SELECT signature, gene, 1.0 AS weight FROM v_sig WHERE signature IN ('LARGE', 'STANDARD'))",
+        sql_wmean("s_zm", "zm"),
+        "s_cl AS (SELECT * FROM v_sig WHERE signature = 'MEDIUM')",
+        sql_wmean("s_cl", "cl_"),
+        "cl AS (SELECT study, patientid, signature, CASE WHEN score IS NOT NULL THEN least(greatest(round(score * 10 / 3.0), 0.0), 10.0) END AS score FROM cl_)",
+        _HALVES_OF.format("s_hv", "PROMO"),
+        sql_ssgsea("s_hv", "hv_"),
+        sql_composite("hv_", _half_parts("s_hv"), "hv"),
+        _HALVES_OF.format("s_pi", "SMALL"),
+        sql_gsva("s_pi", "pi_"),
+        sql_composite("pi_", _half_parts("s_pi"), "pio"),
+        """sp_all AS (SELECT * FROM ra UNION ALL SELECT * FROM zm UNION ALL SELECT * FROM cl UNION ALL SELECT * FROM hv UNION ALL SELECT * FROM pio),
+sp_ok AS (SELECT study, signature FROM sp_all GROUP BY study, signature HAVING bool_and(score IS NOT NULL)),
+sp AS (SELECT a.* FROM sp_all a JOIN sp_ok USING (study, signature))""",
+    ]
+)
+
+
+@query("score_signatures_special", with_views(_OUT.format("sp"), "v_expr", "v_sig", extra=_SPECIAL))
+def q_score_signatures_special(spark, sf):
+    sigs = v_sig(spark, sf)
+    info = sigs.select("signature").distinct().withColumn("method", F.lit(S.SPECIFIC))
+    return rounded(S.score_signatures(v_expr(spark, sf), sigs, info, special=SPECIAL, **KW), 6, "score")
 
 
 @query(
     "sig_composite",
-    with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_SS + ",\n" + sql_composite("ss", _values(COMPOSITE_PARTS), "o")),
+    with_views(_OUT.format("o"), "v_expr", "v_sig", extra=_SS + ",\n" + sql_composite("ss", _values(COMPOSITE_PARTS), "o")),
 )
 def q_sig_composite(spark, sf):
     ss = S.score_signatures(v_expr(spark, sf), v_sig(spark, sf), v_info(spark, sf), **KW)
-    return S.sig_composite(ss, _parts(spark, COMPOSITE_PARTS))
+    return rounded(S.sig_composite(ss, _parts(spark, COMPOSITE_PARTS)), 6, "score")
 
 
 @query(
     "sig_contrast",
-    with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_SS + ",\n" + sql_composite("ss", _values(CONTRAST_PARTS), "o")),
+    with_views(_OUT.format("o"), "v_expr", "v_sig", extra=_SS + ",\n" + sql_composite("ss", _values(CONTRAST_PARTS), "o")),
 )
 def q_sig_contrast(spark, sf):
     ss = S.score_signatures(v_expr(spark, sf), v_sig(spark, sf), v_info(spark, sf), **KW)
-    return S.sig_composite(ss, _parts(spark, CONTRAST_PARTS))
+    return rounded(S.sig_composite(ss, _parts(spark, CONTRAST_PARTS)), 6, "score")
 
 
 _HALVES = """halves AS (SELECT signature || CASE WHEN weight > 0 THEN '+' ELSE '-' END AS signature, gene, 1.0 AS weight
@@ -215,14 +260,14 @@ _PIO_PARTS = """(SELECT signature, signature || '+' AS component, 'add' AS op, 1
 @query(
     "sig_predictio",
     with_views(
-        "SELECT * FROM o",
+        _OUT.format("o"),
         "v_expr",
         "v_sig",
         extra=",\n".join([_GF, _HALVES, sql_gsva("halves", "h"), sql_composite("h", _PIO_PARTS, "o")]),
     ),
 )
 def q_sig_predictio(spark, sf):
-    return S.sig_predictio(v_expr(spark, sf), v_sig(spark, sf), **KW)
+    return rounded(S.sig_predictio(v_expr(spark, sf), v_sig(spark, sf), **KW), 6, "score")
 
 
 def sql_phi(z: str) -> str:
@@ -247,6 +292,6 @@ def sql_gsva_kernel(sig: str, out: str) -> str:
 """ + sql_ks(f"{out}_d", sig, out) + ",\n" + sql_gate(sig, out)
 
 
-@query("sig_gsva_kernel", with_views("SELECT * FROM o", "v_expr", "v_sig", extra=_GF + ",\n" + sql_gsva_kernel("v_sig", "o")))
+@query("sig_gsva_kernel", with_views(_OUT.format("o"), "v_expr", "v_sig", extra=_GF + ",\n" + sql_gsva_kernel("v_sig", "o")))
 def q_sig_gsva_kernel(spark, sf):
-    return S.sig_gsva(v_expr(spark, sf), v_sig(spark, sf), kcdf="gaussian", **KW)
+    return rounded(S.sig_gsva(v_expr(spark, sf), v_sig(spark, sf), kcdf="gaussian", **KW), 6, "score")
