@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many ids (8 bytes each) travel to every executor; beyond that both sides are shuffled.
-MAX_BROADCAST_IDS = 1_000_000
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def fresh(columns: list[str], name: str) -> str:
