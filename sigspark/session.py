@@ -46,7 +46,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     visible to other executors, so a missing setting is an error there.
     """
     path = spark.conf.get(_CKPT_KEY, None)
-    master = spark.conf.get("spark.master", "local")
+    master = spark.conf.get("spark.master", "")
     sc = None
     try:  # classic sessions; a Spark Connect client has no SparkContext
         sc = spark.sparkContext
@@ -55,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001
         sc = None
     if not path:
-        if not str(master).startswith("local"):
+        if str(master) != "local" and not str(master).startswith("local["):  # local-cluster and a remote client have executors of their own
             raise RuntimeError(f"set {_CKPT_KEY} to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="sigspark-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
