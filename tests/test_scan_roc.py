@@ -77,11 +77,11 @@ def test_roc_curve_brute_force(spark):
         c = cur[cur.study == s].sort_values("ord")
         u = np.sort(g.score.unique())
         thr = np.concatenate([[-np.inf], (u[1:] + u[:-1]) / 2, [np.inf]])
-        assert np.allclose(c.threshold.to_numpy(), np.round(thr, 6))
+        assert np.allclose(c.threshold.to_numpy(), thr, rtol=0, atol=1e-12)
         cases, ctrls = g.score[g.label == 1].to_numpy(), g.score[g.label == 0].to_numpy()
         se = [(cases >= t).mean() for t in thr]
         sp = [(ctrls < t).mean() for t in thr]
-        assert np.allclose(c.sensitivity, np.round(se, 6)) and np.allclose(c.specificity, np.round(sp, 6))
+        assert np.allclose(c.sensitivity, se, rtol=0, atol=1e-12) and np.allclose(c.specificity, sp, rtol=0, atol=1e-12)
 
 
 def test_best_threshold_averages_ties(spark):
