@@ -2,9 +2,9 @@
 
 A page is read as a run of blocks (text between block-level tags).  Pass one
 decides each block on its own: what stands in a menu, header, footer, sidebar,
-notice, advert, form or reader comment (by element, role, class or id), or
-consists mostly of links, is boilerplate; what stands in the page's article
-or main element is content; elsewhere, length and stop-word density decide,
+notice, advert, form or reader comment (by element, role, class or id) is
+boilerplate; what else stands in the page's article or main element is content;
+elsewhere, what consists mostly of links is boilerplate, length and stop-word density decide,
 and short blocks or middling ones stay open.  Pass two gives every open block
 the label of its nearest decided neighbour: where both sides agree, theirs,
 else the nearer side's (by words between; boilerplate on a tie), and for a heading
@@ -59,7 +59,8 @@ LINKS, SHORT, RICH, POOR = 0.5, 10, 0.25, 0.08
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"  # foreign elements may close themselves
+    rf"|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>]|\Z)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
@@ -169,10 +170,12 @@ def main_text(html: str | None) -> str:
         if not text:
             continue
         words = WORDS.findall(text.lower())
-        if b.bad or b.linked > LINKS * len(text):
+        if b.bad:
             label = False
         elif b.good:
             label = True
+        elif b.linked > LINKS * len(text):
+            label = False
         else:
             density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             label = None if len(words) < SHORT else True if density >= RICH else False if density < POOR else None

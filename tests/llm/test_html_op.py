@@ -53,6 +53,20 @@ def test_open_tag_ends_with_the_page():
     assert main_text("<article><p>One</p><p>a < b and 1<2") == "One\na < b and 1<2"
 
 
+@pytest.mark.parametrize("tag", ["svg-icon", "video-player", "select-box", "template-x", "object-view"])
+def test_custom_elements_are_not_raw(tag):
+    assert main_text(f"<article><p>One</p><{tag} name=x>two</{tag}><p>three</p></article>") == "One\ntwo\nthree"
+
+
+@pytest.mark.parametrize("raw", ["<svg/>", "<svg />", "<svg viewBox='0 0 1 1' class=\"i/>\"/>", "<math/>", "<svg a=b/c><path d='M'/></svg>", "<video src=a/></video>", "<script src=x>'</script >"])
+def test_raw_elements_end_where_they_end(raw):
+    assert main_text(f"<article><p>One {raw} two</p><p>three</p></article>") == "One two\nthree"
+
+
+def test_links_in_the_article_stay():
+    assert main_text("<nav><a href=n>Home</a></nav><article><h1><a href=x>Title</a></h1><p>Text here</p><ul><li><a href=y>Item</a></ul></article>") == "Title\nText here\nItem"
+
+
 def test_rows(spark):
     rows = [(1, "u", ARTICLE), (1, "u", ARTICLE), (2, None, None), (None, "v", ""), (3, "w", "<article><p>" + "é word " * 100_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars", "3 as __html", "4 as __main")
