@@ -9,6 +9,11 @@ the block's words are aligned with the template's, and a template wins where
 the share of its words found in order is at least WORDING.  The differences are
 reported word by word, and the version that stands where the template has one.
 
+A notice may begin before its first licensing word and end after its last one, so
+templates are aligned in the block and the longest template's words (and half
+as many) on both sides; what stands before and after a confirmed template is read
+again, so each license of a block is reported, at its own place.
+
 Every line of every text is looked at where it lies, nothing is shuffled.
 
 Defined results: null and empty texts have no block; a block that no template
@@ -56,6 +61,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
+#: Words of the longest template, and characters in which as many are looked for on either side of a block.
+LONGEST = max(len(t.split()) for t in TEMPLATES.values()) * 3 // 2
+WIDE = 40 * LONGEST
 LICENSING = r"licen[cs]e|licen[cs]ing|copyright|spdx|creative commons|public domain|permission is hereby|permission to use|redistribution and use|\bcc by\b|\bcc0\b|all rights reserved"
 
 FIND = re.compile(LICENSING, re.I)
@@ -107,24 +115,33 @@ def wording(block: list[str], name: str) -> tuple[float, str, str, str]:
 
 def candidate_blocks(text: str) -> Iterator[tuple[int, int, str]]:
     """(first line, number of lines, block) around licensing words."""
-    lines = text.split("\n")
+    for first, lines, lo, hi in _blocks(text):
+        yield first, lines, text[lo:hi]
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(first line, number of lines, first character, last + 1) of candidate blocks."""
     first = last = None
-    for i, line in enumerate(lines):
+    lo = hi = at = 0
+    for i, line in enumerate(text.split("\n")):
+        start, at = at, at + len(line) + 1
         if not FIND.search(line):
             continue
         if len(line) > LONG:
             if first is not None:
-                yield first, last - first + 1, "\n".join(lines[first : last + 1])
+                yield first, last - first + 1, lo, hi
                 first = None
-            for lo, hi in _stretches(line):
-                yield i, 1, line[lo:hi]
+            for a, z in _stretches(line):
+                yield i, 1, start + a, start + z
             continue
         if first is not None and i - last >= GAP:
-            yield first, last - first + 1, "\n".join(lines[first : last + 1])
+            yield first, last - first + 1, lo, hi
             first = None
-        first, last = i if first is None else first, i
+        if first is None:
+            first, lo = i, start
+        last, hi = i, start + len(line)
     if first is not None:
-        yield first, last - first + 1, "\n".join(lines[first : last + 1])
+        yield first, last - first + 1, lo, hi
 
 
 def _stretches(line: str) -> list[tuple[int, int]]:
@@ -148,6 +165,71 @@ def explain(block: str) -> tuple[str, str, float, float, str, str]:
     return name, version, saved, share, lacks, more
 
 
+def _place(words: list[str], name: str) -> tuple[int, int]:
+    """The words around the longest run that they share with a template, with room for half as many more."""
+    want = _wording(name)
+    m = SequenceMatcher(None, want, words, autojunk=False).find_longest_match()
+    room = len(want) // 2
+    return max(0, m.b - m.a - room), min(len(words), m.b - m.a + len(want) + room)
+
+
+def _notices(text: str, spans: list[tuple[int, int]], words: list[str], lo: int, hi: int, a: int, z: int) -> Iterator[tuple[int, int, tuple]]:
+    """(first word, last + 1, explanation) of templates confirmed in words lo to hi that meet the block, words a to z."""
+    if not FIND.search(text[spans[a][0] : spans[z - 1][1]]):
+        return
+    order = ranked(" ".join(words[a:z]))
+    saves = dict((name, saved) for saved, name in order)
+    names = [k for saved, k in order[:RANKED] if saved > 0]
+    names += [k for saved, k in ranked(" ".join(words[lo:hi]))[:RANKED] if saved > 0 and k not in names]
+    won = []
+    for k, name in enumerate(names):
+        x, y = _place(words[lo:hi], name)
+        share, version, lacks, more = wording(words[lo + x : lo + y], name)
+        if share < WORDING:
+            continue
+        same = [b for b in SequenceMatcher(None, _wording(name), words[lo + x : lo + y], autojunk=False).get_matching_blocks() if b.size]
+        first, last = lo + x + same[0].b, lo + x + same[-1].b + same[-1].size
+        if first < z and last > a:
+            won.append((share, saves[name], -k, first, last, (name, version, saves[name], share, lacks, more)))
+    if not won:
+        return
+    *_, first, last, found = max(won)
+    if a < first:
+        yield from _notices(text, spans, words, lo, first, a, first)
+    yield first, last, found
+    if last < z:
+        yield from _notices(text, spans, words, last, hi, last, z)
+
+
+def notices(text: str) -> Iterator[tuple]:
+    """(first line, lines, license, version, saved, wording, lacks, more, notice): every template confirmed around a candidate block, or what explains the block."""
+    done = 0  # what notices of the block before reach to
+    for first, lines, lo, hi in _blocks(text):
+        block = text[lo:hi]
+        base = min(lo, max(0, done, lo - WIDE))
+        left = [m.span() for m in PIECE.finditer(text[base : lo])][-LONGEST:]
+        spans = [(base + x, base + y) for x, y in left]
+        a = len(spans)
+        spans += [(lo + m.start(), lo + m.end()) for m in PIECE.finditer(block)]
+        z = len(spans)
+        spans += [(hi + m.start(), hi + m.end()) for m in PIECE.finditer(text[hi : hi + WIDE])][:LONGEST]
+        if hi <= done or a == z:  # a part of a notice reported with the block before
+            continue
+        words = [text[x:y].lower() for x, y in spans]
+        found = list(_notices(text, spans, words, 0, len(words), a, z))
+        if not found:
+            yield first, lines, *explain(block), block
+            continue
+        for x, y, why in found:
+            start, stop = spans[x][0], spans[y - 1][1]
+            done = max(done, stop)
+            if len(found) == 1 and a <= x and y <= z:
+                yield first, lines, *why, block
+            else:
+                line = first + text.count("\n", lo, start) if start >= lo else first - text.count("\n", start, lo)
+                yield line, text.count("\n", start, stop) + 1, *why, text[start:stop]
+
+
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """A row for each candidate block: ``keep``, first_line, n_lines, license, version, saved, wording, lacks, more, notice."""
     rows = docs.where(F.col(text).rlike(f"(?i){LICENSING}")).select(*keep, F.col(text).alias("__text"))
@@ -161,9 +243,9 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str | Column, ...] = (
         for b in batches:
             row, out = [], []
             for r, text in enumerate(b.column(n).to_pylist()):
-                for first, lines, block in candidate_blocks(text):
+                for found in notices(text):
                     row.append(r)
-                    out.append((first, lines, *explain(block), block))
+                    out.append(found)
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             kinds = [pa.int64()] * 2 + [pa.string()] * 2 + [pa.float64()] * 2 + [pa.string()] * 3
             kept = [c.take(pa.array(row, pa.int64())) for c in b.columns[:n]]

@@ -31,6 +31,30 @@ def test_blocks():
     assert list(licenses.candidate_blocks("")) == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("before", ["", "Some words here.\n", "Copyright (C) 2020 A. Writer\n\n", "x " * 5000 + "\n"])
+def test_wrapped_notices(before):
+    for text, name, start in ((MIT, "MIT text", "Permission"), (GPL, "GPL header", "This program")):
+        found = [x for x in licenses.notices(before + text + "\n\nOther text.") if x[2] != "unknown"]
+        assert [(x[2], x[5], x[0]) for x in found] == [(name, 1.0, before.count("\n"))] or before.startswith("C") and [(x[2], x[5]) for x in found] == [(name, 1.0)]
+        assert start in found[0][8]
+
+
+def test_two_licenses_in_one_block():
+    found = [x for x in licenses.notices("Released under the MIT License.\nLicensed under CC BY-NC 4.0.\n" + MIT) if x[2] != "unknown"]
+    assert [x[2] for x in found] == ["MIT", "CC-BY-NC", "MIT text"] and [x[0] for x in found] == [0, 1, 2]
+
+
 def test_rows(spark, odd_documents):
     assert licenses.scan(odd_documents).count() == 0 and licenses.scan(odd_documents.limit(0)).count() == 0
     more = odd_documents.selectExpr("doc_id", "concat(text, '\nReleased under the MIT License.') as text", "1 as license", "2 as __text").where("doc_id in (2, 5, 6)")
