@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilter, decontam, html, langid, licenses, minhash_forest, mixing, substring, tokens, toxicity
+from sigspark.session import cut_lineage
+
+from . import capfilter, codes, decontam, html, langid, licenses, minhash_forest, mixing, substring, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +90,42 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.near_passages(table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "other": "other_doc_id"})
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    book = codes.train(vectors)
+    if book is None:
+        return vectors.limit(0).selectExpr("vec_id", "'' as code", "0L as error", "0L as label_error", "'' as codebooks_sha256")
+    coded = codes.with_group_error(cut_lineage(codes.encode(vectors, book, keep=("vec_id", "label"))))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(book.sha256()).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS, scale: int = codes.SCALE) -> str:
+    """The codes over a table of components; the squared distance and the entry are one number, so its minimum breaks ties by index."""
+    steps = [
+        f"""k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS i, len(embedding) // {parts} AS width FROM embeddings
+  WHERE len(embedding) > 0 AND len([1 FOR v IN embedding IF v IS NULL OR NOT isfinite(v)]) = 0)""",
+        f"""x AS MATERIALIZED (SELECT i, j // width AS p, j % width AS j, CAST(floor(CAST(embedding[j + 1] AS DOUBLE) * {scale}) AS BIGINT) AS q
+  FROM (SELECT i, width, embedding, unnest(range(0, len(embedding))) AS j FROM k))""",
+        f"c0 AS MATERIALIZED (SELECT i AS e, p, j, q FROM x WHERE i < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT i, p, min(d * {entries} + e) AS m FROM (SELECT x.i, p, c.e, sum((x.q - c.q) * (x.q - c.q))::BIGINT AS d
+  FROM x JOIN c{r} c USING (p, j) GROUP BY x.i, p, c.e) GROUP BY i, p)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c.e, p, j, CASE WHEN n IS NULL THEN c.q ELSE (s - (s % n + n) % n) // n END AS q
+  FROM c{r} c LEFT JOIN (SELECT m % {entries} AS e, p, j, sum(q)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (i, p) GROUP BY ALL) t USING (e, p, j))"""
+            )
+    return f"""WITH {", ".join(steps)},
+r AS (SELECT i, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY i)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(q::VARCHAR, ',' ORDER BY p, e, j)) FROM c{rounds}) AS codebooks_sha256
+FROM r JOIN k USING (i)"""
+
+
+ORACLES["op11_vector_codes"] = _codes_sql()
