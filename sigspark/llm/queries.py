@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.session import cut_lineage
+from sigspark.session import cut_lineage, scratch_path
 
-from . import capfilter, codes, decontam, html, langid, licenses, minhash_forest, mixing, substring, tokens, toxicity
+from . import alignment, capfilter, codes, decontam, html, langid, licenses, minhash_forest, mixing, substring, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,17 @@ FROM r JOIN k USING (i)"""
 
 
 ORACLES["op11_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    found = alignment.align(table(spark, sf_dir, "documents"), a, b)
+    path = scratch_path(spark, "alignment")  # written: the counts over all texts come before any row's sums
+    found.select(*[c for c in found.columns if c != "groups"], digest, F.monotonically_increasing_id().alias("row")).write.parquet(path)
+    aligned = spark.read.parquet(path)
+    counted = alignment.with_counts(aligned, alignment.pair_counts(aligned, alignment.vocabulary_size(b)), "row")
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
