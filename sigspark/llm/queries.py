@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigspark.session import cut_lineage, scratch_path
 
-from . import alignment, capfilter, codes, decontam, html, langid, licenses, minhash_forest, mixing, substring, tokens, toxicity
+from . import alignment, capfilter, codes, decontam, html, langid, licenses, minhash_forest, mixing, rules, substring, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = spark.read.parquet(path)
     counted = alignment.with_counts(aligned, alignment.pair_counts(aligned, alignment.vocabulary_size(b)), "row")
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    verdicts = rules.train(docs, table(spark, sf_dir, "labels"), where=~failed)
+    judged = rules.statistics(docs).withColumn("base_failed", failed)
+    kept = ~F.col("base_failed") & (verdicts.column() == 1)
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return judged.select(*base, kept.alias("kept"), verdicts.rule_column().alias("rule"))

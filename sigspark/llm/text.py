@@ -76,7 +76,8 @@ def row_chunks(offs: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 30)
 class Words:
     """Words of rows ``lo..hi``: hash, byte span in the buffer, and per-row word ranges."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lo: int, hi: int, space: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lo: int, hi: int, space: np.ndarray = SPACE, fold: np.ndarray = LOWER):
+        self.fold = fold  # what each byte counts as in a hash
         base, end = int(offs[lo]), int(offs[hi])
         self.base, self.bytes = base, data[base:end]
         self.rows = hi - lo
@@ -117,7 +118,7 @@ class Words:
 
     def _products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self._prod is None:
-            chars = LOWER[self.bytes[self._solid]]
+            chars = self.fold[self.bytes[self._solid]]
             at = np.cumsum(self.lens) - self.lens
             pos = np.arange(len(chars)) - np.repeat(at, self.lens)
             with np.errstate(over="ignore"):
