@@ -84,38 +84,10 @@ def study_parts(study_col) -> Column:
     )
 
 
-# Multipliers of the 32-bit integer mixing hash below.
-_GOLD = (2654435761, 3266489917)  # steps of the first counter, one for each half of the state
-_STEP = (2246822519, 668265263)  # steps of the second counter
-_MIX = 73244475
-_M32 = 0xFFFFFFFF
-
-
-def _mix32(x: Column) -> Column:
-    m = F.lit(_M32)
-    for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(_MIX)).bitwiseAND(m)
-    return F.shiftright(x, 16).bitwiseXOR(x)
-
-
-def int_uniform(base0, base1, a, b) -> Column:
-    """Cheap deterministic U[0,1) draw of 53 bits for many draws of one key.
-
-    ``base0`` and ``base1`` are 32-bit keys (:func:`md5_base`, once per row), ``a`` and
-    ``b`` small non-negative integer counters (replicate, draw).  The state is two
-    halves, x_i = base_i + a GOLD_i + b STEP_i mod 2^32, so two replicates run through
-    the same draws only where both halves are shifted alike; u joins mix(x_0 + x_1)
-    and the upper 21 bits of mix(x_0 xor x_1).  Every product stays below 2^63, so the arithmetic is exact
-    bigint in Spark and in DuckDB, and it runs in generated code.
-    """
-    m = F.lit(_M32)
-    x, y = (
-        (_c(base).cast("bigint") + _c(a).cast("bigint") * F.lit(g) + _c(b).cast("bigint") * F.lit(s)).bitwiseAND(m)
-        for base, g, s in zip((base0, base1), _GOLD, _STEP, strict=True)
-    )
-    x = _mix32(x)
-    high, low = _mix32((x + y).bitwiseAND(m)), _mix32(x.bitwiseXOR(y))
-    return (high * F.lit(1 << 21) + F.shiftright(low, 11)).cast("double") / F.lit(float(1 << 53))
+# Multipliers of the 32-bit integer mixing hash of the bootstrap's draws.
+GOLD = (2654435761, 3266489917)  # steps of the replicate, one for each half of the state
+STEP = (2246822519, 668265263)  # steps of the draw
+MIX = 73244475
 
 
 def md5_base(*cols, part: int = 0) -> Column:

@@ -61,72 +61,6 @@ def index_within(df: DataFrame, keys: Sequence[str], order, buckets: int | None
     return s.withColumn("idx", F.col("_one_cum") - 1).drop("_one", "_one_cum")
 
 
-def auc_bootstrap(
-    pred: DataFrame, keys: Sequence[str] = ("study", "model"), reps: int = 200, seed: int = 42,
-    id_col: str = "rid", buckets: int | None = None,
-) -> DataFrame:
-    """Stratified bootstrap of the AUC: 2.5 / 50 / 97.5 % percentiles over ``reps`` resamples.
-
-    Each class of each group is resampled with replacement to its own size.
-    Row k of a class draws, for every replicate r, the index floor(u * n) with
-    u = int_uniform(md5 key of (group, class, seed), r, k).  The draws are made
-    where the rows are (``explode`` of the replicate counter on each row, so no
-    group is generated from one task), joined straight to the row they picked
-    and counted per (group, r, score); the weighted AUC per (group, r) uses the
-    same scan as :func:`sigspark.operators.roc.auc`.
-
-    The R x n draw rows are the inherent volume of a bootstrap; they are keyed
-    by a dense integer group id (a table of one row per group), because
-    hashing and moving string keys dominated that shuffle.
-    Output: keys, n_reps, auc_lo, auc_med, auc_hi.
-    """
-    from pyspark.sql import Window
-
-    from ..functions import int_uniform, md5_base, md5_uniform
-    from ..session import reuse
-    from .scan import null_safe_join, ordered_scan
-
-    keys = list(keys)
-    p = pred.where(F.col("label").isNotNull() & F.col("score").isNotNull()).select(
-        *keys, id_col, "label", F.col("score").cast("double").alias("score")
-    )
-    # one row per group: numbering it in a single window is bounded by the number of groups
-    groups = reuse(p.select(*keys).distinct().withColumn("gk", F.row_number().over(Window.orderBy(*keys))))
-    p = reuse(null_safe_join(p, groups, keys).select("gk", *keys, id_col, "label", "score"))
-    # (id, score) orders the rows, ids of text by a draw first; rows equal on all are interchangeable for resampling
-    order = [id_col, "score"]
-    if dict(p.dtypes)[id_col] == "string":
-        p, order = p.withColumn("_u", md5_uniform(F.col(id_col))), ["_u", *order]
-    ix = index_within(p, ["gk", "label"], order, buckets)
-    n = p.groupBy("gk", "label").agg(F.count(F.lit(1)).alias("n"))
-    ix = reuse(
-        ix.join(n, ["gk", "label"]).select(
-            "gk", "label", "idx", "n", "score", *[md5_base(*[F.col(k) for k in keys], F.col("label"), F.lit(seed), part=i).alias(f"base{i}") for i in (0, 1)]
-        )
-    )
-    draws = ix.select("gk", "label", "n", "base0", "base1", "idx", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    picked = draws.select("gk", "label", "rep", F.floor(int_uniform(F.col("base0"), F.col("base1"), F.col("rep"), F.col("idx")) * F.col("n")).alias("idx"))
-    wt = picked.join(ix.select("gk", "label", "idx", "score"), ["gk", "label", "idx"])
-    c = wt.groupBy("gk", "rep", "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"),
-        F.count_if(F.col("label") == 0).alias("neg"),
-    )
-    s = ordered_scan(c, ["gk", "rep"], ["score"], sums=["neg"], buckets=buckets)
-    a = s.groupBy("gk", "rep").agg(
-        F.try_divide(
-            F.sum(F.col("pos") * ((F.col("neg_cum") - F.col("neg")) + F.col("neg") * 0.5)),
-            F.sum("pos").cast("double") * F.sum("neg"),
-        ).alias("auc")
-    )
-    out = a.groupBy("gk").agg(
-        F.count("auc").alias("n_reps"),
-        F.percentile("auc", F.lit(0.025)).alias("auc_lo"),
-        F.percentile("auc", F.lit(0.5)).alias("auc_med"),
-        F.percentile("auc", F.lit(0.975)).alias("auc_hi"),
-    )
-    return out.join(groups, "gk").select(*keys, "n_reps", "auc_lo", "auc_med", "auc_hi")
-
-
 def compare_models(aucs: DataFrame, ci: DataFrame, spread: DataFrame, keys: Sequence[str] = ("study",)) -> DataFrame:
     """One row per (study, family): AUC, CI and the label text ``"<name> AUC: x.xx [lo-hi]"``.
 

@@ -147,7 +147,7 @@ def md5_base_sql(*parts: str, part: int = 0) -> str:
 
 
 def uniform_sql(rows: str, a: str, b: str) -> str:
-    """``rows`` with u, the DuckDB text of :func:`sigspark.functions.int_uniform` of b0, b1, a, b (same integer operations)."""
+    """``rows`` with u, the DuckDB text of :func:`sigspark.operators.bootstrap.uniforms` for bases b0, b1, replicate a and draw b (same integer operations)."""
     m = "4294967295"
 
     def mixed(inner: str, col: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import compare, roc
+from ..operators import bootstrap, compare, roc
 from .q_roc import _AUC, _INTERP
 from .registry import query, rounded
 from .views import v_pred, with_views
@@ -49,25 +49,35 @@ from .q_boost import MAX_BINS, TEST_GRID  # noqa: E402
 from .q_roc import _AUC  # noqa: E402,F811
 from .views import v_wide  # noqa: E402
 
-BOOT_REPS = 50  # replicates in the checked query (the reference draws 1000)
+BOOT_REPS = 1000  # replicates, as many as the reference draws
 BOOT_SEED = 42
 CV_K = 5
 CV_SEED = 135
 
 
-def _boot_sql(src: str, reps: int = BOOT_REPS, seed: int = BOOT_SEED) -> str:
-    key = ("i.study", "i.model", "i.label", str(seed))
-    return f"""ix AS (SELECT i.*, {BS.md5_base_sql(*key)} AS b0, {BS.md5_base_sql(*key, part=1)} AS b1
-  FROM (SELECT study, model, rid, label, CAST(score AS DOUBLE) AS score,
-    row_number() OVER (PARTITION BY study, model, label ORDER BY rid, score) - 1 AS idx,
-    count(*) OVER (PARTITION BY study, model, label) AS n
-  FROM {src} WHERE label IS NOT NULL AND score IS NOT NULL) i),
-dr AS (SELECT study, model, label, rep, tgt, count(*) AS w FROM (
-    SELECT study, model, label, rep, CAST(floor(u * n) AS BIGINT) AS tgt
-    FROM ({BS.uniform_sql("SELECT i.study, i.model, i.label, r.rep, i.n, i.b0, i.b1, i.idx FROM ix i CROSS JOIN range(1, " + str(reps + 1) + ") r(rep)", "rep", "idx")})) GROUP BY ALL),
-bc AS (SELECT i.study, i.model, d.rep, i.score, sum(CASE WHEN i.label = 1 THEN d.w ELSE 0 END) AS pos,
-          sum(CASE WHEN i.label = 0 THEN d.w ELSE 0 END) AS neg
-  FROM ix i JOIN dr d ON d.study = i.study AND d.model = i.model AND d.label = i.label AND d.tgt = i.idx GROUP BY ALL),
+def _boot_sql(src: str, reps: int = BOOT_REPS, seed: int = BOOT_SEED, cell: int = bootstrap.CELL) -> str:
+    """The same draws, one row each: a class's draws over the group's cells (where it has more than one), then each cell's over its rows."""
+
+    def base(level: int, span: str) -> str:
+        key = ("study", "model", "label", str(seed), str(level), span)
+        return f"{BS.md5_base_sql(*key)} AS b0, {BS.md5_base_sql(*key, part=1)} AS b1"
+
+    k = "study, model, label"
+    return f"""bi AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY score) - 1 AS ci, count(*) OVER (PARTITION BY {k}) AS n,
+    max(cell) OVER (PARTITION BY study, model) AS top FROM (SELECT study, model, label, CAST(score AS DOUBLE) AS score,
+      (rank() OVER (PARTITION BY study, model ORDER BY CAST(score AS DOUBLE)) - 1) // {cell} AS cell
+    FROM {src} WHERE label IN (0, 1) AND score IS NOT NULL)),
+ix AS (SELECT *, row_number() OVER (PARTITION BY {k}, cell ORDER BY score) - 1 AS idx, count(*) OVER (PARTITION BY {k}, cell) AS m FROM bi),
+rp AS (SELECT rep FROM range(1, {reps + 1}) r(rep)),
+d1 AS (SELECT {k}, rep, CAST(floor(u * n) AS BIGINT) AS ci FROM ({BS.uniform_sql(f"SELECT {k}, n, ci AS j, rep, {base(1, '0')} FROM bi CROSS JOIN rp WHERE top > 0", "rep", "j")})),
+n1 AS (SELECT d1.study, d1.model, d1.label, bi.cell, rep, count(*) AS cnt FROM d1 JOIN bi USING (study, model, label, ci) GROUP BY ALL
+  UNION ALL SELECT DISTINCT {k}, cell, rep, n FROM bi CROSS JOIN rp WHERE top = 0),
+cl AS (SELECT {k}, cell, m, {base(0, "cell")} FROM (SELECT DISTINCT {k}, cell, m FROM ix)),
+d0 AS (SELECT {k}, cell, rep, idx, count(*) AS w FROM (SELECT {k}, cell, rep, CAST(floor(u * m) AS BIGINT) AS idx
+  FROM ({BS.uniform_sql(f"SELECT {k}, cell, m, rep, b0, b1, unnest(range(cnt)) AS j FROM n1 JOIN cl USING ({k}, cell)", "rep", "j")})) GROUP BY ALL),
+bc AS (SELECT i.study, i.model, d.rep, i.score, sum(CASE WHEN i.label = 1 THEN d.w ELSE 0 END)::BIGINT AS pos,
+          sum(CASE WHEN i.label = 0 THEN d.w ELSE 0 END)::BIGINT AS neg
+  FROM ix i JOIN d0 d ON d.study = i.study AND d.model = i.model AND d.label = i.label AND d.cell = i.cell AND d.idx = i.idx GROUP BY ALL),
 ba AS (SELECT study, model, rep, sum(pos * ((neg_cum - neg) + CAST(neg AS DOUBLE) * 0.5))
           / NULLIF(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
   FROM (SELECT bc.*, sum(neg) OVER (PARTITION BY study, model, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM bc)
@@ -83,7 +93,7 @@ boot AS (SELECT study, model, count(auc) AS n_reps, quantile_cont(auc, 0.025) AS
     ),
 )
 def q_auc_bootstrap(spark, sf):
-    return rounded(compare.auc_bootstrap(v_pred(spark, sf), reps=BOOT_REPS, seed=BOOT_SEED), 6, "auc_lo", "auc_med", "auc_hi")
+    return rounded(bootstrap.auc_bootstrap(v_pred(spark, sf), reps=BOOT_REPS, seed=BOOT_SEED), 6, "auc_lo", "auc_med", "auc_hi")
 
 
 @query(
@@ -103,7 +113,7 @@ def q_compare_models(spark, sf):
     p = v_pred(spark, sf)
     a = roc.auc(p)
     table = compare.compare_models(
-        a.select("study", "model", "auc"), compare.auc_bootstrap(p, reps=BOOT_REPS, seed=BOOT_SEED), compare.auc_spread(a)
+        a.select("study", "model", "auc"), bootstrap.auc_bootstrap(p, reps=BOOT_REPS, seed=BOOT_SEED), compare.auc_spread(a)
     )
     return rounded(table, 6, "auc", "ci_lo", "ci_hi")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import cohort, compare, roc
+from sigspark.operators import bootstrap, cohort, compare, roc
 
 
 def test_logit_irls_matches_newton(spark):
@@ -39,8 +39,8 @@ def test_bootstrap_ci_deterministic_and_ordered(spark):
     lab = rng.integers(0, 2, 400)
     rows = [("s", "m", i, int(l), float(rng.normal(l, 1))) for i, l in enumerate(lab)]
     p = spark.createDataFrame(rows, "study string, model string, rid long, label int, score double")
-    a = compare.auc_bootstrap(p, reps=60, seed=7).collect()[0]
-    b = compare.auc_bootstrap(p, reps=60, seed=7).collect()[0]
+    a = bootstrap.auc_bootstrap(p, reps=60, seed=7).collect()[0]
+    b = bootstrap.auc_bootstrap(p, reps=60, seed=7).collect()[0]
     auc = roc.auc(p).collect()[0].auc
     assert a == b and a.n_reps == 60
     assert a.auc_lo <= a.auc_med <= a.auc_hi and a.auc_lo < auc < a.auc_hi

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigspark.operators import boost as B
+from sigspark.operators import bootstrap
 from sigspark.operators import compare as C
 from sigspark.operators import roc
 from sigspark.operators import trees as TR
@@ -129,6 +130,6 @@ def test_bootstrap_takes_text_ids(spark):
     rng = np.random.default_rng(1)
     rows = [("s", "m", f"Pt{i}", i % 2, float(rng.normal() + i % 2)) for i in range(80)]
     pred = spark.createDataFrame(rows, "study string, model string, rid string, label int, score double")
-    r = C.auc_bootstrap(pred, reps=100).first()
+    r = bootstrap.auc_bootstrap(pred, reps=100).first()
     true = roc.auc(pred).first().auc
     assert r.n_reps == 100 and r.auc_lo < true < r.auc_hi and r.auc_hi - r.auc_lo > 0.05
