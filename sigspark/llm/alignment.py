@@ -43,8 +43,8 @@ from sigspark.session import cut_lineage
 from .lookup import fresh
 from .text import buffers, row_chunks
 
-#: Ends of a merge piece; pairs that a task counts before it hands them on; pairs (20 bytes each) that travel to all tasks.
-PIECE, HELD, FREQUENT = 1 << 14, 1 << 21, 1 << 20
+#: Bytes of text encoded at once; ends of a merge piece; pairs that a task counts before it hands them on; pairs (20 bytes each) that travel to all tasks.
+STEP, PIECE, HELD, FREQUENT = 1 << 18, 1 << 14, 1 << 21, 1 << 20
 
 
 # ---- merging two sorted lists of ends ----
@@ -243,7 +243,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: t
         kind = _packed(pair)
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            for lo, hi in row_chunks(buffers(texts)[1]):
+            for lo, hi in row_chunks(buffers(texts)[1], STEP):
                 x = Aligned(pair, texts.slice(lo, hi - lo).to_pylist())
                 chars, offs = x.groups()
                 named = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(chars))
