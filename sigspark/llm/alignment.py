@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,10 +42,13 @@ from pyspark.sql import functions as F
 from sigspark.session import cut_lineage
 
 from .lookup import fresh
-from .text import buffers, row_chunks
+from .text import buffers, mix, row_chunks
+from .tokens import PRE_TOKEN
 
 #: Bytes of text encoded at once; ends of a merge piece; pairs that a task counts before it hands them on; pairs (20 bytes each) that travel to all tasks.
 STEP, PIECE, HELD, FREQUENT = 1 << 18, 1 << 14, 1 << 21, 1 << 20
+#: Rows whose links are unpacked at once.
+ROWS = 256
 
 
 # ---- merging two sorted lists of ends ----
@@ -118,11 +122,35 @@ class Vocabulary:
         return self.bytes[np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
+#: White space of so many characters in a row is left to the tokenizers library (the other's pattern would run out of stack).
+LONG_SPACE = re.compile(r"\s{4096}")
+
+
+def _as_ranks(spec: dict, bytes_of: list[bytes]) -> tuple[str, dict[bytes, int]] | None:
+    """(pattern, {bytes: id}) of a byte-level BPE whose merges are numbered in their order, so that the lowest id merges first; else None."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type") != "BPE" or not plain or odd:
+        return None
+    vocab = model["vocab"]
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    ranks = {bytes_of[i]: i for i in vocab.values()}
+    singles = [ranks.get(bytes([x]), len(bytes_of)) for x in range(256)]
+    if None in merged or merged != sorted(set(merged)) or (merged and max(singles) >= merged[0]):
+        return None
+    return PRE_TOKEN, {bytes_of[i]: i for i in [*singles, *merged]}
+
+
 class Pair:
-    """Both tokenizers, made in a task from the contents of their files."""
+    """Both tokenizers, made in a task from the contents of their files.
+
+    Where A's merges are numbered in their order, its texts are encoded by ranks (the same ids, some four times as fast).
+    """
 
     def __init__(self, spec: str, model: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -134,7 +162,10 @@ class Pair:
         names = {i: t for t, i in self.tokenizer.get_vocab().items()}
         of = _byte_of_char()
         spelt = [names.get(i, "") for i in range(max(names) + 1)]
-        self.a = Vocabulary([bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in spelt])
+        bytes_of = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in spelt]
+        self.a = Vocabulary(bytes_of)
+        found = _as_ranks(json.loads(spec), bytes_of)
+        self.ranked = tiktoken.Encoding("a", pat_str=found[0], mergeable_ranks=found[1], special_tokens={}) if found else None
         sp = self.pieces
         self.b = Vocabulary(
             [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size())]
@@ -142,9 +173,15 @@ class Pair:
 
     def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """(ids, tokens of each text) of A and of B."""
-        a = [e.ids for e in self.tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        a = [self._ids_a(f" {t}") for t in texts]
         b = self.pieces.encode(texts, num_threads=1, add_bos=False, add_eos=False)
-        return tuple((np.fromiter(chain.from_iterable(x), np.int64), np.array([len(y) for y in x], np.int64)) for x in (a, b))
+        ids_a = np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64)
+        return tuple((x, np.array([len(y) for y in of], np.int64)) for x, of in ((ids_a, a), (np.fromiter(chain.from_iterable(b), np.int64), b)))
+
+    def _ids_a(self, text: str) -> np.ndarray:
+        if self.ranked is None or LONG_SPACE.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.ranked.encode_to_numpy(text, disallowed_special=())
 
 
 def _exact(v: Vocabulary, ids: np.ndarray, n: np.ndarray, want: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -261,41 +298,80 @@ def vocabulary_size(b_path: str) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
 
 
-def _unpack(col: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, pair) of every link of a column of packed links, ``n`` to a row."""
-    raw = np.frombuffer(b"".join(col.to_pylist()), np.uint8)
-    total = int(n.sum())
-    pairs = raw.view(f"<u{len(raw) // total}").astype(np.int64) if total else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(n)), n), pairs
+def _unpack(col: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The pair of every link of a column of packed links, ``n`` to a row."""
+    raw, total = np.frombuffer(b"".join(col.to_pylist()), np.uint8), int(n.sum())
+    return raw.view(f"<u{len(raw) // total}").astype(np.int64) if total else np.zeros(0, np.int64)
+
+
+class Table:
+    """Look-up of pairs: open addressing, four places to a pair."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, best: np.ndarray):
+        self.bits = max(4, int(4 * len(pairs)).bit_length())
+        self.keys, self.at = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        self.n, self.best = np.append(n, 0), np.append(best, False)
+        todo, step = np.arange(len(pairs)), 0
+        while len(todo):
+            place = self._place(pairs[todo], step)
+            free = self.keys[place] < 0
+            self.keys[place[free]] = pairs[todo[free]]  # of several that want a place, the last stays
+            took = free & (self.keys[place] == pairs[todo])
+            self.at[place[took]] = todo[took]
+            todo, step = todo[~took], step + 1
+
+    def _place(self, pairs: np.ndarray, step: int) -> np.ndarray:
+        return ((mix(pairs.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def find(self, pairs: np.ndarray) -> np.ndarray:
+        """Index of each pair; the table's length where it is not there."""
+        out = np.full(len(pairs), len(self.n) - 1)
+        todo, step = np.arange(len(pairs)), 0
+        while len(todo):
+            place = self._place(pairs[todo], step)
+            found = self.keys[place]
+            hit = found == pairs[todo]
+            out[todo[hit]] = self.at[place[hit]]
+            todo, step = todo[~hit & (found >= 0)], step + 1
+        return out
+
+
+def _per_row(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.append(0, np.cumsum(x, dtype=np.int64))
+    return np.diff(total[np.append(0, ends)])
+
+
+def _runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs in order, how often each is there)."""
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    return pairs[first], np.diff(np.append(first, len(pairs)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their number, added up over HELD links at least."""
-    keys, counts, held = [], [], 0
+    """Pairs with their number; a task holds HELD distinct pairs at most, then hands them on."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
-    def out() -> tuple[np.ndarray, np.ndarray]:
-        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
         n = np.zeros(len(pairs), np.int64)
-        np.add.at(n, at, np.concatenate(counts))
+        np.add.at(n, at, np.concatenate([c for _, c in held]))
         return pairs, n
 
     def batch(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
     for b in batches:
-        for lo in range(0, b.num_rows, 1024):
-            part = b.slice(lo, 1024)
-            _, pairs = _unpack(part.column(0), np.asarray(part.column(1)))
-            keys.append(pairs)
-            counts.append(np.ones(len(pairs), np.int64))
-            held += len(pairs)
-            if held > HELD:
-                pairs, n = out()
-                keys, counts, held = ([], [], 0) if 2 * len(pairs) > HELD else ([pairs], [n], len(pairs))
-                if not held:
-                    yield batch(pairs, n)
-    if keys:
-        yield batch(*out())
+        for lo in range(0, b.num_rows, ROWS):
+            part = b.slice(lo, ROWS)
+            held.append(_runs(_unpack(part.column(0), np.asarray(part.column(1)))))
+            if sum(len(p) for p, _ in held) > HELD:
+                held = [merged()]
+                if 2 * len(held[0][0]) > HELD:
+                    yield batch(*held[0])
+                    held = held[:0]
+    if held:
+        yield batch(*merged())
 
 
 def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
@@ -326,22 +402,17 @@ def with_counts(aligned: DataFrame, pairs: DataFrame, row: str, frequent: int |
     schema = out.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, best = table.value
+        known = Table(*table.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 n = np.asarray(part.column(part.schema.get_field_index("n_groups")))
-                at_row, pair = _unpack(part.column(part.num_columns - 1), n)
-                at = np.searchsorted(keys, pair)
-                known = np.zeros(len(pair), bool)
-                inside = at < len(keys)
-                known[inside] = keys[at[inside]] == pair[inside]
-                sums, good = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                np.add.at(sums, at_row[known], counts[at[known]])
-                np.add.at(good, at_row[known], best[at[known]])
-                missed, of = pair[~known].astype("<i8"), np.bincount(at_row[~known], minlength=len(n))
-                left = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.append(0, np.cumsum(of)) * 8).astype(np.int32)), pa.py_buffer(missed)])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(good), pa.array(sums), left], names=schema.names)
+                pair, ends = _unpack(part.column(part.num_columns - 1), n), np.cumsum(n)
+                at = known.find(pair)
+                missed = at == len(known.n) - 1
+                packed = np.append(0, np.cumsum(_per_row(missed, ends)) * 8).astype(np.int32)
+                left = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(packed), pa.py_buffer(pair[missed].astype("<i8"))])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(_per_row(known.best[at], ends)), pa.array(_per_row(known.n[at], ends)), left], names=schema.names)
 
     met = out.mapInArrow(run, schema)
     if pairs.count() <= frequent:

@@ -101,6 +101,40 @@ def test_special_strings_are_plain_text():
     assert alignment.Aligned(PAIR, ["▁ x", "ok"]).n_a.tolist()[0] == 0
 
 
+@pytest.mark.parametrize("text", [" " * 5000 + "x", "a" * 20_000, "\n" * 9000, "1" * 9000, "don't  we'll\u2028 \x1c\x85\u00a0 x", "日本語 テキスト 🙂🏽 ñÑß ǅ"])
+def test_ranks_give_the_library_its_ids(text):
+    assert PAIR.ranked is not None
+    assert PAIR._ids_a(text).tolist() == TOK.encode(text, add_special_tokens=False).ids
+
+
+def test_every_character_by_ranks():
+    cps = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(cps), 8192):
+        texts = [f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)}  {chr(c)}\n" for c in cps[k : k + 8192]]
+        assert all(PAIR._ids_a(t).tolist() == e.ids for t, e in zip(texts, TOK.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+
+
+def test_without_ranks_the_library_encodes():
+    import json
+
+    spec, model = alignment._read(A, B)
+    odd = json.loads(spec)
+    odd["model"]["merges"][300], odd["model"]["merges"][301] = odd["model"]["merges"][301], odd["model"]["merges"][300]
+    other = alignment.Pair(json.dumps(odd), model)
+    assert other.ranked is None and other._ids_a(" hello world").tolist() == TOK.encode(" hello world", add_special_tokens=False).ids
+
+
+def test_table():
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 10**9, 5000))
+    t = alignment.Table(pairs, np.arange(len(pairs)), np.arange(len(pairs)) % 2 == 0)
+    asked = np.concatenate([pairs, rng.integers(0, 10**9, 5000)])
+    want = {int(p): i for i, p in enumerate(pairs)}
+    assert t.find(asked).tolist() == [want.get(int(p), len(pairs)) for p in asked]
+    none = alignment.Table(pairs[:0], pairs[:0], pairs[:0] > 0)
+    assert none.find(pairs[:3]).tolist() == [0, 0, 0] and none.n.tolist() == [0]
+
+
 def query(df, frequent=None):
     found = alignment.align(df, A, B, keep=tuple(df.columns)).selectExpr("*", "monotonically_increasing_id() as row_id").checkpoint()
     return alignment.with_counts(found, alignment.pair_counts(found, alignment.vocabulary_size(B)), "row_id", frequent)
