@@ -29,20 +29,31 @@ margin is 0.  Fits that differ only in ``nrounds`` share one fit (the
 shorter are prefixes of the longer), so a grid of k round counts costs one
 fit of the largest.
 
-The driver only runs the level loop (rounds x depth); the state is cut from
-its lineage after each level with a reliable ``checkpoint`` into the
-cluster's ``spark.checkpoint.dir``.
+The two children of a split share their parent's histogram: only the child with
+fewer in-sample rows is aggregated, its sibling is the parent less it.  Rows that
+have reached a leaf leave the level loop, and so do fits that are at their depth.
+
+The driver only runs the level loop (rounds x depth).  Each level's rows and
+histogram, each round's trees and margins, are written under one folder
+of the shared ``spark.checkpoint.dir`` and read again, so a plan never holds more than
+one round, and a fit that was stopped goes on after its last whole round (``state_path``).
+
+Cohorts that fit in a task are grown there instead, all fits in one job
+(:mod:`sigspark.operators.cohort_fits`): same draws, same ties, same trees.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import md5_uniform, sigmoid
-from ..session import cut_lineage, reuse
+from ..session import cut_lineage, reuse, scratch_path
+from . import cohort_fits
 from .scan import ordered_scan
 
 # The reference's hyper-parameter grid (first factor varies fastest).
@@ -57,6 +68,7 @@ REFERENCE_GRID = {
 LAMBDA = 1.0
 MIN_CHILD_WEIGHT = 1.0
 MIN_GAIN = 1e-6
+SLACK = cohort_fits.SLACK
 
 
 def param_grid(keys: DataFrame, values: dict | None = None) -> DataFrame:
@@ -168,9 +180,11 @@ def _histogram(state: DataFrame, allowed: DataFrame) -> DataFrame:
     features and one extra element (feature -1, bin -1) that carries the node
     totals, so histograms and totals come from a single pass over the state.
     ``allowed`` becomes one array per fit (at most F entries) joined on fit_id.
+    Where the state has a column ``build``, only its rows with it are read.
     """
     arr = allowed.where("keep").groupBy("fit_id").agg(F.collect_list("feature").alias("allowed"))
-    x = state.where(F.col("keep") & F.col("node").isNotNull()).join(arr, "fit_id").select(
+    read = F.col("keep") & F.col("node").isNotNull()
+    x = state.where(read & F.col("build") if "build" in state.columns else read).join(arr, "fit_id").select(
         "fit_id", "node", "g", "h", "allowed",
         F.posexplode(F.concat(F.col("bins"), F.array(F.lit(-1)))).alias("pos", "bin"),
         F.size("bins").alias("nf"),
@@ -179,13 +193,35 @@ def _histogram(state: DataFrame, allowed: DataFrame) -> DataFrame:
     x = x.withColumn("feature", feat).where(
         (F.col("feature") == -1) | (F.col("bin").isNotNull() & F.array_contains("allowed", F.col("feature")))
     )
-    return reuse(
-        x.groupBy("fit_id", "node", "feature", "bin").agg(
-            F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count(F.lit(1)).alias("n")
-        )
+    return x.groupBy("fit_id", "node", "feature", "bin").agg(
+        F.sum("g").alias("sg"), F.sum("h").alias("sh"), F.count(F.lit(1)).alias("n")
     )
 
 
+def level_histogram(state: DataFrame, allowed: DataFrame, parent: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """Histogram of a level: the children marked ``build`` from rows, each sibling as its parent's less that one.
+
+    ``parent`` is the level before: its histogram and its decisions (fit_id, node, split, nl, nt).
+    """
+    built = _histogram(state, allowed)
+    if parent is None:
+        return built
+    hist, dec = parent
+    left, right, small_left = F.col("node") * 2 + 1, F.col("node") * 2 + 2, _small_left()
+    kids = dec.where("split").select("fit_id", "node", F.when(small_left, left).otherwise(right).alias("small"), F.when(small_left, right).otherwise(left).alias("other"))
+    whole = hist.join(kids, ["fit_id", "node"]).select("fit_id", "small", "other", "feature", "bin", "sg", "sh", "n")
+    less = built.select("fit_id", F.col("node").alias("small"), "feature", "bin", *[F.col(c).alias(f"b_{c}") for c in ("sg", "sh", "n")])
+    rest = whole.join(less, ["fit_id", "small", "feature", "bin"], "left").select(
+        "fit_id", F.col("other").alias("node"), "feature", "bin", *[(F.col(c) - F.coalesce(F.col(f"b_{c}"), F.lit(0))).alias(c) for c in ("sg", "sh", "n")]
+    )
+    return built.unionByName(rest.where("n > 0"))
+
+
+def _small_left():
+    """Whether the left child has at most half of a split node's in-sample rows."""
+    return F.col("nl") * 2 <= F.col("nt")
+
+
 def split_histogram(state: DataFrame, allowed: DataFrame) -> DataFrame:
     """(fit, node, feature, bin) -> sum g, sum h, n over in-sample active rows and allowed features."""
     return _histogram(state, allowed).where(F.col("feature") >= 0)
@@ -208,9 +244,10 @@ def best_split(hist: DataFrame, lam: float = LAMBDA, mcw: float = MIN_CHILD_WEIG
 
     After every bin that has a known value on its right, both directions of the rows
     with a missing value are tried: their sums (node total minus known total) go left or right.
-    A split is valid when both children have H >= min_child_weight; the highest gain
+    A split is valid when both children have H >= min_child_weight (up to SLACK: a sum that is just that much must not depend on its order); the highest gain
     (equal to 1e-9) wins, then the lower feature, the lower bin, and the left direction.
-    Output: fit_id, node, gt, ht, gl, hl, feature, bin, default_left, gain (the last six NULL without a valid split).
+    Output: fit_id, node, gt, ht, nt, gl, hl, nl, feature, bin, default_left, gain (all from gl NULL without a valid split);
+    nt and nl are the in-sample rows of the node and of its left child.
     """
     h = hist.repartition("fit_id", "node")
     wn = Window.partitionBy("fit_id", "node")
@@ -220,31 +257,32 @@ def best_split(hist: DataFrame, lam: float = LAMBDA, mcw: float = MIN_CHILD_WEIG
     x = h.select(
         "fit_id", "node", "feature", "bin", total("sg").alias("gt"), total("sh").alias("ht"),
         F.sum("sg").over(run).alias("gk"), F.sum("sh").over(run).alias("hk"), F.sum("n").over(run).alias("nk"),
-        F.sum("sg").over(wf).alias("gs"), F.sum("sh").over(wf).alias("hs"), F.sum("n").over(wf).alias("ns"),
+        F.sum("sg").over(wf).alias("gs"), F.sum("sh").over(wf).alias("hs"), F.sum("n").over(wf).alias("ns"), total("n").alias("nt"),
     )
+    whole = [(F.col(k) + F.col(t) - F.col(s)).alias(o) for k, t, s, o in (("gk", "gt", "gs", "gl"), ("hk", "ht", "hs", "hl"), ("nk", "nt", "ns", "nl"))]
     sides = F.array(
-        F.struct(F.lit(True).alias("default_left"), (F.col("gk") + F.col("gt") - F.col("gs")).alias("gl"), (F.col("hk") + F.col("ht") - F.col("hs")).alias("hl")),
-        F.struct(F.lit(False).alias("default_left"), F.col("gk").alias("gl"), F.col("hk").alias("hl")),
+        F.struct(F.lit(True).alias("default_left"), *whole),
+        F.struct(F.lit(False).alias("default_left"), *[F.col(k).alias(o) for k, o in (("gk", "gl"), ("hk", "hl"), ("nk", "nl"))]),
     )
-    x = x.withColumn("side", F.explode(sides)).select("fit_id", "node", "feature", "bin", "gt", "ht", "nk", "ns", "side.*")
+    x = x.withColumn("side", F.explode(sides)).select("fit_id", "node", "feature", "bin", "gt", "ht", "nt", "nk", "ns", "side.*")
     gl, hl, lm = F.col("gl"), F.col("hl"), F.lit(lam)
     gr, hr = F.col("gt") - gl, F.col("ht") - hl
-    valid = (F.col("feature") >= 0) & (F.col("nk") < F.col("ns")) & (hl >= mcw) & (hr >= mcw)
+    valid = (F.col("feature") >= 0) & (F.col("nk") < F.col("ns")) & (hl >= mcw - SLACK) & (hr >= mcw - SLACK)
     gain = gl * gl / (hl + lm) + gr * gr / (hr + lm) - F.col("gt") * F.col("gt") / (F.col("ht") + lm)
     x = x.withColumn("gain", F.when(valid, F.round(gain, 9)))
     r = F.row_number().over(wn.orderBy(F.col("gain").desc_nulls_last(), "feature", "bin", F.col("default_left").desc()))
     top = x.withColumn("_r", r).where("_r = 1")
     has = F.col("gain").isNotNull()
-    return top.select("fit_id", "node", "gt", "ht", *[F.when(has, F.col(c)).alias(c) for c in ("gl", "hl", "feature", "bin", "default_left")], "gain")
+    return top.select("fit_id", "node", "gt", "ht", "nt", *[F.when(has, F.col(c)).alias(c) for c in ("gl", "hl", "nl", "feature", "bin", "default_left")], "gain")
 
 
 def _leaf(lam: float):
     return -F.col("eta") * F.col("gt") / (F.col("ht") + F.lit(lam))
 
 
-def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int, lam: float, mcw: float):
-    """One level for all fits: returns (new state, tree rows of this level)."""
-    cand = best_split(_histogram(state, allowed), lam, mcw).join(
+def grow_level(state: DataFrame, fits: DataFrame, hist: DataFrame, depth: int, lam: float, mcw: float):
+    """One level for all fits from its histogram: returns (new state, tree rows of this level, decisions (persisted))."""
+    cand = best_split(hist, lam, mcw).join(
         fits.select("fit_id", "eta", "max_depth", "gamma"), "fit_id"
     )
     do_split = F.col("gain").isNotNull() & (F.col("gain") > F.col("gamma")) & (F.col("gain") > MIN_GAIN) & (
@@ -257,6 +295,7 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
         F.when(F.col("split"), F.col("feature")).alias("feature"),
         F.when(F.col("split"), F.col("bin")).alias("sbin"),
         F.when(F.col("split"), F.col("default_left")).alias("missing_left"),
+        F.when(F.col("split"), _small_left()).alias("small_left"),
         F.when(~F.col("split"), _leaf(lam)).alias("leaf_value"),
     )
     nodes = dec.select(
@@ -275,11 +314,12 @@ def grow_level(state: DataFrame, fits: DataFrame, allowed: DataFrame, depth: int
     go_left = F.when(b.isNull(), F.col("missing_left")).otherwise(b <= F.col("sbin"))
     new_node = F.when(F.col("sbin").isNotNull(), F.when(go_left, F.col("node") * 2 + 1).otherwise(F.col("node") * 2 + 2))
     st = st.select(
-        *[c for c in state.columns if c not in ("node", "leaf")],
+        *[c for c in state.columns if c not in ("node", "leaf", "build")],
         F.when(F.col("node").isNotNull(), new_node).alias("node"),
         F.coalesce(F.col("leaf_value"), F.col("leaf")).alias("leaf"),
+        (go_left == F.col("small_left")).alias("build"),
     )
-    return st, nodes
+    return st, nodes, dec
 
 
 def close_tree(state: DataFrame, fits: DataFrame, depth: int, lam: float):
@@ -294,77 +334,158 @@ def close_tree(state: DataFrame, fits: DataFrame, depth: int, lam: float):
     st = state.join(leaves.select("fit_id", "node", "leaf_value"), ["fit_id", "node"], "left").select(
         *[c for c in state.columns if c != "leaf"], F.coalesce(F.col("leaf_value"), F.col("leaf")).alias("leaf")
     )
-    return st, nodes
+    return st, nodes, leaves
+
 
+TREE_COLUMNS = ("tree", "node", "depth", "feature", "threshold", "default_left", "left", "right", "leaf_value", "gain", "cover")
 
-def fit_boosted(
-    rows: DataFrame,
-    grid_values: dict,
-    max_bins: int | None = None,
-    lam: float = LAMBDA,
-    mcw: float = MIN_CHILD_WEIGHT,
-    use_gamma: bool = True,
-    checkpoint_every: int = 1,
+
+def fit_boosted(rows: DataFrame, grid_values: dict, max_bins: int | None = None, lam: float = LAMBDA, mcw: float = MIN_CHILD_WEIGHT, use_gamma: bool = True, **how):
+    """Train every (study, grid row) fit; see :func:`train_fits` for the rows, the results and ``how``.
+
+    Fits that differ only in ``nrounds`` are one fit; ``use_gamma=False`` leaves the grid's gamma out.
+    """
+    fits = fits_of(rows.where("study is not null"), grid_values)
+    if not use_gamma:
+        fits = fits.withColumn("gamma", F.lit(0.0))
+    return train_fits(rows, fits, max_bins, lam, mcw, **how)
+
+
+def train_fits(
+    rows: DataFrame, fits: DataFrame, max_bins: int | None = None, lam: float = LAMBDA, mcw: float = MIN_CHILD_WEIGHT, method: str = "auto", state_path: str | None = None,
 ):
-    """Train every (study, grid row) fit.
+    """Train ``fits(study, fit_id, fit_no, eta, max_depth, gamma, colsample_bytree, subsample, rounds)`` on the rows of their study.
 
-    ``rows(study, row_id, features array<double>, y int)``.  Returns
+    ``rows(study, row_id, features array<double>, y int)``; rows without a study are in no fit.  Returns
     ``(trees, preds, fits)``: the tree table (one row per node, keyed by
     fit_id and round), the training margins at every requested round count
     (``preds(fit_id, study, nrounds, row_id, y, margin)``), and the fits.
+
+    ``method``: "cohort" grows each fit inside a task, "keyed" grows all fits level by level
+    as DataFrame jobs; "auto" measures the largest cohort and takes the first
+    where it has ``cohort_fits.CELLS`` cells at most.  A keyed training keeps its state under ``state_path`` (a folder that all executors
+    see; a new one under ``spark.checkpoint.dir`` by default) and, called again with it, goes on after the last whole round.
     """
-    n_features = rows.select(F.max(F.size("features"))).first()[0]
-    fits = fits_of(rows, grid_values)
-    if not use_gamma:
-        fits = fits.withColumn("gamma", F.lit(0.0))
-    values = reuse(value_bins(rows, max_bins))
-    bins = feature_bins(rows, max_bins, values)
-    br = bin_rows(rows, values)
-    state = br.join(fits.select("study", "fit_id", "subsample"), "study").select(
-        "fit_id", "study", "row_id", F.col("y").cast("double").alias("y"), "bins", "subsample",
-        F.lit(0.0).alias("margin"),
-    )
-    state = cut_lineage(state)
-    max_depth = max(int(d) for d in grid_values["max_depth"])
-    n_rounds = max(int(r) for r in grid_values["nrounds"])
-    wanted = sorted(int(r) for r in grid_values["nrounds"])
-    tree_parts, pred_parts = [], []
-    for rnd in range(1, n_rounds + 1):
-        allowed = col_sample(fits, n_features, rnd)
-        st = grad_hess(state).withColumn("keep", row_keep(rnd)).withColumn("node", F.lit(0).cast("bigint"))
-        st = st.withColumn("leaf", F.lit(None).cast("double"))
-        for d in range(max_depth):
-            st, nodes = grow_level(st, fits, allowed, d, lam, mcw)
-            st = cut_lineage(st) if (d + 1) % checkpoint_every == 0 else st
-            tree_parts.append(nodes.withColumn("tree", F.lit(rnd - 1)))
-        st, nodes = close_tree(st, fits, max_depth, lam)
-        tree_parts.append(nodes.withColumn("tree", F.lit(rnd - 1)))
-        state = cut_lineage(
-            st.select(
-                "fit_id", "study", "row_id", "y", "bins", "subsample",
-                (F.col("margin") + F.coalesce(F.col("leaf"), F.lit(0.0))).alias("margin"),
-            )
+    if method not in ("auto", "cohort", "keyed"):
+        raise ValueError(f"unknown method {method!r}")
+    spark = rows.sparkSession
+    rows = rows.where("study is not null")
+    per = rows.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("f"))
+    largest, n_features = (int(v or 0) for v in per.agg(F.max("n"), F.max("f")).first())
+    if method == "auto":
+        method = "cohort" if state_path is None and largest * max(1, n_features) <= cohort_fits.CELLS else "keyed"
+    if method == "keyed":
+        return _fit_keyed(rows, fits, n_features, max_bins, lam, mcw, state_path)
+    fits = cut_lineage(fits)
+    each = -(-fits.count() // (2 * spark.sparkContext.defaultParallelism))
+    path = scratch_path(spark, "cohort-fits")
+    found = cohort_fits.fit_cohorts(rows, fits, max(1, min(cohort_fits.CHUNK_FITS, each)), n_features, max_bins, lam, mcw, MIN_GAIN)
+    found.write.partitionBy("kind").parquet(path)
+    out = spark.read.schema(found.schema).parquet(path)
+    trees = out.where("kind = 0").select(F.col("fit_id").alias("model"), *TREE_COLUMNS)
+    return trees, out.where("kind = 1").select("fit_id", "study", "nrounds", "row_id", "y", "margin"), fits
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _last_round(spark: SparkSession, path: str) -> int:
+    """The last whole round of the state under ``path``; -1 where nothing is there."""
+    try:
+        return spark.read.parquet(f"{path}/done").agg(F.max("round")).first()[0]
+    except AnalysisException:
+        return -1
+
+
+def _mark(spark: SparkSession, path: str, rnd: int) -> None:
+    spark.range(1).select(F.lit(rnd).alias("round")).coalesce(1).write.mode("overwrite").parquet(f"{path}/done/at={rnd}")
+
+
+def _fit_keyed(rows, fits, n_features, max_bins, lam, mcw, state_path):
+    spark = rows.sparkSession
+    path = state_path or scratch_path(spark, "fit")
+    done = _last_round(spark, path)
+    if done < 0:
+        _written(fits, f"{path}/fits")
+    else:  # the same fits, or the state is of no use
+        other = fits.exceptAll(spark.read.parquet(f"{path}/fits")).count() or fits.count() != spark.read.parquet(f"{path}/fits").count()
+        if other or spark.read.parquet(f"{path}/spec").first()[0] != _spec(n_features, max_bins, lam, mcw):
+            raise ValueError(f"{path} holds the state of another fit")
+    fits = spark.read.parquet(f"{path}/fits")
+    if done < 0:
+        values = reuse(value_bins(rows, max_bins))
+        feature_bins(rows, max_bins, values).select("study", "feature", "bin", "cut").write.mode("overwrite").parquet(f"{path}/cuts")
+        state = bin_rows(rows, values).join(fits.select("study", "fit_id", "subsample"), "study").select(
+            "fit_id", "study", "row_id", F.col("y").cast("double").alias("y"), "bins", "subsample", F.lit(0.0).alias("margin"),
         )
-        if rnd in wanted:
-            pred_parts.append(state.select("fit_id", "study", F.lit(rnd).alias("nrounds"), "row_id", "y", "margin"))
-    trees = tree_parts[0]
-    for t in tree_parts[1:]:
-        trees = trees.unionByName(t)
-    # cut thresholds of the chosen bins, for scoring raw feature values
-    cuts = fits.select("fit_id", "study").join(bins.select("study", "feature", "bin", "cut"), "study")
-    trees = trees.join(cuts, ["fit_id", "feature", "bin"], "left").select(
-        F.col("fit_id").alias("model"), "tree", "node", "depth", "feature", F.col("cut").alias("threshold"),
-        "default_left", "left", "right",
-        "leaf_value", "gain", "cover",
+        state.write.mode("overwrite").parquet(f"{path}/state/0")
+        values.unpersist()
+        spark.createDataFrame([(_spec(n_features, max_bins, lam, mcw),)], "spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
+        _mark(spark, path, 0)
+        done = 0
+    deepest, last = fits.agg(F.max("max_depth"), F.max(F.array_max("rounds"))).first()
+    wanted = sorted(r[0] for r in fits.select(F.explode("rounds")).distinct().collect())  # the grid's round counts
+    for rnd in range(done + 1, (last or 0) + 1):
+        _round(spark, path, fits, n_features, rnd, int(deepest), lam, mcw, rnd in wanted)
+        _mark(spark, path, rnd)
+    if not last:
+        empty = "fit_id string, node bigint, depth int, feature int, bin int, default_left boolean, left bigint, right bigint, leaf_value double, gain double, cover double, round int"
+        trees, preds = spark.createDataFrame([], empty), spark.read.parquet(f"{path}/state/0").withColumn("nrounds", F.lit(0))
+    else:
+        trees = spark.read.option("basePath", f"{path}/trees").parquet(*[f"{path}/trees/round={r}" for r in range(1, last + 1)])
+        preds = spark.read.option("basePath", f"{path}/preds").parquet(*[f"{path}/preds/nrounds={r}" for r in wanted])
+    cuts = spark.read.parquet(f"{path}/cuts").withColumnRenamed("cut", "threshold")
+    trees = trees.withColumn("tree", (F.col("round") - 1).cast("int")).join(fits.select("fit_id", "study"), "fit_id").join(cuts, ["study", "feature", "bin"], "left")
+    preds = preds.withColumn("nrounds", F.col("nrounds").cast("int"))
+    return trees.select(F.col("fit_id").alias("model"), *TREE_COLUMNS), preds.select("fit_id", "study", "nrounds", "row_id", "y", "margin"), fits
+
+
+def _spec(*parts) -> str:
+    return json.dumps(parts)
+
+
+def _round(spark: SparkSession, path: str, fits: DataFrame, n_features: int, rnd: int, max_depth: int, lam: float, mcw: float, wanted: bool) -> None:
+    """One tree for every fit, from the state of the round before to the state, the trees and (where wanted) the margins of this one.
+
+    Fits that want fewer rounds are dropped from the state.
+    """
+    fits = fits.where(F.array_max("rounds") >= rnd)
+    allowed = reuse(col_sample(fits, n_features, rnd))
+    state = spark.read.parquet(f"{path}/state/{(rnd - 1) % 2}").join(fits.select("fit_id"), "fit_id", "left_semi")
+    st = grad_hess(state).withColumn("keep", row_keep(rnd))
+    st = st.withColumns({"node": F.lit(0).cast("bigint"), "leaf": F.lit(None).cast("double"), "build": F.lit(True)})
+    held, tree_parts, closed, parent = [allowed], [], [], None
+    for d in range(max_depth):
+        hist = _written(level_histogram(st, allowed, parent), f"{path}/hist/{d}")
+        st, nodes, dec = grow_level(st, fits, hist, d, lam, mcw)
+        st = _written(st, f"{path}/level/{d}")
+        held.append(dec)
+        tree_parts.append(nodes)
+        closed.append(st.where("node is null"))  # their rows take no part in deeper levels
+        st, parent = st.where("node is not null"), (hist, dec)
+        if st.isEmpty():
+            break
+    else:
+        st, nodes, leaves = close_tree(st, fits, max_depth, lam)
+        held.append(leaves)
+        tree_parts.append(nodes)
+        closed.append(st)
+    whole, trees = closed[0], tree_parts[0]  # max_depth + 1 parts at most, whatever the round
+    for x in closed[1:]:
+        whole = whole.unionByName(x)
+    for x in tree_parts[1:]:
+        trees = trees.unionByName(x)
+    trees.write.mode("overwrite").parquet(f"{path}/trees/round={rnd}")
+    state = _written(
+        whole.select("fit_id", "study", "row_id", "y", "bins", "subsample", (F.col("margin") + F.coalesce(F.col("leaf"), F.lit(0.0))).alias("margin")), f"{path}/state/{rnd % 2}"
     )
-    preds = pred_parts[0]
-    for p in pred_parts[1:]:
-        preds = preds.unionByName(p)
-    # The outputs are written to the shared checkpoint folder: downstream plans
-    # (scoring joins the tree table once per level, CV scans the margins) then
-    # start from two small leaves instead of repeating the whole training
-    # lineage, which also keeps their plan descriptions small.
-    return cut_lineage(trees), cut_lineage(preds), fits
+    if wanted:
+        asked = fits.where(F.array_contains("rounds", rnd)).select("fit_id")
+        state.join(asked, "fit_id", "left_semi").select("fit_id", "study", "row_id", "y", "margin").write.mode("overwrite").parquet(f"{path}/preds/nrounds={rnd}")
+    for x in held:
+        x.unpersist()
 
 
 def select_best(aucs: DataFrame, key: str = "study") -> DataFrame:
@@ -373,8 +494,8 @@ def select_best(aucs: DataFrame, key: str = "study") -> DataFrame:
     return aucs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int | None = None, seed: int = 135):
-    """k-fold CV of the grid on pooled rows (the centralised model).
+def out_of_fold(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int | None = None, seed: int = 135, **how) -> DataFrame:
+    """Margin of every pooled row under the models that did not see it, for every grid row.
 
     Folds are stratified by class (:func:`compare.stratified_folds`).  The
     training set of fold f is every row of another fold: each row is
@@ -382,10 +503,10 @@ def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int
     the place of the study in the fit key, so all k x grid fits train
     together.  Held-out rows are scored only by their own fold's models and
     the margin after each requested round count is read off the per-tree
-    leaves.  Returns ``aucs(fold, grid_id, auc)`` and the mean per grid row
-    ``(grid_id, n_folds, mean_auc)``.
+    leaves.  ``row_id`` is to tell the pooled rows apart.
+    Output: fold, grid_id, row_id, label, margin.
     """
-    from . import roc, trees as TR
+    from . import trees as TR
     from .compare import stratified_folds
 
     fo = stratified_folds(rows, k, seed=seed)
@@ -393,7 +514,7 @@ def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int
         F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))).alias("study"),
         "row_id", "features", "y",
     )
-    trees, _, fits = fit_boosted(train, grid_values, max_bins)
+    trees, _, fits = fit_boosted(train, grid_values, max_bins, **how)
     per_fold = fits.groupBy("study").agg(F.collect_list("fit_id").alias("models"))
     held = fo.select(F.col("fold").alias("study"), "row_id", "features", "y").join(per_fold, "study")
     leaves = TR.score_models(trees, held, ids=["study", "row_id", "y"], per_tree=True)
@@ -407,15 +528,63 @@ def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int
     )
     order = [int(n) for n in grid_values["nrounds"]]
     pos = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("x.nrounds"))
-    p = long.join(fits.select(F.col("fit_id").alias("model"), "fit_no"), "model").select(
+    return long.join(fits.select(F.col("fit_id").alias("model"), "fit_no"), "model").select(
         F.col("study").alias("fold"),
         ((F.col("fit_no") - 1) * len(order) + pos).cast("int").alias("grid_id"),
+        "row_id",
         F.col("y").cast("int").alias("label"),
-        F.round("x.margin", 9).alias("score"),
+        F.col("x.margin").alias("margin"),
     )
+
+
+def cv_aucs(oof: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``aucs(fold, grid_id, auc)`` of :func:`out_of_fold` rows (margins equal to 1e-9 tie) and the mean per grid row ``(grid_id, n_folds, mean_auc)``."""
+    from . import roc
+
+    p = oof.select("fold", "grid_id", "label", F.round("margin", 9).alias("score"))
     aucs = roc.auc(p, keys=["fold", "grid_id"]).select("fold", "grid_id", "auc")
-    mean = aucs.groupBy("grid_id").agg(F.count("auc").alias("n_folds"), F.avg("auc").alias("mean_auc"))
-    return aucs, mean
+    return aucs, aucs.groupBy("grid_id").agg(F.count("auc").alias("n_folds"), F.avg("auc").alias("mean_auc"))
+
+
+def cross_validate(rows: DataFrame, grid_values: dict, k: int = 5, max_bins: int | None = None, seed: int = 135):
+    """k-fold CV of the grid on pooled rows (the centralised model): :func:`cv_aucs` of :func:`out_of_fold`."""
+    return cv_aucs(out_of_fold(rows, grid_values, k, max_bins, seed))
+
+
+def chosen_fits(best: DataFrame, grid_values: dict, use_gamma: bool = True) -> DataFrame:
+    """The fits that ``best(study, grid_id)`` names: one per study, with the parameters and rounds of its grid row.
+
+    They are fits of their own (``<study>:final``): their sampling draws are not those of the search.  The
+    chosen rows meet the grid inside the plan; the driver does not see them.
+    """
+    one = best.sparkSession.range(1).select(F.lit(0).alias("_one"))
+    grid = param_grid(one, grid_values).drop("_one")
+    names = [k for k in grid_values if k != "nrounds"]
+    f = best.select("study", "grid_id").join(F.broadcast(grid), "grid_id")  # as many rows as the grid has
+    if not use_gamma:
+        f = f.withColumn("gamma", F.lit(0.0))
+    return f.select(
+        "study", F.concat_ws(":", F.col("study").cast("string"), F.lit("final")).alias("fit_id"), F.lit(1).alias("fit_no"), *names, F.array("nrounds").alias("rounds"), "grid_id"
+    )
+
+
+def refit(rows: DataFrame, best: DataFrame, grid_values: dict, max_bins: int | None = None, use_gamma: bool = True, **how):
+    """Final fit of every study with its chosen grid row; results as :func:`train_fits`, where ``fits`` also has ``grid_id``."""
+    return train_fits(rows, chosen_fits(best, grid_values, use_gamma), max_bins, **how)
+
+
+POOLED = "pooled"
+
+
+def pooled(rows: DataFrame) -> DataFrame:
+    """All studies' rows as those of one study; ``row_id`` becomes ``<study>:<row_id>``."""
+    return rows.select(F.lit(POOLED).alias("study"), F.concat_ws(":", F.col("study").cast("string"), F.col("row_id").cast("string")).alias("row_id"), "features", "y")
+
+
+def cv_final(rows: DataFrame, mean: DataFrame, grid_values: dict, max_bins: int | None = None, **how):
+    """The centralised model: the grid row with the best mean CV AUC, fitted on all pooled rows (see :func:`train_fits`)."""
+    best = cv_select(mean).select(F.lit(POOLED).alias("study"), "grid_id")
+    return refit(pooled(rows), best, grid_values, max_bins, **how)
 
 
 def cv_select(mean: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ share of the rows.  ``ordered_scan`` splits every group into quantile
 buckets of its leading order column:
 
 1. per group, ``percentile_approx`` gives ``buckets - 1`` cut points
-   (a mergeable sketch: partial aggregation, no group is gathered);
+   (a mergeable sketch: partial aggregation, no group is gathered); the pass
+   that sketches also counts, and where no group needs a second bucket, plain
+   windows do;
 2. each row gets its bucket id = number of cut points strictly below it, so
    ties on the leading order column never straddle buckets;
 3. a bucket-level table (at most ``buckets`` rows per group) carries the
@@ -67,25 +69,30 @@ def ordered_scan(
 
     keys, order = list(keys), list(order)
     o0 = order[0]
-    df = reuse(df)  # read by the count, the cut-point sketch, the bucket totals and the row pass
+    ordkey = [F.col(o) for o in order]
+    v = F.col(o0).cast("double")
+    df = reuse(df)  # read by the cut-point sketch, the bucket totals and the row pass
+    sketch = None
     if buckets is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        # one pass counts the groups and sketches them; its small result also gives the cut points
+        at = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+        sketch = reuse(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(v, F.array(*[F.lit(q) for q in at]), 10000).alias("_sb")))
+        largest = sketch.agg(F.max("_n")).first()[0] or 0
         buckets = min(MAX_BUCKETS, -(-largest // ROWS_PER_BUCKET))
-    if buckets > 1:
+    if buckets <= 1:  # every group is a window of its own
+        return _scan_windows(df, keys, ordkey, order, sums, fwd, bwd)
+    if sketch is None:
         qs = [i / buckets for i in range(1, buckets)]
-        bounds = df.groupBy(*keys).agg(
-            F.percentile_approx(F.col(o0).cast("double"), F.array(*[F.lit(q) for q in qs]), 10000).alias("_sb")
-        )
-        # bucket = number of cut points strictly below the value, unrolled over the
-        # fixed number of cut points so it stays plain generated code (no lambda)
-        v = F.col(o0).cast("double")
-        sk = sum((F.when(F.element_at(F.col("_sb"), i) < v, 1).otherwise(0) for i in range(1, buckets)), F.lit(0))
-        x = null_safe_join(df, bounds, keys).withColumn("_sk", sk).drop("_sb")
+        bounds = df.groupBy(*keys).agg(F.percentile_approx(v, F.array(*[F.lit(q) for q in qs]), 10000).alias("_sb"))
     else:
-        x = df.withColumn("_sk", F.lit(0))
+        cut = [F.element_at("_sb", max(1, round(i * MAX_BUCKETS / buckets))) for i in range(1, buckets)]
+        bounds = sketch.select(*keys, F.array(*cut).alias("_sb"))
+    # bucket = number of cut points strictly below the value, unrolled over the
+    # fixed number of cut points so it stays plain generated code (no lambda)
+    sk = sum((F.when(F.element_at(F.col("_sb"), i) < v, 1).otherwise(0) for i in range(1, buckets)), F.lit(0))
+    x = null_safe_join(df, bounds, keys).withColumn("_sk", sk).drop("_sb")
 
     x = reuse(x)  # read by the bucket totals and by the row pass
-    ordkey = [F.col(o) for o in order]
     aggs = []
     for c in sums:
         aggs.append(F.sum(c).alias(f"_t_{c}"))
@@ -120,3 +127,16 @@ def ordered_scan(
         )
     drop = ["_sk"] + [f"_o_{c}" for c in sums] + [f"_p_{c}" for c in fwd] + [f"_n_{c}" for c in bwd]
     return x.drop(*drop)
+
+
+def _scan_windows(x: DataFrame, keys: list[str], ordkey: list, order: list[str], sums: Sequence[str], fwd: Sequence[str], bwd: Sequence[str]) -> DataFrame:
+    """The scan as plain windows over the groups."""
+    w = Window.partitionBy(*keys).orderBy(*ordkey)
+    back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    for c in sums:
+        x = x.withColumn(f"{c}_cum", F.sum(c).over(w.rowsBetween(_UNB, 0)))
+    for c in fwd:
+        x = x.withColumn(f"{c}_prev", F.last(c, ignorenulls=True).over(w.rowsBetween(_UNB, -1)))
+    for c in bwd:
+        x = x.withColumn(f"{c}_next", F.last(c, ignorenulls=True).over(back.rowsBetween(_UNB, -1)))
+    return x

@@ -17,37 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions import sigmoid
 
-NODE = ["feature", "threshold", "default_left", "left", "right", "leaf_value"]
-
-
-def pack(trees: DataFrame) -> DataFrame:
-    """One row per model: ``trees``, an array of (tree, nodes, levels); children are positions in ``nodes``, the root the first.
-
-    Both arrays are bounded by the model's own size.  Levels are the longest way down
-    (from ``depth``, see :func:`with_depth`).
-    """
-    w = Window.partitionBy("model", "tree").orderBy("node")
-    t = trees.withColumn("at", (F.row_number().over(w) - 1).cast("int"))
-    ix = t.select("model", "tree", F.col("node").alias("child"), "at")
-    for side in ("left", "right"):
-        t = t.join(ix.withColumnsRenamed({"child": side, "at": f"{side}_at"}), ["model", "tree", side], "left")
-    t = t.withColumns({"left": F.col("left_at"), "right": F.col("right_at")})
-    per = t.groupBy("model", "tree").agg(F.sort_array(F.collect_list(F.struct("at", *NODE))).alias("nodes"), F.max("depth").alias("levels"))
-    return per.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("tree", "nodes", "levels"))).alias("trees"))
-
-
-def _leaf_of(tree, features):
-    """Value of the leaf that ``features`` reach in a packed tree."""
-
-    def step(at, _):
-        n = F.get(tree["nodes"], at)
-        x = F.get(features, n["feature"])
-        left = F.when(x.isNull(), n["default_left"]).otherwise(x < n["threshold"])
-        return F.when(n["feature"].isNull(), at).when(left, n["left"]).otherwise(n["right"])
-
-    at = F.when(tree["levels"] > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(tree["levels"], F.lit(1))), F.lit(0), step)).otherwise(F.lit(0))
-    return F.get(tree["nodes"], at)["leaf_value"]
-
 
 def score_models(
     trees: DataFrame,
@@ -58,32 +27,21 @@ def score_models(
 ) -> DataFrame:
     """Margin and probability of every model on every row.
 
-    A row meets its models once, by an equi-join on ``model`` with the packed tree
-    table (Spark broadcasts that side where its measured size allows, else
-    both are partitioned), and walks all trees of the model in place:
+    A row walks all trees of its models in an Arrow batch (:mod:`sigspark.operators.forest`):
     ``x[feature] < threshold`` goes left, a missing value follows ``default_left``.
-    No join per level, and the features are moved at most once.
+    The trees travel to the rows, in parts of bounded size; the rows do not move, unless
+    several parts make a sum of partial margins necessary.
     Output: ids, model, margin, prob.
 
-    The models are those of the tree table (its distinct names, one small row), those given, or,
+    The models are those of the tree table, those given, or,
     when ``rows`` has a ``models`` array column, those that each row lists (e.g.
     the models of its own CV fold).  ``per_tree`` returns one row per
     (ids, model, tree) with the tree's ``leaf``.
     """
-    ids = list(ids)
-    packed = pack(trees if "depth" in trees.columns else with_depth(trees))
-    if "models" in rows.columns:
-        names = F.col("models")
-    elif models is None:
-        names = trees.select(F.sort_array(F.collect_set("model"))).scalar()
-    else:
-        names = F.array(*[F.lit(m) for m in models])
-    pairs = rows.select(*ids, "features", F.explode(names).alias("model")).join(packed, "model")
-    if per_tree:
-        leaves = F.transform("trees", lambda t: F.struct(t["tree"].alias("tree"), _leaf_of(t, F.col("features")).alias("leaf")))
-        return pairs.select(*ids, "model", F.explode(leaves).alias("x")).select(*ids, "model", "x.tree", "x.leaf")
-    margin = F.aggregate("trees", F.lit(0.0), lambda m, t: m + F.coalesce(_leaf_of(t, F.col("features")), F.lit(0.0)))
-    return pairs.select(*ids, "model", margin.alias("margin")).withColumn("prob", sigmoid("margin"))
+    from .forest import score
+
+    found = score(rows, trees, ids, models, per_tree)
+    return found if per_tree else found.withColumn("prob", sigmoid("margin"))
 
 
 def with_depth(trees: DataFrame) -> DataFrame:
@@ -315,8 +273,11 @@ def parse_models(docs: DataFrame, text_col: str = "json", model_col: str = "mode
 
 
 def write_models(docs: DataFrame, path: str) -> None:
-    """One folder per model (``model=<name>``), one document per line."""
-    docs.select("model", "json").write.mode("overwrite").partitionBy("model").text(path)
+    """One folder per model (``model=<name>``), one document per line; models that are not in ``docs`` stay.
+
+    New folders take their place when the whole job has succeeded.
+    """
+    docs.select("model", "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").text(path)
 
 
 def read_models(spark, path: str, wholetext: bool = False) -> DataFrame:

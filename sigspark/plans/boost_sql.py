@@ -7,6 +7,7 @@ Mirrors :mod:`sigspark.operators.boost` step by step in long form
 from __future__ import annotations
 
 import itertools
+import re
 
 N_FEATURES = 8
 
@@ -89,7 +90,7 @@ def round_ctes(r: int, max_depth: int, lam: float = 1.0, mcw: float = 1.0) -> li
   FROM cum_r{r}_l{d} c JOIN tot_r{r}_l{d} t USING (fit_id, node) CROSS JOIN (VALUES (true), (false)) m(default_left) WHERE nk < ns)""",
             f"""best_r{r}_l{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fit_id, node ORDER BY gain DESC, feature, bin, default_left DESC) AS _r
   FROM (SELECT *, round(gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / ((ht - hl) + {lam}) - gt * gt / (ht + {lam}), 9) AS gain
-     FROM side_r{r}_l{d} WHERE hl >= {mcw} AND (ht - hl) >= {mcw})) WHERE _r = 1)""",
+     FROM side_r{r}_l{d} WHERE hl >= {mcw} - 1e-9 AND (ht - hl) >= {mcw} - 1e-9)) WHERE _r = 1)""",
             f"""dec_r{r}_l{d} AS (SELECT t.fit_id, t.node, t.gt, t.ht, b.feature, b.bin, b.default_left, b.gain, f.eta,
     (b.gain IS NOT NULL AND b.gain > f.gamma AND b.gain > 1e-6 AND {d} < f.max_depth) AS split
   FROM tot_r{r}_l{d} t LEFT JOIN best_r{r}_l{d} b USING (fit_id, node) JOIN fits f ON f.fit_id = t.fit_id)""",
@@ -141,6 +142,16 @@ def fit_ctes(grid: dict, max_bins: int | None = None, src: str = "v_wide") -> li
     return ctes
 
 
+def refit_ctes(grid: dict, best: str, src: str, prefix: str = "z_", max_bins: int | None = None) -> list[str]:
+    """CTEs of a fit of ``src`` with the grid rows that ``best(study, grid_id)`` names; all names begin with ``prefix``."""
+    chosen = f"""fits AS (SELECT b.study, CAST(b.study AS VARCHAR) || ':final' AS fit_id, 1 AS fit_no, g.*
+  FROM {best} b JOIN {grid_values(grid, list(grid), "grid_id")} ON g.grid_id = b.grid_id)"""
+    ctes = [chosen if c.startswith("fits AS") else c for c in fit_ctes(grid, max_bins, src)]
+    names = [re.match(r"\w+", c)[0] for c in ctes]
+    renamed = re.compile(r"\b(" + "|".join(names) + r")\b")
+    return [renamed.sub(lambda m: prefix + m[1], c) for c in ctes]
+
+
 def md5_base_sql(*parts: str, part: int = 0) -> str:
     key = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"CAST(('0x' || substr(md5({key}), {1 + 8 * part}, 8)) AS BIGINT)"

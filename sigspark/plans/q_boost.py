@@ -111,7 +111,8 @@ def q_best_split(spark, sf):
 @query("route_rows", _base_sql("SELECT fit_id, row_id, node, round(leaf, 6) AS leaf FROM s_r1_l1"))
 def q_route_rows(spark, sf):
     st, fits = _state1(spark, sf)
-    nxt, _ = B.grow_level(st, fits, B.col_sample(fits, BS.N_FEATURES, 1), 0, B.LAMBDA, B.MIN_CHILD_WEIGHT)
+    hist = B.level_histogram(st, B.col_sample(fits, BS.N_FEATURES, 1), None)
+    nxt, *_ = B.grow_level(st, fits, hist, 0, B.LAMBDA, B.MIN_CHILD_WEIGHT)
     return nxt.select("fit_id", "row_id", "node", _R6("leaf"))
 
 
@@ -141,6 +142,12 @@ def q_fit_boosted(spark, sf):
     return rounded_trees(trees)
 
 
+@query("fit_boosted_keyed", _fit_sql(TEST_GRID, _TREES_SQL_OUT))
+def q_fit_boosted_keyed(spark, sf):
+    trees, _, _ = B.fit_boosted(v_wide(spark, sf), TEST_GRID, MAX_BINS, method="keyed")
+    return rounded_trees(trees)
+
+
 _AUC_OF_PREDS = """pr AS (SELECT p.study, (f.fit_no - 1) * {nr} + list_position({rounds}, p.nrounds) AS grid_id, p.nrounds,
     CAST(p.y AS INTEGER) AS label, round(p.margin, 9) AS score, p.margin
   FROM preds p JOIN fits f USING (fit_id, study)),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import bootstrap, compare, roc
+from ..operators import bootstrap, compare, logistic, roc
+from ..session import reuse
 from .q_roc import _AUC, _INTERP
 from .registry import query, rounded
 from .views import v_pred, with_views
@@ -45,7 +46,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ..operators import boost as B  # noqa: E402
 from . import boost_sql as BS  # noqa: E402
-from .q_boost import MAX_BINS, TEST_GRID  # noqa: E402
+from ..functions import sigmoid  # noqa: E402
+from .q_boost import _TREES_SQL_OUT, MAX_BINS, TEST_GRID, rounded_trees  # noqa: E402
 from .q_roc import _AUC  # noqa: E402,F811
 from .views import v_wide  # noqa: E402
 
@@ -188,6 +190,42 @@ def q_cv_select(spark, sf):
     return rounded(B.cv_select(mean), 6, "mean_auc")
 
 
+_BEST_CV = "cvb AS (SELECT 'pooled' AS study, grid_id FROM (SELECT *, row_number() OVER (ORDER BY round(mean_auc, 12) DESC NULLS LAST, grid_id) AS r FROM cvm) WHERE r = 1)"
+_POOLED = "pw AS (SELECT 'pooled' AS study, CAST(study AS VARCHAR) || ':' || CAST(row_id AS VARCHAR) AS row_id, features, y FROM v_wide)"
+
+
+@query(
+    "cv_out_of_fold",
+    with_views(
+        """SELECT m.row_id, m.study AS fold, CAST(m.y AS INTEGER) AS label, round(1 / (1 + exp(-m.margin)), 6) AS prob
+FROM cm_ m JOIN fits f ON f.fit_id = m.model JOIN cvb ON cvb.grid_id = (f.fit_no - 1) * %d + list_position([%s], m.nrounds)"""
+        % (len(TEST_GRID["nrounds"]), ", ".join(map(str, TEST_GRID["nrounds"]))),
+        "v_wide",
+        extra=_cv_sql() + ",\n" + _BEST_CV,
+    ),
+)
+def q_cv_out_of_fold(spark, sf):
+    """Out-of-fold probability of every pooled row under the chosen grid row."""
+    oof = reuse(B.out_of_fold(v_wide(spark, sf), TEST_GRID, CV_K, MAX_BINS, CV_SEED))
+    best = B.cv_select(B.cv_aucs(oof)[1]).select("grid_id")
+    return rounded(oof.join(best, "grid_id").select("row_id", "fold", "label", sigmoid("margin").alias("prob")), 6, "prob")
+
+
+@query(
+    "cv_final_fit",
+    with_views(
+        _TREES_SQL_OUT.replace("FROM trees", "FROM z_trees JOIN z_fits f ON f.fit_id = model WHERE tree < f.nrounds"),
+        "v_wide",
+        extra=",\n".join([_cv_sql(), _BEST_CV, _POOLED, *BS.refit_ctes(TEST_GRID, "cvb", "pw")]),
+    ),
+)
+def q_cv_final_fit(spark, sf):
+    """The centralised model: trees of the chosen grid row on all pooled rows."""
+    rows = v_wide(spark, sf)
+    _, mean = B.cross_validate(rows, TEST_GRID, CV_K, MAX_BINS, CV_SEED)
+    return rounded_trees(B.cv_final(rows, mean, TEST_GRID, MAX_BINS)[0])
+
+
 def _logit_sql(steps: int = 3) -> str:
     parts = [
         "ld AS (SELECT study, CAST(features[1] AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM v_wide)",
@@ -212,3 +250,82 @@ def _logit_sql(steps: int = 3) -> str:
 def q_logit_irls(spark, sf):
     w = v_wide(spark, sf).select("study", F.col("features")[0].alias("x"), "y")
     return rounded(compare.logit_irls(w, "x", "y", "study", 3), 6, "b0", "b1")
+
+
+# ---- the logistic baseline, fitted to convergence ----
+
+_NEWTON = 12  # steps after which Newton's method on these data does not move any more
+
+
+def _newton_sql(src: str, steps: int = _NEWTON) -> str:
+    """CTEs that define ``lg(study, n, b0, b1)`` from ``src(study, x, y)``, on standardised x."""
+    parts = [
+        f"""lm_ AS (SELECT study, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM {src} GROUP BY study),
+ls AS (SELECT study, (x - mean) / sd AS z, y FROM {src} JOIN lm_ USING (study)),
+lb0 AS (SELECT study, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM lm_)"""
+    ]
+    for k in range(steps):
+        parts.append(
+            f"""lb{k + 1} AS MATERIALIZED (SELECT study, b0 + (c * g0 - b * g1) / (a * c - b * b) AS b0, b1 + (a * g1 - b * g0) / (a * c - b * b) AS b1
+  FROM (SELECT study, b0, b1, sum(p * (1 - p)) AS a, sum(p * (1 - p) * z) AS b, sum(p * (1 - p) * z * z) AS c, sum(y - p) AS g0, sum((y - p) * z) AS g1
+    FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * z))) AS p FROM ls JOIN lb{k} USING (study)) GROUP BY study, b0, b1))"""
+        )
+    parts.append(f"lg AS (SELECT study, n, b0 - b1 * mean / sd AS b0, b1 / sd AS b1 FROM lb{steps} JOIN lm_ USING (study))")
+    return ",\n".join(parts)
+
+
+_WIDE_XY = "wx AS (SELECT study, row_id, CAST(features[1] AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM v_wide),\n" + _newton_sql("wx")
+
+
+def _wide_xy(spark, sf):
+    return v_wide(spark, sf).select("study", "row_id", F.col("features")[0].alias("x"), "y")
+
+
+@query("logit_fit", with_views("SELECT study, n, 'fitted' AS status, round(b0, 8) AS b0, round(b1, 8) AS b1 FROM lg", "v_wide", extra=_WIDE_XY))
+def q_logit_fit(spark, sf):
+    return rounded(logistic.fit(_wide_xy(spark, sf)).select("study", "n", "status", "b0", "b1"), 8, "b0", "b1")
+
+
+@query(
+    "logit_predict",
+    with_views("SELECT study, row_id, round(1 / (1 + exp(-(b0 + b1 * x))), 8) AS prob FROM wx JOIN lg USING (study)", "v_wide", extra=_WIDE_XY),
+)
+def q_logit_predict(spark, sf):
+    rows = _wide_xy(spark, sf)
+    return rounded(logistic.predict(rows, logistic.fit(rows)).select("study", "row_id", "prob"), 8, "prob")
+
+
+# The baseline family of the comparison: a logistic model on one score, compared as a model of its own.
+BASELINE, BASELINE_SCORE = "logistic", "discount"
+
+_WITH_BASELINE = (
+    f"lx AS (SELECT study, CAST(score AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y FROM v_pred WHERE model = '{BASELINE_SCORE}' AND label IS NOT NULL AND score IS NOT NULL),\n"
+    + _newton_sql("lx")
+    + f""",
+vb AS (SELECT study, model, rid, label, CAST(score AS DOUBLE) AS score FROM v_pred
+  UNION ALL SELECT v.study, '{BASELINE}', v.rid, v.label, 1 / (1 + exp(-(b0 + b1 * CAST(v.score AS DOUBLE)))) FROM v_pred v JOIN lg USING (study) WHERE v.model = '{BASELINE_SCORE}')"""
+)
+
+
+def with_baseline(pred):
+    """``pred`` and the probabilities of a logistic model on the scores of BASELINE_SCORE."""
+    one = pred.where(F.col("model") == BASELINE_SCORE)
+    p = logistic.predict(one, logistic.fit(one, "score", "label"), "score", "label")
+    return pred.select("study", "model", "rid", "label", F.col("score").cast("double").alias("score")).unionByName(
+        p.select("study", F.lit(BASELINE).alias("model"), "rid", "label", F.col("prob").alias("score"))
+    )
+
+
+@query(
+    "compare_baseline",
+    with_views(
+        """SELECT study, model AS family, round(a.auc, 6) AS auc, round(b.auc_lo, 6) AS ci_lo, round(b.auc_hi, 6) AS ci_hi FROM a JOIN boot b USING (study, model)""",
+        "v_pred",
+        extra=_WITH_BASELINE + ",\n" + _AUC.replace("FROM v_pred", "FROM vb") + ",\n" + _boot_sql("vb"),
+    ),
+)
+def q_compare_baseline(spark, sf):
+    p = reuse(with_baseline(v_pred(spark, sf)))
+    a, ci = roc.auc(p), bootstrap.auc_bootstrap(p, reps=BOOT_REPS, seed=BOOT_SEED)
+    table = a.join(ci, ["study", "model"]).select("study", F.col("model").alias("family"), "auc", F.col("auc_lo").alias("ci_lo"), F.col("auc_hi").alias("ci_hi"))
+    return rounded(table, 6, "auc", "ci_lo", "ci_hi")

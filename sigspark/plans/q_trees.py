@@ -12,7 +12,7 @@ from ..operators import roc
 from ..operators import trees as TR
 from ..session import scratch_path
 from . import boost_sql as BS
-from .q_boost import _AUC_OF_PREDS, _R6, MAX_BINS, ONE_ROUND, TEST_GRID, grid_aucs
+from .q_boost import _AUC_OF_PREDS, _R6, _TREES_SQL_OUT, MAX_BINS, ONE_ROUND, TEST_GRID, grid_aucs, rounded_trees
 from .q_roc import _AUPRC, _CONF
 from .registry import query, rounded
 from .views import v_wide, with_views
@@ -228,3 +228,65 @@ def q_training_report(spark, sf):
         .select("study", "grid_id", F.col("auc").alias("auroc"), "threshold", "accuracy", "precision", "recall", "f1", "auprc")
     )
     return rounded(report, 6, "auroc", "threshold", "auprc")
+
+
+# ---- the final fit of each study with its best grid row, and its record ----
+
+_SEARCH = ",\n".join(BS.fit_ctes(TEST_GRID, MAX_BINS)) + ",\n" + _AUC_OF_PREDS.format(nr=len(TEST_GRID["nrounds"]), rounds=TEST_GRID["nrounds"])
+_REFIT = _SEARCH + ",\n" + ",\n".join(BS.refit_ctes(TEST_GRID, "best", "v_wide"))
+
+
+def _refit(spark, sf):
+    rows = v_wide(spark, sf)
+    _, preds, fits = B.fit_boosted(rows, TEST_GRID, MAX_BINS)
+    best = B.select_best(grid_aucs(preds, fits, TEST_GRID))
+    return best, B.refit(rows, best, TEST_GRID, MAX_BINS)
+
+
+@query(
+    "refit_best",
+    with_views(_TREES_SQL_OUT.replace("FROM trees", "FROM z_trees JOIN z_fits f ON f.fit_id = model WHERE tree < f.nrounds"), "v_wide", extra=_REFIT),
+)
+def q_refit_best(spark, sf):
+    return rounded_trees(_refit(spark, sf)[1][0])
+
+
+_RECORD = ",\n".join(
+    [
+        _REFIT,
+        """pb AS (SELECT p.study, f.grid_id AS model, CAST(p.y AS INTEGER) AS label, round(1 / (1 + exp(-p.margin)), 9) AS score
+  FROM z_preds p JOIN z_fits f ON f.fit_id = p.fit_id WHERE p.nrounds = f.nrounds)""",
+        _retarget(_CONF),
+        "ap AS (" + _AUPRC.split("ap AS (", 1)[1],
+    ]
+)
+_PARAMS = ("nrounds", "eta", "max_depth", "gamma", "colsample_bytree", "subsample")
+
+
+@query(
+    "training_record",
+    with_views(
+        f"""SELECT b.study, b.grid_id, {", ".join(f"f.{c}" for c in _PARAMS)}, round(b.auc, 4) AS auroc, round(cm.threshold, 4) AS threshold,
+       round((tp + tn) / NULLIF(CAST(tp + fp + fn + tn AS DOUBLE), 0), 4) AS accuracy,
+       round(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 4) AS precision,
+       round(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 4) AS recall,
+       round(2 * (tp / NULLIF(CAST(tp + fp AS DOUBLE), 0)) * (tp / NULLIF(CAST(tp + fn AS DOUBLE), 0))
+             / NULLIF(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0) + tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0), 4) AS f1,
+       round(ap.auprc, 4) AS auprc
+FROM best b JOIN z_fits f ON f.study = b.study JOIN cm ON cm.study = b.study AND cm.model = b.grid_id JOIN ap ON ap.study = b.study AND ap.model = b.grid_id""",
+        "v_wide",
+        extra=_RECORD,
+    ),
+)
+def q_training_record(spark, sf):
+    """The reference's record of a study: best parameters, AUC of the search, and the metrics of the final fit."""
+    best, (_, preds, fits) = _refit(spark, sf)
+    pb = preds.join(fits.select("fit_id", F.col("grid_id").alias("model")), "fit_id").select(
+        "study", "model", F.col("y").cast("int").alias("label"), F.round(sigmoid("margin"), 9).alias("score")
+    )
+    met = roc.threshold_metrics(roc.confusion(pb, roc.best_threshold(roc.roc_curve(pb)))).withColumnRenamed("model", "grid_id")
+    ap = roc.auprc(pb).select("study", F.col("model").alias("grid_id"), "auprc")
+    params = fits.select("study", "grid_id", F.element_at("rounds", 1).alias("nrounds"), *_PARAMS[1:])
+    out = best.join(params, ["study", "grid_id"]).join(met, ["study", "grid_id"]).join(ap, ["study", "grid_id"])
+    out = out.select("study", "grid_id", *_PARAMS, F.col("auc").alias("auroc"), "threshold", "accuracy", "precision", "recall", "f1", "auprc")
+    return rounded(out, 4, "auroc", "threshold", "auprc")

@@ -33,17 +33,16 @@ def read_train(spark: SparkSession, path: str, names: Sequence[str] | None = Non
     partitioned by a ``study=`` folder.
 
     Columns are matched by each file's own header, whatever their order; other columns
-    are left out, and a name that a file lacks is an error.  The driver lists the files (one or a few a study) and reads
-    their header lines; files with the same header are one scan.  ``names=None`` infers (tests only).
+    are left out, and a name that a file lacks is an error.  One job finds the files of each
+    header line; files with the same header are one scan.  ``names=None`` infers (tests only).
     """
     reader = spark.read.option("header", True).option("pathGlobFilter", glob)
     if names is None:
         df = reader.option("inferSchema", True).csv(path)
         return df if "study" in df.columns else df.withColumn("study", study_of(F.col("_metadata.file_name")))
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in sorted(r.path for r in listed.select("path").collect()):
-        by_header.setdefault(tuple(spark.read.option("header", True).csv(_escaped(f)).columns), []).append(f)
+    for r in _header_lines(spark, path, glob):
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(_escaped(r.files[0])).columns), []).extend(r.files)
     wanted, out = train_schema(names), None
     for header, files in by_header.items():
         missing = [c for c in wanted.names if c not in header]
@@ -52,7 +51,8 @@ def read_train(spark: SparkSession, path: str, names: Sequence[str] | None = Non
         schema = T.StructType([wanted[c] if c in wanted.names else T.StructField(c, T.StringType()) for c in header])
         part = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv([_escaped(f) for f in files])
         folder = F.regexp_extract(F.col("_metadata.file_path"), r"study=([^/]+)/", 1)
-        name = F.url_decode(F.url_decode(F.regexp_replace(folder, r"\+", "%2B")))
+        plain = lambda c: F.url_decode(F.regexp_replace(c, r"\+", "%2B"))  # noqa: E731 - '+' stands for itself
+        name = plain(plain(folder))  # Spark escapes the value, and the path's URI once more
         study = F.when(folder != "", name).otherwise(study_of(F.col("_metadata.file_name")))
         part = part.select(*[F.col(bq(c)) for c in wanted.names], study.alias("study"))
         out = part if out is None else out.unionByName(part)
@@ -61,16 +61,34 @@ def read_train(spark: SparkSession, path: str, names: Sequence[str] | None = Non
     return out
 
 
+def _header_lines(spark: SparkSession, path: str, glob: str) -> list:
+    """(header line, its files in order), one row per distinct header line: found in one job, one or a few a study travel.
+
+    Of a file that is read in several pieces, only the first is looked at.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    at = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
+    first = at.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    return first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.col("files")[0]).collect()
+
+
 def _escaped(path: str) -> str:
     """A listed path as a reader takes it: letters that globs give a meaning are escaped."""
     return re.sub(r"([{}\[\]*?])", r"\\\1", path)
 
 
+def _by_study(df: DataFrame, by: Sequence[str] = ("study",)):
+    """Writer that replaces the studies of ``df`` and leaves those it does not hold.
+
+    Spark writes the new folders beside the table and puts them in their place when the whole
+    job has succeeded, so a job that fails leaves the old data as it was.
+    """
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+
+
 def write_train(df: DataFrame, path: str, names: Sequence[str], label: str = "response") -> None:
-    """One folder per study, features in ``names`` order, then the label."""
-    df.select("study", *[F.col(bq(n)) for n in names], F.col(bq(label))).write.mode("overwrite").partitionBy(
-        "study"
-    ).option("header", True).csv(path)
+    """One folder per study, features in ``names`` order, then the label; studies that are not in ``df`` stay."""
+    _by_study(df.select("study", *[F.col(bq(n)) for n in names], F.col(bq(label)))).option("header", True).csv(path)
 
 
 def read_list(spark: SparkSession, path: str, col: str = "value") -> DataFrame:
@@ -88,10 +106,8 @@ COHORT_TABLES = ("expression", "clinical", "signatures", "signature_info")
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ("study",)) -> None:
-    w = df.write.mode("overwrite")
-    if by:
-        w = w.partitionBy(*by)
-    w.parquet(path)
+    """Parquet by ``by``; the parts that ``df`` holds are replaced, the others stay (without ``by`` the whole table is replaced)."""
+    (_by_study(df, by) if by else df.write.mode("overwrite")).parquet(path)
 
 
 def read_cohort(spark: SparkSession, root: str, names: Sequence[str] = COHORT_TABLES) -> dict[str, DataFrame]:

@@ -65,6 +65,56 @@ def test_cohort_table_round_trip_prunes(spark, tmp_path):
         io.read_cohort(spark, str(tmp_path / "c"))
 
 
+def _tables(spark, tmp_path):
+    """(name, writer of {study: values}, reader of the same) for each sink by study."""
+    from sigspark.operators import trees as TR
+
+    def train(data):
+        rows = [(k, float(v), "R") for k, vs in data.items() for v in vs]
+        io.write_train(spark.createDataFrame(rows, "study string, f double, response string"), str(tmp_path / "train"), ["f"])
+
+    def table(data):
+        io.write_table(spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "study string, f double"), str(tmp_path / "table"))
+
+    def models(data):
+        TR.write_models(spark.createDataFrame([(k, str(v)) for k, vs in data.items() for v in vs], "model string, json string"), str(tmp_path / "models"))
+
+    def read(df, key, value):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r[key], []).append(int(float(r[value])))
+        return {k: sorted(v) for k, v in out.items()}
+
+    yield train, lambda: read(io.read_train(spark, str(tmp_path / "train"), ["f"]), "study", "f")
+    yield table, lambda: read(spark.read.parquet(str(tmp_path / "table")), "study", "f")
+    yield models, lambda: read(spark.read.text(str(tmp_path / "models")), "model", "value")
+
+
+def test_writing_a_study_leaves_the_others(spark, tmp_path):
+    for write, read in _tables(spark, tmp_path):
+        write({"A": [1, 2], "B": [3], "C+(x)": [4]})
+        write({"B": [5, 6]})
+        assert read() == {"A": [1, 2], "B": [5, 6], "C+(x)": [4]}
+        write({"D": [7]})
+        assert read() == {"A": [1, 2], "B": [5, 6], "C+(x)": [4], "D": [7]}
+
+
+def test_a_failed_write_leaves_the_old_data(spark, tmp_path):
+    path = str(tmp_path / "t")
+    io.write_table(spark.createDataFrame([("A", 1.0), ("B", 2.0)], "study string, f double"), path)
+    bad = spark.range(0, 2000, 1, 4).selectExpr("case when id < 1000 then 'A' else 'B' end as study", "if(id = 1999, double(raise_error('late')), 9D) as f")
+    with pytest.raises(Exception, match="late"):
+        io.write_table(bad, path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("study", "f").collect())) == [("A", 1.0), ("B", 2.0)]
+
+
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    _cohort_files(tmp_path, {f"S{k}": order for k in range(12) for order in [[*NAMES, "response"] if k % 2 else ["response", *NAMES]]})
+    got = io._header_lines(spark, str(tmp_path), "*.csv")
+    assert [len(r.files) for r in got] == [6, 6] and all(r.files == sorted(r.files) for r in got)
+    assert io.read_train(spark, str(tmp_path), NAMES).select("study").distinct().count() == 12
+
+
 def test_wide_long_identity(spark):
     names = ["click", "error", "purchase", "signup", "view"]
     s = v_scores(spark, SF001)
