@@ -116,6 +116,15 @@ class Words:
         with np.errstate(over="ignore"):
             return mix(np.add.reduceat(np.where(pos < k, prod, np.uint64(0)), at) + np.uint64(k))
 
+    def proper_prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words of more than ``k`` bytes, hash of the first ``k`` bytes of each)."""
+        longer = np.flatnonzero(self.lens > k)
+        if not len(longer):
+            return longer, np.zeros(0, np.uint64)
+        at, _, prod = self._products()
+        with np.errstate(over="ignore"):
+            return longer, mix(prod[at[longer][:, None] + np.arange(k)].sum(1, dtype=np.uint64) + np.uint64(k))
+
     def _products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self._prod is None:
             chars = self.fold[self.bytes[self._solid]]

@@ -1,14 +1,16 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms are the letter runs of a text, lower-cased, and their beginnings of four
-and six bytes, hashed to 2^20 slots; a text is the set of its slots.  Besides
+Terms are the letter runs of a text, lower-cased, and the beginnings of four
+to eight bytes of longer ones, hashed to 2^20 slots; a term that a text has twice or more
+counts as a second term beside it.  A text is the set of its slots.  Besides
 a weight, every slot has a short vector; the dot product of two slots' vectors
 is the weight of meeting both in one text (an insult beside the mention of a
 group), which a sum of single weights cannot tell.
 
 The machine is fitted on the driver from a bounded sample of labelled rows
-(MAX_POSITIVE and MAX_NEGATIVE, chosen by a hash of the id) and keeps the MAX_SLOTS
-slots that tell the labels best, so the model's size does not follow the
+(MAX_POSITIVE and MAX_NEGATIVE, chosen by a hash of the id).  It keeps every slot whose
+labels in the sample are less likely to be chance than CHANCE says; the weaker a slot's evidence, the
+more its weight and vector are held back.  The model's size follows the sample, not the
 corpus.  Scoring reads every whole text where it lies, without a shuffle.
 
 Defined results: null and empty texts get the score of a text without any
@@ -31,11 +33,13 @@ from .text import Words, buffers, mix, row_chunks
 
 #: Bounds on the labelled rows that the machine is fitted on, by label.
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
-#: Hash slots (as a power of two), slots that the machine keeps, least sample rows a slot needs, and length of the vectors.
-SLOT_BITS, MAX_SLOTS, LEAST_ROWS, FACTORS = 20, 512, 3, 8
+#: Hash slots (as a power of two), bytes of the beginnings, least sample rows a slot needs, and length of the vectors.
+SLOT_BITS, BEGINNINGS, LEAST_ROWS, FACTORS = 20, (4, 5, 6, 7, 8), 2, 8
+#: Likelihood ratio (twice its logarithm) of a slot's labels to chance at which it is kept, and at which its decay has halved.
+CHANCE, DOUBT = 5.0, 40.0
 SEED = 29
 #: Weight decay, over the number of ones in the sample.
-DECAY = 0.5
+DECAY = 0.15
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -43,13 +47,16 @@ _GAP = ~_LETTER
 
 
 def terms(data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every term, repeats included."""
+    """(row, slot) of every term, each once a row, and of every term that a row has twice or more, as a term of its own."""
     w = Words(data, offs, lo, hi, _GAP)
     row = np.repeat(np.arange(w.rows), w.n_words)
-    shift = np.uint64(64 - SLOT_BITS)
-    kinds = [w.hashes()] + [w.prefix_hashes(k) for k in (4, 6)]
-    slot = np.concatenate([mix(h + np.uint64(i)) >> shift for i, h in enumerate(kinds)]).astype(np.int64)
-    return np.tile(row, 3), slot
+    kinds = [(np.arange(len(w)), w.hashes())] + [w.proper_prefixes(k) for k in BEGINNINGS]
+    slot = np.concatenate([mix(h + np.uint64(i)) >> np.uint64(64 - SLOT_BITS) for i, (_, h) in enumerate(kinds)]).astype(np.int64)
+    pairs, n = np.unique((np.concatenate([row[at] for at, _ in kinds]) << SLOT_BITS) | slot, return_counts=True)
+    row, slot = pairs >> SLOT_BITS, pairs & ((1 << SLOT_BITS) - 1)
+    again = n > 1
+    more = (mix(slot[again].astype(np.uint64) + np.uint64(1 << SLOT_BITS)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return np.concatenate([row, row[again]]), np.concatenate([slot, more])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +105,10 @@ def fit(rows: int, row: np.ndarray, slot: np.ndarray, y: np.ndarray, share: floa
     size = 1 << SLOT_BITS
     ones, zeros = np.bincount(slot[y[row] == 1], minlength=size), np.bincount(slot[y[row] == 0], minlength=size)
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    p, q = (ones + 0.5) / (n1 + 1), (zeros + 0.5) / (n0 + 1)
-    tells = (p - q) ** 2 / (p * (1 - p) / n1 + q * (1 - q) / n0 + 1e-12)
-    tells[ones + zeros < LEAST_ROWS] = 0
-    kept = np.argsort(-tells, kind="stable")[:MAX_SLOTS]
-    kept = kept[tells[kept] > 0]
+    met, rate = ones + zeros, n1 / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tells = 2 * sum(np.where(k > 0, k * np.log(k / (met * r)), 0.0) for k, r in ((ones, rate), (zeros, 1 - rate)))
+    kept = np.flatnonzero((met >= LEAST_ROWS) & (tells >= CHANCE))
     place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept))
     known = place[slot] >= 0
@@ -110,13 +116,13 @@ def fit(rows: int, row: np.ndarray, slot: np.ndarray, y: np.ndarray, share: floa
     rng = np.random.default_rng(SEED)
     m = Model(float(np.log(n1 / n0)), place, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
     state = [np.zeros_like(m.weight), np.zeros_like(m.weight), np.zeros_like(m.factor), np.zeros_like(m.factor)]
-    decay = DECAY / n1
+    decay = DECAY / n1 * (1 + DOUBT / tells[kept])  # what may be chance is held back
     for i in range(1, steps + 1):
         z, total = _raw(m, rows, row, at)
         g = (_sigmoid(z) - y) / rows
         gr = g[row]
         gw = np.bincount(at, gr, len(kept)) + decay * m.weight
-        gv = _sums(gr[:, None] * (total[row] - m.factor[at]), at, len(kept)) + decay * m.factor
+        gv = _sums(gr[:, None] * (total[row] - m.factor[at]), at, len(kept)) + decay[:, None] * m.factor
         for x, grad, a, b in ((m.weight, gw, state[0], state[1]), (m.factor, gv, state[2], state[3])):
             a += 0.1 * (grad - a)
             b += 0.01 * (grad**2 - b)
@@ -138,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     chance = F.pmod(F.xxhash64(F.col("i"), F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     picked = known.where(chance <= odds).orderBy(F.xxhash64("i"), "i", "y").limit(2 * (MAX_POSITIVE + MAX_NEGATIVE))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y")  # 9,000 ids at most
-    sample = texts.mapInArrow(_slots, "i long, y int, x binary").toArrow().sort_by([("i", "ascending")])
+    found = texts.mapInArrow(_slots, "i long, y int, x binary")
+    sample = found.orderBy(F.xxhash64("i", "x"), "i", "y", "x").limit(2 * (MAX_POSITIVE + MAX_NEGATIVE)).toArrow()  # an id may stand in many rows
     y = np.asarray(sample.column("y").to_pylist(), float)
     if len(set(y)) < 2:
         return share
