@@ -19,10 +19,11 @@ candidates, then those that still lie in different components.  Last come the no
 regions of WHOLE trees that still hold several components: each is compared whole, set
 against set, inside the tasks (chunks of CHUNK classes, each pair of chunks in a task of its own), and hands on
 only which components meet.  A region of more than LARGE classes is first parted by
-more min-hashes of its label, so the depth follows the region's density; only regions
-that share a whole label and are larger still rest with neighbours.
-(A pair at the threshold that is in a dense region of no such tree, by a chance of (1 - 0.85^4)^8 < 0.003, still
-has the neighbours of all TREES orders.)
+more min-hashes of its label, so the depth follows the region's density.  What lies in different components
+of such a region after that is compared exactly too: each class outside the region's
+largest component with all of the region, in chunks again.  So a region of any size is settled whole, and
+the work follows the classes that the cheaper steps have left apart.
+(A pair at the threshold shares a region of no such tree with a chance of (1 - 0.85^4)^16 < 1e-5.)
 A pair inside one component needs no confirmation, as only components are asked for.
 
 Defined results: a null, empty or blank text has an empty set and is linked
@@ -53,7 +54,7 @@ WORDS, LEAST_SIMILAR = 3, 85
 #: Min-hashes; trees; min-hashes of a label; prefix that a region shares; classes a region may hold all pairs of.
 SIGNATURE, TREES, DEPTH, LEAST, REGION = 128, 16, 20, 4, 8
 #: Classes of a region that is compared whole, min-hashes that part a larger one, classes of a chunk of it, trees whose regions are.
-LARGE, STEP, CHUNK, WHOLE = 4096, 4, 256, 8
+LARGE, STEP, CHUNK, WHOLE = 4096, 4, 256, 16
 #: Candidates of a class that the first round confirms.
 FIRST = 3
 
@@ -255,6 +256,29 @@ def dense_links(members: DataFrame, comp: DataFrame, sets: DataFrame, least: int
     return m.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(least), "a long, b long")
 
 
+def large_links(members: DataFrame, comp: DataFrame, sets: DataFrame, least: int) -> DataFrame | None:
+    """(a, b): components that meet inside a noted region of more than LARGE classes; None where there is none with several.
+
+    Pairs inside the largest component of a region say nothing new, so one side of a comparison is a class outside it.
+    """
+    m = members.join(comp, F.col("id") == F.col("node"), "left").select(F.expr(f"substring(label, 1, {1 + 2 * LEAST})").alias("region"), "id", F.coalesce("component", "id").alias("c"))
+    parts = m.groupBy("region", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("region").agg(F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("several"))
+    mixed = cut_lineage(mixed.where(f"size > {LARGE} and several > 1").withColumn("left", F.col("size") - F.col("top")))
+    if not mixed.take(1):
+        return None
+    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    m = m.join(mixed.select("region", "main", chunks("size").alias("of_all"), chunks("left").alias("of_left")), "region")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # chunks of the two sides are numbered apart, so that the comparison is between the sides only
+    outside = m.where("c <> main").select("region", "id", "c", F.lit(0).alias("side"), place("of_left").alias("one"), "of_left", each("of_all").alias("two"))
+    whole = m.select("region", "id", "c", F.lit(1).alias("side"), each("of_left").alias("one"), "of_left", place("of_all").alias("two"))
+    key = ["region", "one", "two"]
+    both = outside.unionByName(whole).withColumn("two", F.col("two") + F.col("of_left")).drop("of_left").join(sets, "id")
+    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(least), "a long, b long")
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,6 +327,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rest = cut_lineage(_apart(pairs.select("a", "b"), comp))
     comp = _joined(comp, confirmed(rest, sets, least))
     comp = _joined(comp, dense_links(members, comp, sets, least))
+    links = large_links(members, comp, sets, least)
+    if links is not None:
+        comp = _joined(comp, links)
     named = classes.select("n", "h1", "h2", "id").join(comp, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

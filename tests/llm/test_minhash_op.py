@@ -127,7 +127,18 @@ def test_dense_regions_in_chunks_and_parts(spark, monkeypatch, large):
     monkeypatch.setattr(forest, "CHUNK", 16)
     want = brute(docs)
     got = {r.doc_id: r.component_id for r in run(spark, docs)}
-    assert sum(got[i] == want[i][1] for i in got) >= (0.85 if large < 100 else 0.99) * len(got)
+    assert sum(got[i] == want[i][1] for i in got) >= 0.99 * len(got)
+
+
+def test_a_cloud_beyond_the_largest_region(spark):
+    """Near copies of one template, each linked with the template itself: one component, whatever the region's size."""
+    rng = random.Random(8)
+    base = prose(rng, 120, 10**6)
+    docs = [(0, " ".join(base))] + [(i, " ".join(w if k not in at else f"new{i}x{k}" for k, w in enumerate(base))) for i in range(1, 6000) for at in [set(rng.sample(range(120), rng.choice([1, 2, 3])))]]
+    assert len(docs) > forest.LARGE
+    sets = [shingle_set(t, 3) for _, t in docs]
+    assert all(100 * len(sets[0] & s) >= 85 * len(sets[0] | s) for s in sets)
+    assert {r.component_id for r in run(spark, docs)} == {0}
 
 
 def test_intersections():

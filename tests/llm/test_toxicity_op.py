@@ -69,7 +69,7 @@ def test_terms():
 def test_an_id_in_many_rows_stays_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_POSITIVE", 5)
     monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 5)
-    docs = spark.range(400).selectExpr("id % 2 as doc_id", "concat('some text ', id) as text")
+    docs = spark.range(400).selectExpr("id % 2 as doc_id", "concat('some text ', translate(id, '0123456789', 'abcdefghij')) as text")
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda rows, *rest: seen.append(rows))
     toxicity.train(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
