@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies; documents without an id stay."""
-    found = minhash_forest.near_duplicates(docs)
+    """One document, that with the smallest id, of each group of near copies (shingles of five words, similarity 0.8); documents without an id stay."""
+    found = minhash_forest.near_duplicates(docs, k=5, least=80)
     copies = cut_lineage(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
     return with_ids(docs, "doc_id", copies, "left_anti")
 
