@@ -10,6 +10,10 @@ the label of its nearest decided neighbour: where both sides agree, theirs,
 else the nearer side's (by words between; boilerplate on a tie), and for a heading
 that of the next decided block.
 
+A class or id alone does not make a wrapper boilerplate: one that says what state the page is in
+(``has-sidebar``, ``comments-open``) says nothing, and an element that is marked by a word of its class but holds the page's largest article, or,
+on a page without any, most of its running text, is judged by its blocks; reader comments are never so exempt.
+
 Inside a block character references are decoded and white space becomes one
 space; blocks of white space alone go.  Nothing else is dropped or cut.
 
@@ -47,6 +51,8 @@ BAD_WORD = frozenset(
     " disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted"
     " related recommended replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENT_WORD = frozenset("comment comments replies reply".split())
+STATE_FIRST, STATE_LAST = frozenset("has hasnt have is no not with without".split()), frozenset("active closed disabled enabled inactive off on open".split())
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has he in is it of on or that the this to was were which with"
     " au aux avec ce dans de des du elle en est et il la le les ne par pas pour que qui se sur un une"
@@ -72,41 +78,62 @@ WORD_GAP = re.compile(r"[^a-z0-9]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def marked(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its name, role, class or id, or is not shown."""
-    if tag in BAD and not (in_article and tag in ("header",)):
-        return True
-    if tag == "header" and not in_article:
-        return True
-    if not attrs:
-        return False
-    for m in ATTR.finditer(attrs):
+SHOWN, BY_WORD, COMMENTS, BAD_ELEMENT = range(4)
+
+
+def class_words(value: str) -> set[str]:
+    """Words of a class or id that say what the element is; names of a state are left out."""
+    out: set[str] = set()
+    for name in value.split():
+        words = [w for w in WORD_GAP.split(name) if w]
+        if words and not (len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST)):
+            out.update(words)
+    return out
+
+
+def marked(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element is boilerplate by its name or role, or is not shown (BAD_ELEMENT), or by a word of its class or id (COMMENTS, BY_WORD)."""
+    if tag in BAD and not (in_article and tag == "header"):
+        return BAD_ELEMENT
+    found = SHOWN
+    for m in ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body") and not BAD_WORD.isdisjoint(WORD_GAP.split(value)):
-                return True
+            words = class_words(value) & BAD_WORD if tag not in ("html", "body") else set()
+            if words:
+                found = max(found, COMMENTS if words & COMMENT_WORD else BY_WORD)
         elif name == "role":
             if value.strip() in BAD_ROLE and not (in_article and value.strip() == "banner"):
-                return True
+                return BAD_ELEMENT
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return BAD_ELEMENT
+    return found
+
+
+class Place:
+    """What stands open: boilerplate by element, the outermost article, and the elements marked by a word alone."""
+
+    __slots__ = ("article", "bad", "by_word")
+
+    def __init__(self, bad: bool = False, article: int | None = None, by_word: tuple[int, ...] = ()):
+        self.bad, self.article, self.by_word = bad, article, by_word
 
 
 class Block:
-    __slots__ = ("bad", "good", "heading", "linked", "parts")
+    __slots__ = ("heading", "linked", "parts", "place")
 
-    def __init__(self, bad: bool, good: bool, heading: bool = False):
+    def __init__(self, place: Place, heading: bool = False):
         self.parts: list[str] = []
-        self.linked, self.bad, self.good, self.heading = 0, bad, good, heading
+        self.linked, self.place, self.heading = 0, place, heading
 
 
 def blocks(html: str) -> Iterator[Block]:
-    """Blocks of text in page order, each with whether it stands in boilerplate or in the article."""
-    open_: list[tuple[str, bool, bool]] = []  # (element, boilerplate, article) of what is open, each with what it inherits
-    bad = good = False
+    """Blocks of text in page order, each with where it stands."""
+    open_: list[tuple[str, Place]] = []  # what is open, each with what it inherits
+    place = outside = Place()
+    marks = 0
     link, breaks = 0, 0
-    now = Block(bad, good)
+    now = Block(place)
     for m in TOKEN.finditer(html):
         kind = m.lastgroup
         if kind == "text":
@@ -127,7 +154,7 @@ def blocks(html: str) -> Iterator[Block]:
             breaks += 1
             if breaks == 2:
                 yield now
-                now, breaks = Block(bad, good), 0
+                now, breaks = Block(place), 0
             continue
         block = tag in BLOCK
         if block:
@@ -143,47 +170,74 @@ def blocks(html: str) -> Iterator[Block]:
                 open_ = [x for x in open_ if x[0] == "html"]
             elif tag in CLOSES_ITSELF and open_ and open_[-1][0] == tag or block and tag != "p" and open_ and open_[-1][0] == "p":
                 open_.pop()
-            up_bad, up_good = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-            is_bad = marked(tag, attrs, up_good)
-            if block or is_bad:
-                open_.append((tag, up_bad or is_bad, up_good or tag in GOOD or 'role="main"' in attrs))
-        was = (bad, good)
-        bad, good = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-        if block or was != (bad, good):
+            up = open_[-1][1] if open_ else outside
+            how = marked(tag, attrs, up.article is not None)
+            if block or how != SHOWN:
+                new = Place(up.bad or how == BAD_ELEMENT, up.article, up.by_word)
+                if how in (BY_WORD, COMMENTS):
+                    marks += 1
+                    new.by_word = (*up.by_word, -marks if how == COMMENTS else marks)
+                if up.article is None and (tag in GOOD or 'role="main"' in attrs):
+                    marks += 1
+                    new.article = marks
+                open_.append((tag, new))
+        was = place
+        place = open_[-1][1] if open_ else outside
+        if block or was is not place:
             if not block:
                 yield now
-            now = Block(bad, good, not end and tag in HEADING)
+            now = Block(place, not end and tag in HEADING)
     yield now
 
 
+def exempt(places: list[Place], rich: list[int]) -> set[int]:
+    """Elements marked by a word that hold the page's largest article (without any: most of its running text); no reader comments."""
+    by_article: dict[int, int] = {}
+    for p, n in zip(places, rich, strict=True):
+        if p.article is not None and not p.bad and not any(x < 0 for x in p.by_word):
+            by_article[p.article] = by_article.get(p.article, 0) + n
+    if by_article:
+        largest = max(by_article, key=lambda k: (by_article[k], -k))
+        # what stands open around that article: the marks that all of its blocks share
+        around = [set(p.by_word) for p in places if p.article == largest and not p.bad]
+        return {x for x in set.intersection(*around) if 0 < x < largest}
+    total = sum(n for p, n in zip(places, rich, strict=True) if not p.bad)
+    held: dict[int, int] = {}
+    for p, n in zip(places, rich, strict=True):
+        for x in () if p.bad else p.by_word:
+            held[x] = held.get(x, 0) + n
+    return {x for x, n in held.items() if x > 0 and 2 * n > total}
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    found: list[Block] = []
     texts: list[str] = []
-    labels: list[bool | None] = []
-    sizes: list[int] = []
-    headings: list[bool] = []
+    words: list[list[str]] = []
     for b in blocks(html):
-        if not b.parts:
-            continue
-        text = " ".join(unescape("".join(b.parts)).split())
-        if not text:
-            continue
-        words = WORDS.findall(text.lower())
-        if b.bad:
-            label = False
-        elif b.good:
-            label = True
-        elif b.linked > LINKS * len(text):
-            label = False
+        text = " ".join(unescape("".join(b.parts)).split()) if b.parts else ""
+        if text:
+            found.append(b)
+            texts.append(text)
+            words.append(WORDS.findall(text.lower()))
+    density = [sum(w in STOP_WORDS for w in ws) / max(1, len(ws)) for ws in words]
+    linked = [b.linked > LINKS * len(t) for b, t in zip(found, texts, strict=True)]
+    rich = [len(ws) if len(ws) >= SHORT and d >= RICH and not away else 0 for ws, d, away in zip(words, density, linked, strict=True)]
+    places = [b.place for b in found]
+    free = exempt(places, rich) if any(p.by_word for p in places) else set()
+    labels: list[bool | None] = []
+    for p, ws, d, away in zip(places, words, density, linked, strict=True):
+        if p.bad or any(x not in free for x in p.by_word):
+            labels.append(False)
+        elif p.article is not None:
+            labels.append(True)
+        elif away:
+            labels.append(False)
         else:
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            label = None if len(words) < SHORT else True if density >= RICH else False if density < POOR else None
-        texts.append(text)
-        labels.append(label)
-        sizes.append(len(words))
-        headings.append(b.heading)
-    return "\n".join(t for t, good in zip(texts, settle(labels, sizes, headings), strict=True) if good)
+            labels.append(None if len(ws) < SHORT else True if d >= RICH else False if d < POOR else None)
+    good = settle(labels, [len(ws) for ws in words], [b.heading for b in found])
+    return "\n".join(t for t, g in zip(texts, good, strict=True) if g)
 
 
 def settle(labels: list[bool | None], sizes: list[int], headings: list[bool]) -> list[bool]:

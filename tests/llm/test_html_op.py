@@ -92,3 +92,30 @@ def test_query(spark):
         blocks = [" ".join(std.unescape(x).split()) for x in inner.replace("<br>", "\n").split("\0")]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
     assert got.where(F.col("text") == "").count() == 0
+
+
+STORY = "<h1>On the news of the day</h1>" + "".join(f"<p>This is the part number {k} of the story, and it is told in the words of the people who were there with it.</p>" for k in range(4))
+PLAIN = "On the news of the day\n" + "\n".join(f"This is the part number {k} of the story, and it is told in the words of the people who were there with it." for k in range(4))
+COMMENTS = "<p>" + "I am of the view that this is a story to be read by all, and it is not the first of its kind. " * 30 + "</p>"
+
+
+@pytest.mark.parametrize("wrapper", ["has-sidebar", "post comments-open", "content no-comments", "share-story", "page with-sidebar nav-open", "promo"])
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_wrappers_named_by_a_state_or_around_the_article(wrapper, element):
+    page = f'<body><nav><a href="/">Home</a></nav><div class="{wrapper}"><{element}>{STORY}</{element}></div><div class="sidebar"><p>Also of note on this site</p></div></body>'
+    assert main_text(page) == PLAIN
+
+
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_comments_stay_out_however_long(element):
+    page = f'<{element}>{STORY}</{element}><div id="comments"><article class="comment-body">{COMMENTS}</article><div>{COMMENTS}</div></div>'
+    assert main_text(page) == PLAIN
+    inside = f'<article>{STORY}<section class="comments">{COMMENTS}</section></article>'
+    assert main_text(inside) == PLAIN
+
+
+def test_teasers_of_other_articles_stay_out():
+    page = f'<main>{STORY}</main><div class="related-posts"><article><p>This is one of the stories that you may like to read on the site.</p></article></div>'
+    assert main_text(page) == PLAIN
+    advert = f'<article>{STORY}<div class="advert has-image"><p>Buy the best of the things that are on sale now.</p></div></article>'
+    assert main_text(advert) == PLAIN
