@@ -1,15 +1,16 @@
 """Token counts with a two-tier, map-side table of pre-token lengths.
 
 Tier one is a compact table {pre-token: number of tokens} of frequent
-pre-tokens, built on the driver from a bounded sample of documents and
+pre-tokens, counted over the whole texts of a hash-chosen sample of all rows, in the tasks, and
 broadcast once.  Tier two is a bounded cache in each Python worker: a miss is
-encoded with the tokenizer itself and remembered.  No pre-token is shuffled;
+encoded with the tokenizer itself and remembered.  No pre-token of a counted document is shuffled;
 each document is counted where it is read.  What the tables hold changes the
 speed only, never a count.
 
-Texts in which the pre-token pattern could be read differently by two regular
-expression libraries (characters from U+0250 up, a few control characters),
-or which hold the string of an added token, are encoded whole by the
+The pre-token pattern is read alike by this module's regular expressions and by the library's
+for every character that Unicode has assigned (the tests go through all of them).  Texts
+with a code point that it has not, where the two may follow different editions,
+or with the string of an added token, are encoded whole by the
 tokenizer.  A null text has 0 bytes and 0 tokens, as has an empty one;
 repeated rows are counted row by row; an empty table gives an empty table.
 """
@@ -17,6 +18,8 @@ repeated rows are counted row by row; an empty table gives an empty table.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,14 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents (and characters of each) from which the table of frequent pre-tokens is made; speed only.
-SAMPLE_DOCS, SAMPLE_CHARS = 1000, 5000
+#: Documents, about, whose whole texts the table of frequent pre-tokens is counted from; speed only.
+SAMPLE_DOCS, SEED = 2000, 71
 #: Entries of the broadcast table, entries of a worker's cache, and the longest pre-token that is remembered.
 FREQUENT, CACHE, LONGEST = 32_000, 400_000, 64
 
 #: Fixed value: the public byte-level pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNUSUAL = r"[^\t\n\r\x20-\x7e\xa1-ɏ]"
+#: Characters that need no look at their category.
+USUAL = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*").fullmatch
 
 
 class Lengths(dict):
@@ -68,10 +72,17 @@ class Counts:
         self.tokenizer.no_padding()
         parsed = json.loads(spec)
         added = [t["content"] for t in parsed.get("added_tokens") or []]
-        self.whole = regex.compile("|".join([UNUSUAL, *map(regex.escape, added)])).search if _is_byte_level(parsed) else lambda text: True
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.byte_level = _is_byte_level(parsed)
         self.pieces = regex.compile(PRE_TOKEN).findall
         self.lengths = Lengths(self.tokenizer, frequent)
 
+    def whole(self, text: str) -> bool:
+        """Whether the text is to be encoded as a whole."""
+        if not self.byte_level or self.added(text):
+            return True
+        return not USUAL(text) and any(unicodedata.category(c) == "Cn" for c in set(text))
+
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
@@ -81,13 +92,26 @@ class Counts:
 
 
 def frequent_lengths(docs: DataFrame, spec: str, text: str) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a bounded sample (SAMPLE_DOCS x SAMPLE_CHARS)."""
-    counts = Counts(spec, {})
-    seen: Counter[str] = Counter()
-    for row in docs.select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).toLocalIterator():
-        if row.t and not counts.whole(row.t):
-            seen.update(counts.pieces(row.t))
-    return {p: counts.lengths[p] for p, _ in seen.most_common(FREQUENT) if len(p) <= LONGEST}
+    """Lengths of the FREQUENT most frequent pre-tokens of the sample; a task hands on its most frequent ones only."""
+    rate = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    chance = F.pmod(F.xxhash64(F.col(text), F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = docs.where(F.col(text).isNotNull() & (chance < rate)).select(F.col(text).alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = Counts(shared.value, {}), Counter()
+        for b in batches:
+            for t in b.column(0):
+                if not counts.whole(t.as_py()):
+                    seen.update(p for p in counts.pieces(t.as_py()) if len(p) <= LONGEST)
+                if len(seen) > 8 * FREQUENT:
+                    seen = Counter(dict(seen.most_common(2 * FREQUENT)))
+        top = seen.most_common(2 * FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
+
+    found = sample.mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(FREQUENT).toArrow()
+    lengths = Counts(spec, {}).lengths
+    return {p: lengths[p] for p in found.column("p").to_pylist()}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
