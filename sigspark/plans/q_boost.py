@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boost as B
-from ..operators import roc
+from ..operators import roc, sketch
 from . import boost_sql as BS
 from .registry import query, rounded
 from .views import v_wide, with_views
@@ -67,6 +67,26 @@ def q_feature_bins(spark, sf):
     return B.feature_bins(v_wide(spark, sf), MAX_BINS)
 
 
+WEIGHTED_BINS = 16
+
+
+@query(
+    "weighted_cuts",
+    with_views(
+        f"""SELECT study, feature, max(bin)::INTEGER AS bin, cut FROM (SELECT s.study, s.feature, t.bin, min(s.value) AS cut
+  FROM ws s CROSS JOIN range(1, {WEIGHTED_BINS}) t(bin) WHERE s.below >= s.total * t.bin / {WEIGHTED_BINS} - 1e-9 GROUP BY ALL) GROUP BY study, feature, cut""",
+        "v_wide",
+        extra="""wl AS (SELECT study, CAST(unnest(range(len(features))) AS INTEGER) AS feature, unnest(features) AS value, 1 + row_id % 3 AS weight FROM v_wide),
+wv AS (SELECT study, feature, value, CAST(sum(weight) AS DOUBLE) AS w FROM wl WHERE value IS NOT NULL GROUP BY ALL),
+ws AS (SELECT *, sum(w) OVER (PARTITION BY study, feature ORDER BY value) - w AS below, sum(w) OVER (PARTITION BY study, feature) AS total FROM wv)""",
+    ),
+)
+def q_weighted_cuts(spark, sf):
+    """Bin borders by weight, from the mergeable summaries."""
+    rows = v_wide(spark, sf).select("study", (1 + F.col("row_id") % 3).alias("weight"), F.posexplode("features").alias("feature", "value"))
+    return sketch.weighted_cuts(rows, WEIGHTED_BINS).drop("rank_error")
+
+
 @query("grad_hess", _base_sql("SELECT fit_id, row_id, y, margin, round(g, 6) AS g, round(h, 6) AS h FROM s_r1_l0"))
 def q_grad_hess(spark, sf):
     st, _ = _state1(spark, sf)
