@@ -4,7 +4,7 @@ A candidate block is a run of lines of a text in which a licensing word occurs
 (lines less than GAP apart are one block; of a line over LONG characters, what is
 within AROUND characters of such a word).  Case and punctuation are put aside.  Each block is compressed alone and with every
 template as a raw zstandard dictionary; the templates are ranked by the share of the
-block's compressed size that they save.  The best RANKED are then confirmed by wording:
+block's compressed size that they save.  All that save anything are then confirmed by wording:
 the block's words are aligned with the template's, and a template wins where
 the share of its words found in order is at least WORDING.  The differences are
 reported word by word, and the version that stands where the template has one.
@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines between two licensing words of one block; templates whose wording is compared; least share of a template's words.
-GAP, RANKED, WORDING = 3, 4, 0.75
-#: Characters of a line that is read in stretches, and of a stretch on either side of a licensing word.
+#: Lines between two licensing words of one block; least share of a template's words.
+GAP, WORDING = 3, 0.75
+#: Characters of a line that is cut into several blocks, and of such a block on either side of a licensing word
+#: (a notice is aligned with the words around its block, so it may reach beyond).
 LONG, AROUND = 4000, 800
 #: zstandard level.
 LEVEL = 19
@@ -158,7 +159,7 @@ def _stretches(line: str) -> list[tuple[int, int]]:
 def explain(block: str) -> tuple[str, str, float, float, str, str]:
     """(license, version, saved, wording, lacks, more) of the template that explains a block best, or unknown."""
     words, order = pieces(block), ranked(block)
-    won = [(share, saved, -k, name, version, lacks, more) for k, (saved, name) in enumerate(order[:RANKED]) if saved > 0 for share, version, lacks, more in [wording(words, name)] if share >= WORDING]
+    won = [(share, saved, -k, name, version, lacks, more) for k, (saved, name) in enumerate(order) if saved > 0 for share, version, lacks, more in [wording(words, name)] if share >= WORDING]
     if not won:
         return "unknown", "", order[0][0], 0.0, "", ""
     share, saved, _, name, version, lacks, more = max(won)
@@ -179,8 +180,8 @@ def _notices(text: str, spans: list[tuple[int, int]], words: list[str], lo: int,
         return
     order = ranked(" ".join(words[a:z]))
     saves = dict((name, saved) for saved, name in order)
-    names = [k for saved, k in order[:RANKED] if saved > 0]
-    names += [k for saved, k in ranked(" ".join(words[lo:hi]))[:RANKED] if saved > 0 and k not in names]
+    names = [k for saved, k in order if saved > 0]
+    names += [k for saved, k in ranked(" ".join(words[lo:hi])) if saved > 0 and k not in names]
     won = []
     for k, name in enumerate(names):
         x, y = _place(words[lo:hi], name)
