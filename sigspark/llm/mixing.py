@@ -9,8 +9,8 @@ by cap * size / weight.
 Quotas.  The mix is dealt in blocks of equal size (``block`` words) by
 Sainte-Lague: the next block goes to the highest quotient target / (2 k + 1).
 First the blocks of the mix are dealt to the sources, then each source's
-blocks to its shards (votes: the shard's words), so every shard has a whole
-number of blocks.  Instead of dealing N blocks one by one, a divisor gives
+blocks to spans of its shards and each span's to its shards (votes: their words), so every shard has a whole
+number of blocks and no window holds more than the spans of a source or the SPAN shards of one.  Instead of dealing N blocks one by one, a divisor gives
 each party the blocks it is sure of, and only the few quotients between two
 divisors are ranked, at most two a party.
 
@@ -39,8 +39,8 @@ from sigspark.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Share of all words that the mix takes, times a source may be taken, words of a block, words of a shard.
-SHARE, CAP, BLOCK, SHARD = 1.5, 2.0, 16, 1 << 16
+#: Share of all words that the mix takes, times a source may be taken, words of a block, words of a shard, shards of a span.
+SHARE, CAP, BLOCK, SHARD, SPAN = 1.5, 2.0, 16, 1 << 16, 1 << 12
 SEED = 31
 
 
@@ -103,6 +103,7 @@ def mix_sources(
     block: int = BLOCK,
     shard: int = SHARD,
     seed: int = SEED,
+    span: int = SPAN,
 ) -> DataFrame:
     """id, source, size, source_size, target, shard, passes (whole passes over the document) and taken (words, repeats counted)."""
     d = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
@@ -114,8 +115,11 @@ def mix_sources(
     goal = goal.select("source", "source_size", "target", "rank", "shards", F.col("quota").alias("source_quota"))
     d = d.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", "source_size", "target", "rank", "shards", "source_quota")
     d = d.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("shards")))
-    votes = d.groupBy("rank", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
-    quota = sainte_lague(votes, ["rank"], ["shard"], "shard_size", "source_quota").select("rank", "shard", "shard_size", "quota")
+    votes = d.groupBy("rank", "shard", "source_quota").agg(F.sum("size").alias("shard_size")).withColumn("span", F.expr(f"shard div {span}"))
+    votes = cut_lineage(votes)  # one row a shard
+    spans = votes.groupBy("rank", "span", "source_quota").agg(F.sum("shard_size").alias("span_size"))
+    spans = sainte_lague(spans, ["rank"], ["span"], "span_size", "source_quota").select("rank", "span", F.col("quota").alias("span_quota"))
+    quota = sainte_lague(votes.join(spans, ["rank", "span"]), ["rank", "span"], ["shard"], "shard_size", "span_quota").select("rank", "shard", "shard_size", "quota")
     run = W.partitionBy("rank", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size")
     d = d.withColumn("stop", F.sum("size").over(run.rowsBetween(W.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("size"))
     d = d.join(quota, ["rank", "shard"])

@@ -60,6 +60,19 @@ def test_targets_and_taken_words(spark):
     assert {r.doc_id: r.taken for r in one} == {r.doc_id: r.taken for r in again}
 
 
+def test_two_levels_of_dealing(spark):
+    """Spans of any number of shards: the targets are met as closely, and reruns agree; one span deals as before."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 30, 200])), rng.choice("aaaaaabc")) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    whole = {r.doc_id: r.taken for r in mixing.mix_sources(df, shard=200, span=1 << 20).collect()}
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(df, shard=200).collect()} == whole
+    for span in (1, 3, 10):
+        rows = mixing.mix_sources(df, shard=200, span=span).collect()
+        check(rows, docs)
+        assert {r.doc_id: r.taken for r in mixing.mix_sources(df.repartition(5), shard=200, span=span).collect()} == {r.doc_id: r.taken for r in rows}
+
+
 def test_sainte_lague_matches_dealing_one_by_one(spark):
     rng = random.Random(4)
     rows, want = [], {}
