@@ -118,6 +118,22 @@ def read_cohort(spark: SparkSession, root: str, names: Sequence[str] = COHORT_TA
     return {name: spark.read.parquet(os.path.join(root, name)) for name in names}
 
 
+#: Buckets of a cohort table: a power of two, so that tables of different sizes can share them.
+BUCKETS = 256
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, by: Sequence[str] = ("study", "patientid"), buckets: int = BUCKETS) -> DataFrame:
+    """Write ``df`` under ``path`` as the catalog table ``table``, bucketed and sorted by ``by``; read back from the catalog.
+
+    Two tables with the same buckets over the same columns (expression and clinical by (study, patientid)) are
+    joined and grouped on them without a shuffle of either.  Rows are dealt to their buckets before the write,
+    so each bucket is one file.
+    """
+    dealt = df.repartition(buckets, *[F.col(bq(c)) for c in by])
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_list(df: DataFrame, path: str, col: str = "value") -> None:
     """Write a name list, one per line, in ``col`` order.
 

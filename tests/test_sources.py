@@ -115,6 +115,39 @@ def test_headers_of_many_files_are_one_job(spark, tmp_path):
     assert io.read_train(spark, str(tmp_path), NAMES).select("study").distinct().count() == 12
 
 
+def test_bucketed_cohort_tables_join_without_a_shuffle(spark, tmp_path):
+    expr = spark.range(4000).selectExpr("id % 3 as study", "id % 50 as patientid", "concat('g', id % 20) as gene", "cast(id as double) as value")
+    clin = spark.range(150).selectExpr("id % 3 as study", "id div 3 as patientid", "if(id % 2 = 0, 'R', 'NR') as response")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = io.write_bucketed(expr, "t_expression", str(tmp_path / "e"), buckets=4)
+        c = io.write_bucketed(clin, "t_clinical", str(tmp_path / "c"), buckets=4)
+        joined = e.join(c, ["study", "patientid"])
+        per = joined.groupBy("study", "patientid").agg(F.avg("value").alias("mean"), F.first("response").alias("response"))
+        for df in (joined, per):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        want = expr.join(clin, ["study", "patientid"])
+        assert sorted(map(tuple, joined.select("study", "patientid", "gene", "value", "response").collect())) == sorted(map(tuple, want.select("study", "patientid", "gene", "value", "response").collect()))
+        assert "Exchange" in want._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("drop table if exists t_expression")
+        spark.sql("drop table if exists t_clinical")
+
+
+def test_a_list_of_studies_prunes_partitions_at_run_time(spark, tmp_path):
+    expr = spark.range(4000).selectExpr("id % 8 as study", "id % 50 as patientid", "cast(id as double) as value")
+    io.write_table(expr, str(tmp_path / "c" / "expression"))
+    studies = spark.createDataFrame([(1, "IO"), (2, "IO"), (3, "PD")], "study long, treatment string")
+    studies.write.parquet(str(tmp_path / "studies"))
+    wanted = spark.read.parquet(str(tmp_path / "studies")).where("treatment = 'IO'")
+    got = io.read_cohort(spark, str(tmp_path / "c"), ["expression"])["expression"].join(wanted, "study")
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 1000
+
+
 def test_wide_long_identity(spark):
     names = ["click", "error", "purchase", "signup", "view"]
     s = v_scores(spark, SF001)
