@@ -100,10 +100,12 @@ def _raw(m: Model, rows: int, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return m.bias + np.bincount(row, m.weight[at], rows) + 0.5 * ((total**2).sum(1) - square), total
 
 
-def fit(rows: int, row: np.ndarray, slot: np.ndarray, y: np.ndarray, share: float, steps: int = 80) -> Model:
-    """Adam on the logistic loss; ``share`` is the share of ones that the scores are to be calibrated to."""
-    size = 1 << SLOT_BITS
-    ones, zeros = np.bincount(slot[y[row] == 1], minlength=size), np.bincount(slot[y[row] == 0], minlength=size)
+def fit(sets: list[np.ndarray], y: np.ndarray, share: float, steps: int = 80) -> Model:
+    """Adam on the logistic loss over texts, each the set of its slots; ``share`` is the share of ones that the scores are to be calibrated to."""
+    size, rows = 1 << SLOT_BITS, len(sets)
+    ones, zeros = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for x, label in zip(sets, y, strict=True):  # text by text: the driver never holds all slots as one array
+        (ones if label == 1 else zeros)[x] += 1
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     met, rate = ones + zeros, n1 / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -111,8 +113,8 @@ def fit(rows: int, row: np.ndarray, slot: np.ndarray, y: np.ndarray, share: floa
     kept = np.flatnonzero((met >= LEAST_ROWS) & (tells >= CHANCE))
     place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    known = place[slot] >= 0
-    row, at = row[known], place[slot[known]]
+    known = [place[x][place[x] >= 0] for x in sets]
+    row, at = np.repeat(np.arange(rows), [len(x) for x in known]), np.concatenate(known)
     rng = np.random.default_rng(SEED)
     m = Model(float(np.log(n1 / n0)), place, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
     state = [np.zeros_like(m.weight), np.zeros_like(m.weight), np.zeros_like(m.factor), np.zeros_like(m.factor)]
@@ -149,9 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     y = np.asarray(sample.column("y").to_pylist(), float)
     if len(set(y)) < 2:
         return share
-    sets = [np.frombuffer(x, "<u4") for x in sample.column("x").to_pylist()]
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    return fit(len(sets), row, np.concatenate(sets).astype(np.int64), y, share)
+    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in sample.column("x")]
+    return fit(sets, y, share)
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",), out_col: str = "score") -> DataFrame:
