@@ -89,6 +89,37 @@ def test_draw_counts(monkeypatch):
     assert B.draw_counts(sizes, 0, *b, 1).tolist() == B.draw_counts(np.zeros(5, int), 3, *b, 1).tolist() == [0] * 5
 
 
+def test_slots_of_several_rows(monkeypatch):
+    """Slots that hold the end of a part are looked up draw by draw."""
+    monkeypatch.setattr(B, "ROWS", 50)
+    monkeypatch.setattr(B, "GRID", 4)
+    monkeypatch.setattr(B, "BLOCK", 64)
+    for sizes in ([3, 0, 5, 1, 90], [1] * 99, [400, 2, 0, 1, 397], [0, 1000, 1, 0]):
+        sizes, b = np.array(sizes), base("s", len(sizes))
+        want = np.zeros(len(sizes), int)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        for j in range(9, 709):
+            want[owner[int(u_plain(*b, 3, j) * len(owner))]] += 1
+        parts = B.Parts(sizes)
+        assert parts.shift > 0 and [parts.counts(700, *b, 3, 9).tolist() for _ in range(2)] == [want.tolist()] * 2
+
+
+def test_cells_do_not_travel_with_each_replicate(spark, monkeypatch):
+    """A span's cells go once for a unit of draws: rows that reach the draws do not grow with cells times replicates."""
+    seen = []
+    split = B._cell_counts
+
+    def spy(cells, *args):
+        seen.append((cells.count(), args[-1]))
+        return split(cells, *args)
+
+    monkeypatch.setattr(B, "_cell_counts", spy)
+    df = spark.range(4000).selectExpr("'s' as study", "'m' as model", "cast(id % 2 as int) as label", "cast(id as double) as score")
+    b = B.auc_bootstrap(df, reps=50, cell=20, fan=1 << 10)
+    assert b.first().n_reps == 50 and seen[0][0] == 400 and seen[0][1] >= 2000 * 50  # all replicates of a class are one unit
+    assert "todo" in b._jdf.queryExecution().analyzed().toString()
+
+
 def test_counts_are_multinomial():
     sizes = np.array([10, 20, 30, 40])
     x = np.array([B.draw_counts(sizes, 100, *base("m"), r) for r in range(4000)])
