@@ -117,3 +117,27 @@ def test_roc_interp_exact_hit_takes_highest(spark):
     assert len(it) == 4 * 150
     assert (it[it.j == 0].sensitivity == 1.0).all()  # spec 0 is hit by the -inf point (sens 1)
     assert (it.sensitivity.between(0, 1)).all()
+
+
+def test_interpolation_thins_the_curve(spark):
+    """Points between grid rows do not reach the scan; the neighbours of every grid row, ties and steps included, are the curve's."""
+    rng = np.random.default_rng(9)
+    for n in (2, 5, 150):
+        spec = np.sort(np.concatenate([np.round(rng.random(400), 3), np.arange(n) / (n - 1), rng.random(50) ** 4]))
+        sens = np.sort(rng.random(len(spec)))[::-1]
+        points = [("s", "m", float(a), float(b)) for a, b in zip(spec, sens)] + [(None, "m", 0.3, 0.9), (None, "m", 0.3, 0.2), ("s", "x", None, 0.5)]
+        got = roc.roc_interp(spark.createDataFrame(points, "study string, model string, specificity double, sensitivity double"), n=n)
+        rows = {(r.study, r.j): r.sensitivity for r in got.collect()}
+        assert len(rows) == 2 * n
+        for j in range(n):
+            at = j / (n - 1)
+            below, above = spec[spec <= at], spec[spec > at]
+            if len(below) and below[-1] == at:
+                want = sens[spec == at].max()
+            elif not len(below) or not len(above):
+                want = sens[spec == above[0]].max() if not len(below) else sens[spec == below[-1]].min()
+            else:
+                lo, hi = sens[spec == below[-1]].min(), sens[spec == above[0]].max()
+                want = lo + (at - below[-1]) * (hi - lo) / (above[0] - below[-1])
+            assert rows["s", j] == want
+            assert rows[None, j] == (0.9 if at <= 0.3 else 0.2)
