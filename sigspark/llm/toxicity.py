@@ -20,7 +20,7 @@ term; without labelled rows of both kinds every score is the share of ones
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,8 @@ CHANCE, DOUBT = 5.0, 40.0
 SEED = 29
 #: Weight decay, over the number of ones in the sample.
 DECAY = 0.15
+#: (text, slot) pairs whose vectors are gathered at once.
+AT_ONCE = 1 << 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -89,14 +91,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    return np.stack([np.bincount(row, v, rows) for v in values.T], axis=1)
+def _sums(values: Iterable[np.ndarray], row: np.ndarray, rows: int) -> np.ndarray:
+    """Sums by row of each factor's values, one factor after the other: pairs x factors never exist as one array."""
+    return np.stack([np.bincount(row, v, rows) for v in values], axis=1)
 
 
 def _raw(m: Model, rows: int, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    v = m.factor[at]
-    total = _sums(v, row, rows)
-    square = np.bincount(row, (v**2).sum(1), rows)
+    total = _sums((v[at] for v in m.factor.T), row, rows)
+    squares = np.empty(len(at))
+    for lo in range(0, len(at), AT_ONCE):
+        squares[lo : lo + AT_ONCE] = (m.factor[at[lo : lo + AT_ONCE]] ** 2).sum(1)
+    square = np.bincount(row, squares, rows)
     return m.bias + np.bincount(row, m.weight[at], rows) + 0.5 * ((total**2).sum(1) - square), total
 
 
@@ -108,9 +113,11 @@ def fit(sets: list[np.ndarray], y: np.ndarray, share: float, steps: int = 80) ->
         (ones if label == 1 else zeros)[x] += 1
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     met, rate = ones + zeros, n1 / (n1 + n0)
+    often = np.flatnonzero(met >= LEAST_ROWS)
     with np.errstate(divide="ignore", invalid="ignore"):
-        tells = 2 * sum(np.where(k > 0, k * np.log(k / (met * r)), 0.0) for k, r in ((ones, rate), (zeros, 1 - rate)))
-    kept = np.flatnonzero((met >= LEAST_ROWS) & (tells >= CHANCE))
+        tells = 2 * sum(np.where(k > 0, k * np.log(k / (met[often] * r)), 0.0) for k, r in ((ones[often], rate), (zeros[often], 1 - rate)))
+    kept, tells = often[tells >= CHANCE], tells[tells >= CHANCE]
+    del ones, zeros, met, often
     place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept))
     known = [place[x][place[x] >= 0] for x in sets]
@@ -118,13 +125,13 @@ def fit(sets: list[np.ndarray], y: np.ndarray, share: float, steps: int = 80) ->
     rng = np.random.default_rng(SEED)
     m = Model(float(np.log(n1 / n0)), place, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
     state = [np.zeros_like(m.weight), np.zeros_like(m.weight), np.zeros_like(m.factor), np.zeros_like(m.factor)]
-    decay = DECAY / n1 * (1 + DOUBT / tells[kept])  # what may be chance is held back
+    decay = DECAY / n1 * (1 + DOUBT / tells)  # what may be chance is held back
     for i in range(1, steps + 1):
         z, total = _raw(m, rows, row, at)
         g = (_sigmoid(z) - y) / rows
         gr = g[row]
         gw = np.bincount(at, gr, len(kept)) + decay * m.weight
-        gv = _sums(gr[:, None] * (total[row] - m.factor[at]), at, len(kept)) + decay[:, None] * m.factor
+        gv = _sums((gr * (t[row] - v[at]) for t, v in zip(total.T, m.factor.T, strict=True)), at, len(kept)) + decay[:, None] * m.factor
         for x, grad, a, b in ((m.weight, gw, state[0], state[1]), (m.factor, gv, state[2], state[3])):
             a += 0.1 * (grad - a)
             b += 0.01 * (grad**2 - b)

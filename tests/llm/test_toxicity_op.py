@@ -107,3 +107,22 @@ def test_query_on_held_out_rows(spark):
     assert toxic.predicted.mean() >= 0.9 and clean.predicted.mean() <= 0.005
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     assert got.where(crc != F.col("held_out")).count() == 0
+
+
+def test_the_fit_holds_no_vector_for_each_pair():
+    """Memory of the fit: a few numbers for each (text, slot) pair, not one for each pair and factor."""
+    import tracemalloc
+
+    import numpy as np
+
+    from sigspark.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    y = np.arange(900) % 3 == 0
+    sets = [np.unique(np.where(rng.random(2000) < 0.5, rng.integers(0, 4000, 2000) * 2 + one, rng.integers(0, 8000, 2000))).astype("<u4") for one in y]
+    tracemalloc.start()
+    m = toxicity.fit(sets, y.astype(float), 0.3, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = sum((m.place[x] >= 0).sum() for x in sets)
+    assert pairs > 500_000 and peak < 90 * pairs
