@@ -91,3 +91,50 @@ def test_param_grid_reference_size(spark):
     assert g.count() == 3240
     first = g.orderBy("grid_id").limit(2).collect()
     assert (first[0].nrounds, first[1].nrounds) == (10, 60)  # first factor varies fastest
+
+
+def test_split_search_in_slabs(spark, monkeypatch):
+    """No window task holds all bins of a node: with slabs of any size the same splits are found."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for fit in ("a", "b"):
+        for node in (1, 2):
+            for f in range(3):
+                bins = rng.choice(200, 60, replace=False)
+                rows += [(fit, node, f, int(b), float(rng.normal()), float(rng.uniform(0.1, 0.3)), 1) for b in bins]
+            rows.append((fit, node, -1, -1, 1.5, 14.0, 64))
+    rows.append(("c", 0, -1, -1, 0.5, 3.0, 9))  # all values missing
+    hist = spark.createDataFrame(rows, "fit_id string, node long, feature int, bin int, sg double, sh double, n long")
+    got = {}
+    for slab in (1 << 15, 7):
+        monkeypatch.setattr(B, "SLAB", slab)
+        best = B.best_split(hist)
+        got[slab] = {(r.fit_id, r.node): r for r in best.collect()}
+    assert "hashpartitioning(fit_id#" in best._jdf.queryExecution().executedPlan().toString() and len(got[7]) == 5
+    for k, r in got[7].items():
+        assert (r.feature, r.bin, r.default_left, r.nl) == tuple(got[1 << 15][k][c] for c in ("feature", "bin", "default_left", "nl"))
+        assert r.gain is None if k == ("c", 0) else abs(r.gain - got[1 << 15][k].gain) < 2e-9
+    for (fit, node), r in got[7].items():  # against all cuts, one by one
+        best = None
+        gt, ht, nt = next(x[4:7] for x in rows if x[:3] == (fit, node, -1))
+        for f in range(3):
+            mine = sorted(x for x in rows if x[:3] == (fit, node, f))
+            gs, hs = sum(x[4] for x in mine), sum(x[5] for x in mine)
+            for i in range(1, len(mine)):
+                gk, hk = sum(x[4] for x in mine[:i]), sum(x[5] for x in mine[:i])
+                for left in (True, False):
+                    gl, hl = (gk + gt - gs, hk + ht - hs) if left else (gk, hk)
+                    if hl >= 1 and ht - hl >= 1:
+                        gain = gl * gl / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt * gt / (ht + 1)
+                        best = max(best or (-1e9,), (round(gain, 8), -f, -mine[i - 1][3], left))
+        assert best is None if r.gain is None else (r.feature, r.bin, r.default_left) == (-best[1], -best[2], best[3])
+
+
+def test_cuts_of_many_bins(spark):
+    """Cuts of a feature with a bin for every row do not come from one window over all of them."""
+    rows = spark.range(70_000).selectExpr("0 as study", "id as row_id", "array(cast((id * 7919) % 70000 as double), cast(null as double)) as features", "cast(id % 2 as int) as y")
+    cuts = B.feature_bins(rows)
+    assert cuts.where("feature = 0 and (cut = bin + 0.5 or (bin = 69999 and cut is null))").count() == 70_000 and cuts.count() == 70_000
+    assert "partitionBy" not in str(cuts) and "_sk" in cuts._jdf.queryExecution().analyzed().toString()
