@@ -31,6 +31,9 @@ from .scan import null_safe_join
 #: Newton passes at most, and the relative change of both (standardised) coefficients that ends the iteration.
 MAX_PASSES, TOLERANCE = 50, 1e-12
 
+#: Models of up to so many groups travel to the rows; beyond that both are shuffled.
+MAX_BROADCAST_GROUPS = 100_000
+
 
 def _collapsed(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """One row per (group, x): n rows, of which ``ones`` have y = 1."""
@@ -129,7 +132,8 @@ def predict(rows: DataFrame, model: DataFrame, x: str = "x", y: str = "y", keys:
     share = null_safe_join(_collapsed(rows, keys, x, y), model.where("status = 'separated' and edge0 = edge1").select(*keys, "edge0"), keys)
     share = share.where(F.col("x") == F.col("edge0")).select(*keys, (F.col("ones") / F.col("n")).alias("_share"))
     m = null_safe_join(model.select(*keys, F.col("n").alias("_n"), F.col("ones").alias("_ones"), *[F.col(c).alias(f"_{c}") for c in ("status", "b0", "b1", "edge0", "edge1", "up")]), share, keys, "left")
-    j = null_safe_join(rows, m, keys, "left")
+    m = cut_lineage(m)  # one row a group; the rows stay where they lie
+    j = null_safe_join(rows, F.broadcast(m) if m.count() <= MAX_BROADCAST_GROUPS else m, keys, "left")
     v = F.col(x).cast("double")
     at_edge = (v == F.col("_edge0")) & (v == F.col("_edge1"))
     above = F.when(F.col("_up"), v >= F.col("_edge1")).otherwise(v <= F.col("_edge1"))

@@ -58,3 +58,23 @@ def test_coverage_gate_rules(spark):
     got = {(r.study, r.signature): r["pass"] for r in cohort.coverage(expr, sigs, n_cutoff=15, sig_perc=0.8).collect()}
     # study 2 is too small; S5 has 4 of 5 genes = 0.8, which is not more than 0.8
     assert got == {(1, "S4"): True, (1, "S5"): False, (2, "S4"): False, (2, "S5"): False}
+
+
+def test_baseline_rows_are_neither_kept_nor_moved(spark, tmp_path, monkeypatch):
+    """The rows of all models are collapsed where they are read; only scores are kept, and the baseline's coefficients travel."""
+    from sigspark.plans import q_compare
+
+    rows = [(i, i % 3, "FO"[i % 2], "RAN"[i % 7 % 3], (i * 7 % 11) / 100, float(i * 31 % 97)) for i in range(400)]
+    names = "l_orderkey long, l_linenumber int, l_linestatus string, l_returnflag string, l_discount double, l_extendedprice double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = []
+    auc = q_compare.roc.auc
+    monkeypatch.setattr(q_compare.roc, "auc", lambda p: seen.append(p) or auc(p))
+    monkeypatch.setattr(q_compare, "BOOT_REPS", 5)
+    out = {(r.study, r.family): r for r in q_compare.q_compare_baseline(spark, str(tmp_path)).collect()}
+    assert len(out) == 6 and all(r.ci_lo <= r.ci_hi for r in out.values())
+    assert all(abs(out[s, "logistic"].auc - 0.5) == pytest.approx(abs(out[s, "discount"].auc - 0.5), abs=2e-6) for s in "FO")
+    (p,) = seen
+    assert not p.storageLevel.useMemory and not p.storageLevel.useDisk
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
